@@ -12,63 +12,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, texts_of, worker_cache
+from quillspark.llm.common import in_arrow, texts_of
+from quillspark.llm.word_arrays import Words, mix, parts
 
 #: Bytes that the rolling hash sees, words in a chunk on average (a power of two) and at most, and words of the shortest run removed.
 GEAR_BYTES, MEAN_WORDS, MAX_WORDS, MIN_RUN_WORDS = 12, 4, 48, 24
-_CACHE_WORDS = 500_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gear() -> np.ndarray:
-    """The gear table: 256 numbers from a hash of the byte."""
-    return np.array([xxhash.xxh64_intdigest(bytes([i]), seed=1) & 0xFFFFFFFF for i in range(256)], np.uint32)
-
-
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; a worker remembers the words it has met."""
-    known = worker_cache("word hashes", dict)
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    try:
-        return np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
-
-
-def chunks(words: list[bytes], mean_words: int = MEAN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, digests): each chunk's end as a count of words, ascending up to len(words), and its 64-bit digest. No words: none."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    gear = worker_cache("gear", _gear)[joined]
-    rolling = gear.copy()
-    for k in range(1, min(GEAR_BYTES, len(gear))):  # h[i] = sum of gear[i - k] << k, as h = (h << 1) + gear makes it in GEAR_BYTES bits
-        rolling[k:] += gear[:-k] << np.uint32(k)
-    last = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 2
-    low = GEAR_BYTES - mean_words.bit_length() + 1
-    cut = (rolling[last] >> np.uint32(low)) & np.uint32(mean_words - 1) == 0
-    cut[-1] = True
-    ends = np.flatnonzero(cut) + 1
-    sizes = np.diff(ends, prepend=0)
-    if sizes.max() > MAX_WORDS:  # forced cuts, counted from the last true one
-        ends = np.array([e for end, size in zip(ends.tolist(), sizes.tolist(), strict=True) for e in (*range(end - size + MAX_WORDS, end, MAX_WORDS), end)])
+    """The gear table: 256 numbers from a hash of the byte, the same for all white space."""
+    out = (mix(np.arange(1000, 1256, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+    out[9:14] = out[32]
+    return out
+
+
+_GEAR = _gear()
+
+
+def chunked(column: pa.Array, mean_words: int = MEAN_WORDS) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray]]:
+    """For each text: the words it is among, the index of its first, each chunk's end as a count of its words (the last is all of them) and 64-bit digest."""
+    for row, to, words in parts(column, lower=False):
+        n, first = len(words.hashes), words.first
+        rolling = _GEAR[words.data]
+        for k in range(1, min(GEAR_BYTES, len(rolling))):  # h[i] = sum of gear[i - k] << k, as h = (h << 1) + gear makes it in 16 bits
+            rolling[k:] += _GEAR[words.data[:-k]] << np.uint16(k)
+        low = GEAR_BYTES - mean_words.bit_length() + 1
+        cut = (rolling[words.end - 1] >> np.uint16(low)) & np.uint16(mean_words - 1) == 0
+        cut[first[1:][first[1:] > 0] - 1] = True  # texts end with a chunk
+        ends = np.flatnonzero(cut) + 1
         sizes = np.diff(ends, prepend=0)
-    h = _hash_words(words)
-    starts = ends - sizes
-    place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
-    mixed = (h ^ (h >> np.uint64(29))) * (place * np.uint64(2) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(32)
-    total = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts) + sizes.astype(np.uint64)
-    return ends, total ^ (total >> np.uint64(31))
+        if n and sizes.max() > MAX_WORDS:  # forced cuts, counted from the last true one
+            long = np.flatnonzero(sizes > MAX_WORDS)
+            more = [np.arange(ends[i] - sizes[i] + MAX_WORDS, ends[i], MAX_WORDS) for i in long]
+            ends = np.sort(np.concatenate([ends, *more]))
+            sizes = np.diff(ends, prepend=0)
+        starts = ends - sizes
+        place = (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64)
+        digests = mix(np.add.reduceat(mix(words.hashes + place * _STEP), starts) + sizes.astype(np.uint64)) if n else words.hashes
+        bounds = np.searchsorted(ends, first, "right")
+        for i in range(to - row):
+            a, e = bounds[i], bounds[i + 1]
+            yield words, int(first[i]), ends[a:e] - first[i], digests[a:e]
 
 
 def _digest_rows(docs: DataFrame, mean_words: int) -> DataFrame:
@@ -76,11 +64,13 @@ def _digest_rows(docs: DataFrame, mean_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                _, digests = chunks(text.as_py().encode("utf-8", "replace").split(), mean_words)
+            ids, found = [], []
+            for doc, (_, _, _, digests) in zip(b["doc_id"].to_pylist(), chunked(b["text"], mean_words), strict=True):
                 if doc is not None and len(digests):
-                    digests = np.unique(digests).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(digests), doc, np.int64)), pa.array(digests)], names=["doc_id", "digest"])
+                    found.append(np.unique(digests).view(np.int64))
+                    ids.append(np.full(len(found[-1]), doc, np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "digest"])
 
     return in_arrow(texts_of(docs), run, "doc_id long, digest long")
 
@@ -93,21 +83,6 @@ def duplicate_runs(ends: np.ndarray, again: np.ndarray, min_words: int) -> list[
     return [(a, e) for a, e in runs if e - a >= min_words]
 
 
-def _spans(raw: bytes, words: list[bytes], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Byte spans of the runs of words in raw."""
-    wanted = sorted({w for a, e in runs for w in (a, e - 1)})
-    at, place, i = 0, {}, 0
-    for k, w in enumerate(words):
-        at = raw.index(w, at)
-        if i < len(wanted) and k == wanted[i]:
-            place[k] = (at, at + len(w))
-            i += 1
-            if i == len(wanted):
-                break
-        at += len(w)
-    return [(place[a][0], place[e - 1][1]) for a, e in runs]
-
-
 def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEAN_WORDS, more: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text without repeated passages, n_words, n_removed, spans (start, end in characters), and `more`.
 
@@ -126,32 +101,30 @@ def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, removed, spans = [], [], [], []
-            for value, marks in zip(b["text"], b["_again"], strict=True):
-                text = value.as_py()
-                words = (text or "").encode("utf-8", "replace").split()
+            for value, marks, (words, at, ends, digests) in zip(b["text"], b["_again"], chunked(b["text"], mean_words), strict=True):
                 runs: list[tuple[int, int]] = []
                 if marks.is_valid:
-                    ends, digests = chunks(words, mean_words)
                     runs = duplicate_runs(ends, np.isin(digests.view(np.int64), marks.values.to_numpy()), min_words)
-                counts.append(len(words))
+                counts.append(int(ends[-1]) if len(ends) else 0)
                 removed.append(sum(e - a for a, e in runs))
+                text = value.as_py()
                 if not runs:
                     texts.append(text)
                     spans.append([])
                     continue
-                raw = text.encode("utf-8", "replace")
-                out, at, found, chars, passed = [], 0, [], 0, 0
-                for a, e in _spans(raw, words, runs):
+                raw = text.encode()
+                shift = int(words.start[at]) - (len(raw) - len(raw.lstrip()))  # where the text begins in the words' bytes
+                out, done, found, chars, passed = [], 0, [], 0, 0
+                for a, e in runs:
+                    a, e = int(words.start[at + a]) - shift, int(words.end[at + e - 1]) - shift
                     chars += len(raw[passed:a].decode())
-                    first = chars
-                    chars += len(raw[a:e].decode())
+                    found.append({"start": chars, "end": (chars := chars + len(raw[a:e].decode()))})
                     passed = e
-                    found.append({"start": first, "end": chars})
-                    out.append(raw[at:a])
-                    at = e
-                    while at < len(raw) and raw[at] in b" \t\n\r\x0b\x0c":
-                        at += 1
-                out.append(raw[at:])
+                    out.append(raw[done:a])
+                    done = e
+                    while done < len(raw) and raw[done] in b" \t\n\r\x0b\x0c":
+                        done += 1
+                out.append(raw[done:])
                 texts.append(b"".join(out).decode())
                 spans.append(found)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

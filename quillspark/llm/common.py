@@ -71,7 +71,7 @@ def small_enough(ids: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text, by Spark functions only."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

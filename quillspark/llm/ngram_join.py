@@ -22,43 +22,37 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, small_enough, texts_of, worker_cache, written
+from quillspark.llm.common import in_arrow, small_enough, texts_of, written
 from quillspark.llm.graph import components
+from quillspark.llm.word_arrays import mix, parts
 
 #: Hashed n-grams in a tile; a block holds two tiles at most.
 TILE = 1_000_000
 #: Sizes from BAND ** i to BAND ** (i + 1) share a number of parts.
 BAND = 1.5
-_CACHE_WORDS = 500_000
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
-def ngrams(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles, A-Z lower-cased; the whole sequence as one if it is shorter; none without words."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = worker_cache("shingle words", dict)
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    try:
-        h = np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
-    m = min(n, len(h))
-    out = np.full(len(h) - m + 1, m, np.uint64)  # the length counts, so a short sequence is no shingle
-    for k in range(m):
-        out = _mix(out * _A + h[k : len(h) - m + 1 + k])
-    return np.unique(out)
+_A = np.uint64(0x9E3779B97F4A7C15)
+
+
+def ngrams(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles, A-Z lower-cased; the whole sequence as one if it is shorter; none without words."""
+    for row, end, words in parts(column, lower=True):
+        h, first = words.hashes, words.first
+        full = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in range(n):
+            full = mix(full * _A + h[k : k + len(full)])
+        for i in range(end - row):
+            a, e = first[i], first[i + 1]
+            if e - a >= n:
+                out = full[a : e - n + 1].copy()
+                out.sort()
+                yield out[np.concatenate([[True], out[1:] != out[:-1]])]
+            elif e > a:
+                short = np.full(1, e - a, np.uint64)  # the length counts, so a short sequence is no shingle
+                for k in range(a, e):
+                    short = mix(short * _A + h[k : k + 1])
+                yield short
+            else:
+                yield h[:0]
 
 
 class Bounds:
@@ -109,9 +103,9 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
         m = bounds.parts(band)
         part = ((grams >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         total = np.zeros(m, np.uint64)
-        np.add.at(total, part, _mix(grams ^ _A))
+        np.add.at(total, part, mix(grams ^ _A))
         held = np.bincount(part, minlength=m)
-        digest = _mix(total * _A + _mix((np.arange(m) + 1_000_003 * band).astype(np.uint64) + (held.astype(np.uint64) << np.uint64(40))))
+        digest = mix(total * _A + mix((np.arange(m) + 1_000_003 * band).astype(np.uint64) + (held.astype(np.uint64) << np.uint64(40))))
         out.append(digest if (held == 0).sum() >= 2 else digest[held > 0])
     return np.unique(np.concatenate(out))
 
@@ -127,8 +121,7 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[bytes] = set()
         for b in batches:
             sizes, high, low, signs = [], [], [], []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                grams = ngrams(text.as_py(), n)
+            for doc, grams in zip(b["doc_id"].to_pylist(), ngrams(b["text"], n), strict=True):
                 sizes.append(len(grams))
                 if not len(grams):
                     high.append(None)
@@ -234,7 +227,7 @@ def links(docs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([ngrams(t.as_py(), n).tobytes() for t in b["text"]], pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([g.tobytes() for g in ngrams(b["text"], n)], pa.binary())], names=["node", "grams"])
 
     sets = in_arrow(wanted, grams_of, "node long, grams binary")
     blocks = dealt.join(sets, "node").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")

@@ -26,14 +26,22 @@ CAPACITY = 2048
 #: A length's pieces are ranked in so many parts, so that no task ranks all pieces of a common length.
 SALTS = 64
 #: Words that a worker remembers at most, and the longest one that it remembers (bytes).
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+
+
+#: Marks that the pre-tokenizer splits off a word of letters, as one piece.
+_MARKS = ".,;:!?|#$%&*"
+#: Byte-level alphabets write printable bytes of Latin-1 as themselves and number the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes, word by word.
 
     Words are what ASCII white space separates. The tokenizer must treat them apart (its normalizer and pre-tokenizer drop white
-    space and nothing crosses it), as the constructor checks on a sample; each distinct word is then encoded by the tokenizer itself.
+    space and nothing crosses it), as the constructor checks on a sample. A word of Latin-1 letters, with marks at its end or not, goes to the
+    tokenizer's model in lower case, which is what its normalizer and pre-tokenizer make of it; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,25 +52,51 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         probe = "It's A  tést,\n\x0b 12\tİx ΣΣ ́b c d"
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w.upper(), add_special_tokens=False).ids for w in ("a", "probe", "qzxv", "international"))
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.apart = self(probe) == b"".join(i.to_bytes(4, "little") for i in whole)
+        self.apart = self(probe.encode()) == b"".join(i.to_bytes(4, "little") for i in whole)
         if not self.apart:
             raise ValueError(f"{path} does not treat words apart")
 
-    def __call__(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        ids = {w: b"".join([i.to_bytes(4, "little") for i in e.ids]) for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
-        out = b"".join([known[w] if w in known else ids[w] for w in words])
-        if len(known) + len(ids) > CACHE_WORDS:
-            known.clear()
-        known.update((w, i) for w, i in ids.items() if len(w) <= CACHE_BYTES)
-        return out
+    def __call__(self, raw: bytes) -> bytes:
+        """The ids of a text in UTF-8."""
+        words = raw.split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            if len(self.parts) > CACHE_WORDS // 2:
+                self.parts.clear()
+            for i, ids in enumerate(out):
+                if ids is None:
+                    w = words[i]
+                    out[i] = ids = self.known.get(w) or self._word(w)
+                    if len(w) <= CACHE_BYTES:
+                        self.known[w] = ids
+        return b"".join(out)
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8", "replace")
+        core = word.rstrip(_MARKS)
+        if core and core.isalpha() and self.direct:
+            low = core.lower()
+            if low.isascii() or ord(max(low)) < 256:
+                ids = self.parts.get(low)
+                if ids is None:
+                    symbols = low if low.isascii() else low.encode().decode("latin-1").translate(_ALPHABET)
+                    ids = self.parts[low] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(symbols)])
+                marks = word[len(core) :]
+                return ids + self._other(marks) if marks else ids
+        return self._other(word)
+
+    def _other(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+            if len(text) <= CACHE_BYTES:
+                self.parts[text] = ids
+        return ids
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -73,7 +107,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         encode = worker_cache(f"words {tokenizer}", lambda: WordIds(tokenizer))
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].cast(pa.binary()), strict=True):
                 ids = encode(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -8,66 +8,74 @@ All expressions are row-local: no shuffle, no Python, and memory bounded by the
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE, words
+from quillspark.llm.common import words
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: Rules of a line: symbols or exclamation marks per 10 words above which it fails, separators that make navigation, and phrases.
-MAX_SYMBOLS_PER_10, MAX_SHOUTS_PER_10, SEPARATORS = 4, 4, 2
+#: Rules of a line: percent of its characters that may be symbols or exclamation marks, separators that make navigation (and a line's characters for each), and phrases.
+MAX_SYMBOL_PERCENT, MAX_SHOUT_PERCENT, SEPARATORS, SEPARATOR_CHARS = 6, 6, 2, 24
 BOILERPLATE = "cookie policy|privacy policy|terms of (use|service)|all rights reserved|subscribe to our|sign up for our|click here to|enable javascript|skip to (main )?content|lorem ipsum"
+#: Words that one of the phrases has.
+BOILERPLATE_WORDS = ("policy", "terms of", "rights reserved", "up for our", "subscribe to", "click here", "javascript", "skip to", "lorem")
 #: The end of a sentence within a line or at its end.
 SENTENCE = r"""[.!?…:;]["')\]»”]*([\x20\x09-\x0D]|\z)"""
 #: A document is rejected if it loses more than this share of its word characters.
 MAX_LOST_PERCENT = 50
 
 
-def _drop(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
+
+
+def _has_phrase(text: Column) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in BOILERPLATE_WORDS))
+
+
+def line_ends_well(line: Column) -> Column:
+    """The punctuation rule: a sentence ends in the line."""
+    return line.endswith(".") | line.rlike(SENTENCE)
 
 
 def line_passes(line: Column) -> Column:
-    """Whether one line (with a word) stays."""
-    n = F.size(words(line))
-    symbols = _drop(line, SYMBOLS)
-    separators = F.size(F.split(line, r" [|>·•] ")) - 1
-    sentence = line.rlike(SENTENCE)
+    """Whether one line (with a word) passes all rules."""
+    n, parts = F.length(line), F.size(F.split(line, r" [|>·•] ")) - 1
     return (
-        (symbols * 10 <= n * MAX_SYMBOLS_PER_10)
-        & (_drop(line, "!") * 10 <= n * MAX_SHOUTS_PER_10)
-        & ((separators < SEPARATORS) | (separators * 4 < n))
-        & sentence
-        & ~F.lower(line).rlike(BOILERPLATE)
+        line_ends_well(line)
+        & (_symbols(line) * 100 <= n * MAX_SYMBOL_PERCENT)
+        & (F.regexp_count(line, F.lit("!")) * 100 <= n * MAX_SHOUT_PERCENT)
+        & ((parts < SEPARATORS) | (parts * SEPARATOR_CHARS < n))
+        & ~(_has_phrase(F.lower(line)) & F.lower(line).rlike(BOILERPLATE))
     )
 
 
-def _pairs(a: Column, step: int, n: Column) -> Column:
-    """Hashes of a[i], a[i + step] for each i below n."""
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y))
-
-
 def repeated_words(docs: DataFrame, tokens: str, out: str) -> DataFrame:
     """docs with column `out`: words in windows of WINDOW words that are found twice or more in the text, the first included.
 
-    Windows are told apart by 64-bit hashes, built by doubling; only texts in which a hash repeats are looked at again, by the
-    windows' words themselves, so the count is exact. Stages are columns of their own so that no lambda evaluates another stage anew.
+    Equal windows agree in five of their words, so texts in which no hash of those five repeats have none; the others are looked at
+    again, by all words of each window, so the count is exact. Stages are columns of their own so that no lambda evaluates another stage anew.
     """
+    word = lambda i, k: F.col(tokens)[i + k]
     n = F.greatest(F.size(tokens) - (WINDOW - 1), F.lit(0))
-    d = docs.withColumn("_n", n).withColumn("_h", F.when(F.col("_n") > 1, F.transform(tokens, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    for step in (1, 2, 4):
-        d = d.withColumn("_h", _pairs(F.col("_h"), step, F.greatest(F.size("_h") - step, F.lit(0))))
-    d = d.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h")).withColumn("_t", F.when(F.col("_again"), F.col(tokens)))
+    hashes = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 3), word(i, 5), word(i, WINDOW - 1)))
+    d = docs.withColumn("_n", n).withColumn("_h", F.when(F.col("_n") > 1, hashes).otherwise(F.array().cast("array<bigint>")))
+    d = d.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
     # (window, place) sorted: equal windows are neighbours
-    d = d.withColumn("_w", F.expr(f"transform(sequence(1, if(_again, _n, 1)), i -> struct(if(_again, array_join(slice(_t, i, {WINDOW}), ' '), '') as w, i as i))"))
-    d = d.withColumn("_w", F.array_sort("_w")).withColumn("_v", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))))
-    d = d.withColumn("_p", F.array_sort(F.flatten(F.zip_with(F.slice("_w", F.lit(1), F.size("_v")), "_v", lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))))
-    d = d.withColumn("_p", F.array_distinct("_p")).withColumn("_q", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))))
+    windows = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.struct(F.concat_ws(" ", *(word(i, k) for k in range(WINDOW))).alias("w"), i.alias("i")))
+    d = d.withColumn("_w", F.when(F.col("_again"), F.sort_array(windows)).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    d = d.withColumn("_v", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.size("_v")), "_v", lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    d = d.withColumn("_p", F.array_distinct(F.sort_array(F.flatten(pairs))))
+    d = d.withColumn("_q", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))))
     steps = F.zip_with(F.slice("_p", F.lit(1), F.size("_q")), "_q", lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + F.when(F.size("_p") > 0, WINDOW).otherwise(0)
-    return d.withColumn(out, F.when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_n", "_h", "_again", "_t", "_w", "_v", "_p", "_q")
+    return d.withColumn(out, F.when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_n", "_h", "_again", "_w", "_v", "_p", "_q")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -78,18 +86,21 @@ def judged(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.withColumn("_text", text).withColumn("_tokens", words(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = repeated_words(d, "_tokens", "n_repeat_words")
-    chars = lambda c: F.length(F.regexp_replace(c, SPACE, ""))
+    chars = lambda c: F.length(F.translate(c, " \t\n\x0b\x0c\r", ""))
     d = (
         d.withColumn("n_words", F.size("_tokens").cast("long"))
-        .withColumn("word_chars", chars(F.col("_text")).cast("long"))
-        .withColumn("n_symbols", _drop(F.col("_text"), SYMBOLS).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_tokens", "")).cast("long"))
+        .withColumn("n_symbols", _symbols(F.col("_text")).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-        .withColumn("_good", F.array_join(F.filter("_lines", line_passes), "\n"))
-        .withColumn("_lost", F.col("word_chars") - chars(F.col("_good")))
+        # most texts hold nothing that the costlier rules look for in any line; no lambda refers to a column, which Spark would compute anew for each line
+        .withColumn("_all_rules", (F.col("n_symbols") > 0) | F.contains("_text", F.lit("!")) | F.col("_text").rlike(" [>·•] ") | _has_phrase(F.lower("_text")))
+        .withColumn("_good", F.when(F.col("_all_rules"), F.filter("_lines", line_passes)).otherwise(F.filter("_lines", line_ends_well)))
+        .withColumn("_lost", F.when(F.size("_good") == F.size("_lines"), 0).otherwise(F.col("word_chars") - chars(F.array_join("_good", "\n"))))
         .withColumn("kept", ~F.col("base_failed") & (F.col("_lost") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
     )
-    return d.withColumn("clean_text", F.when(F.col("text").isNotNull(), F.col("_good"))).withColumn("lost_percent", F.col("_lost") * 100.0 / F.greatest(F.col("word_chars"), F.lit(1))).drop("_text", "_tokens", "_lines", "_good", "_lost")
+    d = d.withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join("_good", "\n")))
+    return d.withColumn("lost_percent", F.col("_lost") * 100.0 / F.greatest(F.col("word_chars"), F.lit(1))).drop("_text", "_tokens", "_lines", "_all_rules", "_good", "_lost")
 
 
 def clean(docs: DataFrame) -> DataFrame:

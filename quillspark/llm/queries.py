@@ -94,11 +94,10 @@ txt AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM win),
 rep AS (SELECT doc_id, i FROM txt QUALIFY count(*) OVER (PARTITION BY doc_id, w) >= 2),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 8) AS g(k) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(lines) AS l FROM t),
-lw AS (SELECT doc_id, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n,
-    length(l) - length(translate(l, '{quality_rules.SYMBOLS}', '')) AS sym, length(l) - length(translate(l, '!', '')) AS shouts,
+lw AS (SELECT doc_id, l, length(l) AS n, length(l) - length(translate(l, '{quality_rules.SYMBOLS}', '')) AS sym, length(l) - length(translate(l, '!', '')) AS shouts,
     len(regexp_split_to_array(l, ' [|>·•] ')) - 1 AS seps FROM ln),
 good AS (SELECT doc_id, sum(length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM lw
-  WHERE sym * 10 <= n * {quality_rules.MAX_SYMBOLS_PER_10} AND shouts * 10 <= n * {quality_rules.MAX_SHOUTS_PER_10} AND (seps < {quality_rules.SEPARATORS} OR seps * 4 < n)
+  WHERE sym * 100 <= n * {quality_rules.MAX_SYMBOL_PERCENT} AND shouts * 100 <= n * {quality_rules.MAX_SHOUT_PERCENT} AND (seps < {quality_rules.SEPARATORS} OR seps * {quality_rules.SEPARATOR_CHARS} < n)
     AND regexp_matches(l, '{quality_rules.SENTENCE.replace("'", "''")}')
     AND NOT regexp_matches(lower(l), '{quality_rules.BOILERPLATE}') GROUP BY doc_id),
 f AS (SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

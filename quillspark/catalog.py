@@ -1,2 +1,196 @@
-QUERIES = {}
-SQL = {}
+"""One query for each operator, over whole tables, with the SQL that states its result."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import analyzers as A
+from quillspark.functions.scoring import Bm25
+from quillspark.operators import match, rank, statistics
+from quillspark.plans import index as ix
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: A line that many documents share, as terms.
+LINE = "the and attion to thanedble the anea eriner thanea".split()
+
+_T = "t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x[1:64])) AS tk FROM documents)"
+_P = _T + ", p AS (SELECT doc_id, unnest(tk) AS term, CAST(unnest(range(len(tk))) AS INTEGER) AS pos FROM t)"
+_F = _P + ", f AS (SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf, list(pos ORDER BY pos) AS positions FROM p GROUP BY ALL)"
+_D = _F + ", d AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf, max(tf) AS max_tf FROM f GROUP BY term)"
+_L = "l AS (SELECT doc_id, CAST(len(tk) AS BIGINT) AS len, CAST(greatest(1, least(255, len(tk))) AS INTEGER) AS norm FROM t)"
+
+
+def add(name: str, query: Query, sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+
+
+def _scan(name: str, run: Callable[[match.TextScan], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: run(match.TextScan(documents(s, d))), sql)
+
+
+def _index(name: str, run: Callable[[ix.Index], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: run(ix.build(documents(s, d))), sql)
+
+
+def _phrase_sql(terms: list[str], last_prefix: bool = False) -> str:
+    steps = " ".join(f"JOIN p p{i} ON p{i}.doc_id = p0.doc_id AND p{i}.pos = p0.pos + {i} AND " + (f"starts_with(p{i}.term, '{t}')" if last_prefix and i == len(terms) - 1 else f"p{i}.term = '{t}'") for i, t in enumerate(terms) if i)
+    return f"WITH {_P} SELECT DISTINCT p0.doc_id FROM p p0 {steps} WHERE p0.term = '{terms[0]}'"
+
+
+def _has(condition: str) -> str:
+    return f"WITH {_P} SELECT DISTINCT doc_id FROM p WHERE {condition}"
+
+
+# analyzers and postings
+add("tokenize", lambda s, d: ix.tokens(documents(s, d)), f"WITH {_P} SELECT doc_id, pos, term FROM p")
+add("keyword_tokens", lambda s, d: ix.tokens(documents(s, d), "lang", "keyword"), "SELECT doc_id, 0 AS pos, lang AS term FROM documents WHERE lang <> ''")
+add("normalize_bytes", lambda s, d: documents(s, d).select("doc_id", A.normalize_bytes(F.col("text")).alias("folded")), "SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')) AS folded FROM documents")
+add("postings", lambda s, d: ix.postings_of(ix.tokens(documents(s, d))).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")), f"WITH {_F} SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM f")
+_index("dictionary", lambda i: i.dictionary, f"WITH {_D} SELECT * FROM d")
+_index("norms", lambda i: i.lengths, f"WITH {_T}, {_L} SELECT * FROM l")
+_index("block_stats", lambda i: ix.windows_of(i.postings, i.lengths), f"""WITH {_F}, {_L}, r AS (SELECT f.*, norm, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY term) AS df FROM f JOIN l USING (doc_id))
+SELECT term, CAST(r // CASE WHEN df >= 8192 THEN 1024 ELSE 256 END AS BIGINT) AS block, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, max(tf) AS max_tf, min(norm) AS min_norm FROM r GROUP BY ALL""")
+_index("block_ranges", lambda i: i.blocks, f"WITH {_F}, {_L} SELECT term, doc_id // 4096 AS block, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, max(tf) AS max_tf, min(norm) AS min_norm FROM f JOIN l USING (doc_id) GROUP BY ALL")
+_index("validate_postings", lambda i: ix.faults(i.postings), "SELECT CAST(0 AS BIGINT) AS bad_tf, CAST(0 AS BIGINT) AS bad_order")
+add("source_text_column", lambda s, d: _texts(s, d), "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.sources.corpora import text_column
+
+    return text_column(spark, f"{sf_dir}/documents.parquet", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# matching, scan plans
+_scan("term", lambda m: m.term("attion"), _has("term = 'attion'"))
+_scan("term_high_df", lambda m: m.term("the"), _has("term = 'the'"))
+_scan("term_absent", lambda m: m.term("zzqabsent"), _has("term = 'zzqabsent'"))
+_scan("match_any", lambda m: m.any_of(["attion", "eriner", "und"]), _has("term IN ('attion', 'eriner', 'und')"))
+_scan("match_any_dup", lambda m: m.any_of(["und", "und", "zzqabsent"]), _has("term = 'und'"))
+_scan("match_all_terms", lambda m: m.all_of(["the", "of", "and", "the"]), f"WITH {_P} SELECT doc_id FROM p WHERE term IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+_scan("match_all_empty", lambda m: m.all_of([]), "SELECT doc_id FROM documents WHERE false")
+_scan("match_all", lambda m: m.everything(), "SELECT doc_id FROM documents")
+_scan("prefix", lambda m: m.prefix("thane"), _has("starts_with(term, 'thane')"))
+_scan("prefix_empty", lambda m: m.prefix(""), f"WITH {_T} SELECT doc_id FROM t WHERE len(tk) > 0")
+_scan("wildcard", lambda m: m.wildcard("t?an*ble"), _has("term GLOB 't?an*ble'"))
+_scan("regexp", lambda m: m.regexp("(er){2,}[a-m]+|und"), _has("regexp_full_match(term, '(er){2,}[a-m]+|und')"))
+for _n in (2, 3, 5, 8):
+    _scan(f"phrase_{_n}", lambda m, n=_n: m.phrase(LINE[:n]), _phrase_sql(LINE[:_n]))
+_scan("phrase_repeated", lambda m: m.phrase(["the", "the"]), _phrase_sql(["the", "the"]))
+_scan("phrase_reversed", lambda m: m.phrase(LINE[3::-1]), _phrase_sql(LINE[3::-1]))
+_scan("phrase_prefix", lambda m: m.phrase_prefix(["the", "and", "att"]), _phrase_sql(["the", "and", "att"], True))
+_scan("phrase_prefix_single", lambda m: m.phrase_prefix(["thaned"]), _has("starts_with(term, 'thaned')"))
+
+# matching, index plans
+_index("index_term", lambda i: i.term("attion"), _has("term = 'attion'"))
+_index("index_match_all_terms", lambda i: i.all_of(["the", "of", "and"]), SQL["match_all_terms"])
+_index("index_and_rare_first", lambda i: i.all_of_rare_first(["the", "eriner"], i.dictionary), f"WITH {_P} SELECT doc_id FROM p WHERE term IN ('the', 'eriner') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
+_index("index_phrase_5", lambda i: i.phrase(LINE[:5]), SQL["phrase_5"])
+_index("index_phrase_repeated", lambda i: i.phrase(["the", "the"]), SQL["phrase_repeated"])
+_index("index_phrase_prefix", lambda i: i.phrase_prefix(["the", "and", "att"]), SQL["phrase_prefix"])
+_index("index_prefix", lambda i: i.prefix("thane"), SQL["prefix"])
+_index("index_wildcard", lambda i: i.wildcard("t?an*ble"), SQL["wildcard"])
+_index("index_regexp", lambda i: i.regexp("(er){2,}[a-m]+|und"), SQL["regexp"])
+_index("term_expansion", lambda i: i.terms_like(lambda t: F.length(t) >= 24), _has("length(term) >= 24"))
+_index("docid_union", lambda i: match.union_ids(i.term("attion"), i.term("und"), i.term("eriner")), SQL["match_any"])
+
+# keyword fields
+_KEY = ix.Field("lang", "keyword", ix.Config.DOCS, 1, "lang")
+add("keyword_exact", lambda s, d: ix.build(documents(s, d), _KEY).term("de"), "SELECT doc_id FROM documents WHERE lang = 'de'")
+add("keyword_prefix", lambda s, d: ix.build(documents(s, d), ix.Field("source", "keyword", ix.Config.DOCS)).prefix("src1"), "SELECT doc_id FROM documents WHERE starts_with(source, 'src1')")
+add("keyword_wildcard", lambda s, d: ix.build(documents(s, d), ix.Field("source", "keyword", ix.Config.DOCS)).wildcard("src?"), "SELECT doc_id FROM documents WHERE source GLOB 'src?'")
+add("multi_field_and", lambda s, d: match.TextScan(documents(s, d)).term("und").join(ix.build(documents(s, d), _KEY).term("de"), "doc_id", "left_semi"), f"WITH {_P} SELECT DISTINCT p.doc_id FROM p JOIN documents USING (doc_id) WHERE term = 'und' AND lang = 'de'")
+
+# statistics
+_ASKED = ["the", "und", "eriner", "zzqabsent"]
+add("doc_freq", lambda s, d: statistics.of_terms(s, ix.build(documents(s, d)).dictionary, _ASKED).select("term", "df"), f"WITH {_D} SELECT a.term, coalesce(df, 0) AS df FROM (VALUES ('the'), ('und'), ('eriner'), ('zzqabsent')) a(term) LEFT JOIN d USING (term)")
+add("total_term_freq", lambda s, d: statistics.of_terms(s, ix.build(documents(s, d)).dictionary, _ASKED).select("term", "ttf"), f"WITH {_D} SELECT a.term, coalesce(ttf, 0) AS ttf FROM (VALUES ('the'), ('und'), ('eriner'), ('zzqabsent')) a(term) LEFT JOIN d USING (term)")
+_index("prefix_terms", lambda i: statistics.prefix_terms(i.dictionary, "than"), f"WITH {_D} SELECT term FROM d WHERE starts_with(term, 'than')")
+_index("lookup", lambda i: statistics.lookup(i.dictionary, "attion"), f"WITH {_D} SELECT * FROM d WHERE term = 'attion'")
+_SEGMENT = f"WITH {_D} SELECT (SELECT count(*) FROM t) AS doc_count, (SELECT count(*) FROM t) AS indexed_doc_count, (SELECT count(*) FROM d) AS term_count, (SELECT CAST(sum(len(tk)) AS BIGINT) FROM t) AS sum_total_term_freq, CAST(0 AS BIGINT) AS null_count, (SELECT sum(len(tk)) / count(*) FROM t) AS avgdl"
+_index("segment_stats", lambda i: i.stats, _SEGMENT)
+_index("avgdl", lambda i: i.stats.select(F.round("avgdl", 9).alias("avgdl")), f"WITH {_T} SELECT round(sum(len(tk)) / greatest(1, count(*)), 9) AS avgdl FROM t")
+_PICK = f"WITH {_D}, k AS (SELECT * FROM d WHERE term <> (SELECT max(term) FROM d))"
+_index("df_bucket", lambda i: statistics.in_df_bucket(i.dictionary, 5, 20), f"{_PICK} SELECT term, df FROM k WHERE df BETWEEN 5 AND 20 ORDER BY term LIMIT 1")
+_index("term_at_df", lambda i: statistics.at_df(i.dictionary, 37), f"{_PICK} SELECT term, df FROM k ORDER BY abs(df - 37), term LIMIT 1")
+_index("df1_term", lambda i: statistics.in_df_bucket(i.dictionary, 1, 1), f"{_PICK} SELECT term, df FROM k WHERE df = 1 ORDER BY term LIMIT 1")
+_index("highest_df_term", lambda i: statistics.highest_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df DESC, term LIMIT 1")
+_index("lowest_df_term", lambda i: statistics.lowest_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df, term LIMIT 1")
+_index("middle_df_term", lambda i: statistics.middle_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df, term LIMIT 1 OFFSET (SELECT CAST(count(*) // 2 AS BIGINT) FROM k)")
+_index("absent_token", lambda i: statistics.absent(i.dictionary), f"WITH {_D} SELECT 'zzq' || n AS term FROM range(1000) r(n) WHERE 'zzq' || n NOT IN (SELECT term FROM d) ORDER BY n LIMIT 1")
+_index("cooccurring", lambda i: statistics.cooccurring(i.postings, i.dictionary, (20, 60), (2, 9)), f"""{_PICK}, a AS (SELECT term FROM k WHERE df BETWEEN 20 AND 60 ORDER BY term LIMIT 1)
+SELECT a.term AS a, o.term AS b, o.doc_id FROM a JOIN f x ON x.term = a.term JOIN f o ON o.doc_id = x.doc_id AND o.term <> a.term WHERE o.term IN (SELECT term FROM k WHERE df BETWEEN 2 AND 9) ORDER BY o.doc_id, o.positions[1] LIMIT 1""")
+add("extract_phrase", lambda s, d: statistics.first_phrase(ix.tokens(documents(s, d)), 5, "the"), f"""WITH {_P}, w AS (SELECT doc_id, pos, list(term) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM p)
+SELECT doc_id, pos, array_to_string(w, ' ') AS phrase FROM w WHERE len(w) = 5 AND NOT list_contains(w, 'the') ORDER BY doc_id, pos LIMIT 1""")
+
+
+# ranking
+def _bm25_sql(terms: list[str], k: int, p: Bm25 = Bm25(), least: float | None = None) -> str:
+    parts = " + ".join(f"coalesce(max(CASE WHEN f.term = '{t}' THEN s END), 0.0)" for t in terms)
+    names = ", ".join(f"'{t}'" for t in dict.fromkeys(terms))
+    return f"""WITH {_D}, {_L}, g AS (SELECT count(*) AS n, sum(len) / count(*) AS avgdl FROM l),
+s AS (SELECT f.term, f.doc_id, ln(1.0 + (g.n - d.df + 0.5) / (d.df + 0.5)) * (f.tf * {p.k1 + 1.0}) / (f.tf + {p.k1} * ({1.0 - p.b} + {p.b} * (l.norm / g.avgdl))) AS s
+  FROM f JOIN d USING (term) JOIN l USING (doc_id) CROSS JOIN g WHERE f.term IN ({names}))
+SELECT doc_id, round(score, 9) AS score FROM (SELECT doc_id, {parts} AS score FROM s f GROUP BY doc_id) {f'WHERE score >= {least}' if least is not None else ''} ORDER BY score DESC, doc_id LIMIT {k}"""
+
+
+_RANKED = ["thanedble", "und", "thing"]
+add("bm25_topk", lambda s, d: rank.top_k_texts(documents(s, d), _RANKED, 10), _bm25_sql(_RANKED, 10))
+add("bm25_topk_params", lambda s, d: rank.top_k_texts(documents(s, d), _RANKED, 25, Bm25(0.9, 0.4)), _bm25_sql(_RANKED, 25, Bm25(0.9, 0.4)))
+add("bm25_dup_terms", lambda s, d: rank.top_k_texts(documents(s, d), ["und", "thing", "und", "zzqabsent"], 20), _bm25_sql(["und", "thing", "und", "zzqabsent"], 20))
+add("bm25_min_score", lambda s, d: rank.top_k_texts(documents(s, d), _RANKED, 1000, min_score=3.0), _bm25_sql(_RANKED, 1000, least=3.0))
+_index("bm25_index", lambda i: i.top_k(_RANKED, 50), _bm25_sql(_RANKED, 50))
+_index("bm25_blockmax", lambda i: i.top_k_block_max(_RANKED, 50), _bm25_sql(_RANKED, 50))
+_index("bm25_ties", lambda i: i.top_k(["thanedble"], 200), _bm25_sql(["thanedble"], 200))
+
+
+# shards, persisted and streamed indexes
+def _root(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='quillspark-')}/index"
+
+
+def _sharded(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """Two shards, by halves of the doc_ids, opened as one index."""
+    root, docs = _root(spark), documents(spark, sf_dir)
+    half = docs.agg(F.floor(F.max("doc_id") / 2)).first()[0]
+    for name, part in (("0", docs.where(F.col("doc_id") <= half)), ("1", docs.where(F.col("doc_id") > half))):
+        ix.write(part, root, [ix.Field("text"), _KEY], name)
+    return ix.open_index(spark, root)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.streaming.incremental import index_stream
+
+    root = _root(spark)
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, sf_dir, raw))
+    index_stream(stream.select("doc_id", "text"), root, [ix.Field("text")], f"{root}-log").awaitTermination()
+    return ix.open_index(spark, root).top_k(_RANKED, 50)
+
+
+def _stream_dir(spark: SparkSession, sf_dir: str, raw: DataFrame) -> str:
+    """A folder of three files with all documents, for the stream to find."""
+    out = f"{_root(spark)}-in"
+    raw.repartition(3).write.parquet(out)
+    return out
+
+
+add("shard_merge", lambda s, d: _sharded(s, d).phrase(LINE[:3]), SQL["phrase_3"])
+add("shard_bm25", lambda s, d: _sharded(s, d).top_k_block_max(_RANKED, 50), _bm25_sql(_RANKED, 50))
+add("stream_index_bm25", _streamed, _bm25_sql(_RANKED, 50))

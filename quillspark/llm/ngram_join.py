@@ -222,7 +222,7 @@ def links(docs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
     total = weight.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE)).cast("int").alias("tiles"))
     dealt = weight.join(total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     pairs = F.when(F.col("tiles") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))"))
-    dealt = dealt.select("node", "tile", "component", F.explode(pairs).alias("p")).select("node", "tile", "component", "p.a", "p.b")
+    dealt = written(dealt.select("node", "tile", "component", F.explode(pairs).alias("p")).select("node", "tile", "component", "p.a", "p.b"), "dealt")
     wanted = texts_of(docs).join(small_enough(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,8 @@ def links(docs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([g.tobytes() for g in ngrams(b["text"], n)], pa.binary())], names=["node", "grams"])
 
     sets = in_arrow(wanted, grams_of, "node long, grams binary")
-    blocks = dealt.join(sets, "node").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
+    # with the deal broadcast, if it is counted small, sets are shuffled once, to their blocks
+    blocks = sets.join(small_enough(dealt), "node").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs_, grams, tiles = None, [], [], []

@@ -1,0 +1,376 @@
+"""The ten operators on small, awkward tables, against brute force."""
+
+import base64
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, chunk_dedup, graph, html_extract, media, ngram_join, packing, quality_rules, site_bayes, viterbi
+from quillspark.llm.compaction import ShardStore
+from quillspark.llm.word_arrays import parts
+
+RNG = random.Random(3)
+VOCABULARY = [f"w{i}" for i in range(400)]
+LONG = " ".join(RNG.choices(VOCABULARY, k=9000))
+BASE = " ".join(RNG.choices(VOCABULARY, k=120))
+TEXTS = [None, "", " \n\t ", "one", "One two", "one TWO", BASE, BASE.upper(), BASE.replace("w7 ", "q "), BASE + " tail", LONG, LONG + " x", "a\x0bb\x0cc d", "é ü ß 漢字 　 emoji 😀 end.", "x" * 5000, BASE + "\n" + BASE]
+
+
+def table(spark, texts, **more):
+    rows = [(i, t, "en", "src0" if i % 3 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'clash' as kept", "1 as n_words", "2 as sequence_id", "3 as component_id")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    d = table(spark, TEXTS)
+    return d.unionByName(d.where("doc_id in (3, 6)"))  # repeated rows
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+# 1
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
+<div class="cookie-notice">We use cookies, really.</div><header>Site</header><!-- <p>no</p> --><article><h1>Title &amp; more</h1><p>First  paragraph, with <b>bold</b> text.<p>Second&nbsp;one &lt;here&gt;, also long enough.
+</article><aside>Side text.</aside><section id="comments"><p>Great article, thanks a lot!</p></section><form>Mail <input></form><script>var x = "<p>bad</p>";</script><footer>&copy; me</footer></body></html>"""
+
+
+def test_html(spark):
+    want = "Title & more\nFirst paragraph, with bold text.\nSecond one <here>, also long enough."
+    cases = [PAGE, None, "", "plain text", "<p>a<p>b", PAGE[: PAGE.index("</article>")], "<div><script>never", "<p>" + "long words here. " * 20000, "<" * 1000, '<a href="' * 300]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h, "clash") for i, h in enumerate(cases)], "page_id long, url string, html string, text string")
+    rows = {r["page_id"]: r for r in html_extract.extract_pages(df).collect()}
+    assert [rows[i]["text"] for i in range(5)] == [want, "", "", "plain text", "a\nb"]
+    assert rows[5]["text"] == want
+    assert rows[6]["text"] == ""
+    assert rows[7]["n_chars"] == len(rows[7]["text"]) == 17 * 20000 - 1
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+    unmarked = "<div><div><a href=1>Home</a> <a href=2>About</a></div><div>" + "".join(f"<p>Paragraph {i}, with several words, and marks.</p>" for i in range(6)) + "</div><div>Buy now</div></div>"
+    assert html_extract.extract(unmarked).split("\n") == [f"Paragraph {i}, with several words, and marks." for i in range(6)]
+
+
+# 2
+def brute_classes(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = words((t or "").encode().lower().decode())
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = sorted((find(i), find(j)))
+            up[y] = x
+    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def varied(n, rng):
+    """Families of near copies at every distance, and many that share a passage."""
+    passage, out = rng.choices(VOCABULARY, k=30), []
+    for _ in range(n):
+        if out and rng.random() < 0.7:
+            w = rng.choice(out).split()
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        else:
+            w = rng.choices(VOCABULARY, k=rng.choice([1, 2, 3, 5, 8, 20, 60, 150]))
+            w += passage * (rng.random() < 0.3)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join(spark, docs, n, percent):
+    got = ngram_join.classes(docs, n, percent).collect()
+    want = brute_classes(TEXTS, n, percent)
+    assert len(got) == len(TEXTS) + 2
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    texts = varied(250, random.Random(percent))
+    got = ngram_join.classes(table(spark, texts), n, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(texts, n, percent)
+
+
+def test_ngram_join_tiles_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 2000)
+    texts = varied(150, random.Random(5)) + [" ".join(VOCABULARY[:100] + [f"v{i}"]) for i in range(40)]
+    got = ngram_join.classes(table(spark, texts), 3, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(texts, 3, 90)
+    assert ngram_join.classes(table(spark, texts).limit(0), 3, 90).count() == 0
+
+
+def test_bounds_miss_no_pair():
+    b = ngram_join.Bounds(90)
+    for size in (1, 5, 12, 40, 133, 400):
+        for other in range(-(-size * 9 // 10), size + 1):
+            k = (10 * (size + other)) // 190
+            assert b.parts(b.band(other)) >= k + 2
+            assert b.band(other) in b.bands(size)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(10, 40)] + [(100, 200), (200, 150), (7, 7), (5, 3), (5, 3)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(10, 41), 10), 100: 100, 150: 100, 200: 100, 3: 3, 5: 3}
+
+
+# 3
+def test_store(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text")
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20)
+    with pytest.raises(ValueError):
+        store.read()
+    assert store.compact() == 0
+    for k in range(5):
+        store.append(df.where(f"doc_id % 5 = {k}").coalesce(1))
+    before = store.shards()
+    assert len(before) == 5 and store.version() == 5
+    assert store.compact() == 6 and len(store.shards()) == 1
+    assert sorted(tuple(r)[:2] for r in store.read().collect()) == sorted(tuple(r) for r in df.collect())
+    assert store.read(2).count() == 400  # an older version, before vacuum
+    with pytest.raises(RuntimeError):
+        store.commit(5, store.manifest()["schema"], [])
+    with pytest.raises(ValueError):
+        store.append(df.selectExpr("doc_id"))
+    assert store.vacuum() == 5 and store.read().count() == 1000
+    store.append(df.limit(0))
+    assert store.read().count() == 1000
+
+
+# 4
+def test_quality_rules(spark, docs):
+    def repeats(w):
+        seen = {}
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+        return len({i + k for v in seen.values() if len(v) > 1 for i in v for k in range(8)})
+
+    texts = [*TEXTS, "la " * 50, "\n".join(["A good line, of words."] * 4), "Home | News | Sport | Shop\nA long enough sentence is here to stay and to be kept, as it has more than twenty words in it, all told so far.", "One two three four five. " * 3 + "x#" * 200]
+    for r in quality_rules.judged(table(spark, texts)).collect():
+        t = texts[r["doc_id"]] or ""
+        w = words(t)
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert (r["n_words"], r["n_repeat_words"]) == (len(w), repeats(w))
+        assert r["word_chars"] == sum(len(x.decode()) for x in w)
+        assert r["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>")
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["base_failed"] == (len(w) < 20 or 100 * repeats(w) > 30 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+    rows = {r["doc_id"]: r for r in quality_rules.judged(table(spark, texts)).collect()}
+    assert rows[18]["kept"] and rows[18]["clean_text"].startswith("A long") and not rows[19]["kept"]
+    kept = quality_rules.clean(table(spark, texts))
+    assert kept.columns == table(spark, texts).columns and kept.where("doc_id = 18").first()["kept"] == "clash"
+    assert quality_rules.clean(docs.limit(0)).count() == 0
+
+
+# 5
+def test_chunks_resist_shifts():
+    w = RNG.choices(VOCABULARY, k=2000)
+    a, b = (next(chunk_dedup.chunked(pa.array([" ".join(x)])))[3] for x in (w, ["new", *w[:1000], "more", *w[1000:]]))
+    assert len(set(a.tolist()) & set(b.tolist())) > 0.95 * len(a)
+
+
+def test_substring_dedup(spark, docs):
+    rng = random.Random(11)
+    passage = " ".join(rng.choices(VOCABULARY, k=60))
+    fresh = lambda k: " ".join(f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(k))
+    texts = [f"{fresh(40)} {passage} {fresh(30)}" for _ in range(6)] + [fresh(80), None, "", f"  é{passage}", "short common text", "short common text"]
+    rows = {r["doc_id"]: r for r in chunk_dedup.dedup(table(spark, texts)).collect()}
+    assert rows[0]["text"] == texts[0] and rows[0]["n_removed"] == 0
+    for i in range(1, 6):
+        assert passage not in rows[i]["text"] and 40 <= rows[i]["n_removed"] <= 60
+        ends = [(s["start"], s["end"]) for s in rows[i]["spans"]]
+        assert sum(len(words(texts[i][a:e])) for a, e in ends) == rows[i]["n_removed"] and all(texts[i][a:e] in passage for a, e in ends)
+        assert rows[i]["text"].split() == [w for w in (texts[i][: ends[0][0]] + texts[i][ends[-1][1] :]).split()] or len(ends) > 1
+    assert [rows[i]["text"] for i in (6, 7, 8, 10, 11)] == [texts[i] for i in (6, 7, 8, 10, 11)]
+    assert chunk_dedup.dedup(docs.limit(0)).count() == 0
+    out = chunk_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert [r["text"] for r in out.where("doc_id = 6").collect()] == [BASE, BASE]
+
+
+# 6
+def test_byte_bpe(spark, docs):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encode_documents(docs, path, P.PATTERN).collect():
+        t = TEXTS[r["doc_id"]] or ""
+        assert r["ids"] == encoding.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+    text = "It's  a   test,\n\n don't  stop… 123 x\t y " * 50
+    for size in (1, 7, 50, 1000):
+        assert bpe.encode(encoding, text, size) == encoding.encode_ordinary(text)
+        assert "".join(bpe.pieces(text, size)) == text
+
+
+# 7
+def test_plan_is_gapless_and_tight():
+    rng = random.Random(2)
+    counts = {n: rng.randint(1, 50) for n in rng.sample(range(1, 101), 60)}
+    places, sequences = packing.plan(counts, 100)
+    used = {}
+    for n, runs in places.items():
+        assert sorted(r for lo, hi, _, _ in runs for r in range(lo, hi)) == list(range(counts[n]))
+        for lo, hi, first, offset in runs:
+            for k in range(hi - lo):
+                used.setdefault(first + k, []).append((offset, n))
+    for v in used.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= 100
+    total = sum(n * c for n, c in counts.items())
+    assert sequences == len(used) <= -(-total // 100) * 1.1 + 1
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = packing.pack_documents(docs, path, keep_ids=True).collect()
+    for i, text in enumerate(TEXTS):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        own = [r for r in rows if r["doc_id"] == i]
+        assert len(own) == -(-len(ids) // 2048) * (2 if i in (3, 6) else 1)
+        for r in own:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+            assert r["start"] == 2048 * r["piece"] and zlib.crc32(part) == r["ids_crc32"] and bytes(r["ids"]) == part
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in places.values():
+        assert [o for o, _ in sorted(v)] == list(itertools.accumulate([n for _, n in sorted(v)], initial=0))[:-1]
+        assert sum(n for _, n in v) <= 2048
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+# 8
+def test_classifier_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    all_docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    train, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    out = site_bayes.classify(all_docs, train).select("doc_id", "kept")
+    assert out.count() == all_docs.count()
+    rows = out.join(held, "doc_id").collect()
+    right = sum(r["kept"] == (r["quality"] == 1 and r["toxic"] == 0) for r in rows)
+    assert right >= 0.93 * len(rows)
+
+
+def test_classifier_edges(spark, docs):
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 1), (6, 0, 1), (None, 1, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    out = site_bayes.classify(docs, labels)
+    assert out.count() == docs.count() and out.where("quality is null or toxicity is null").count() == 0
+    assert site_bayes.classify(docs, labels.limit(0)).count() == docs.count()
+    assert site_bayes.classify(docs.limit(0), labels).count() == 0
+    kept = site_bayes.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "p", 3.0)] * 200 + [("small", "p", -3.0)] + [("mixed", "p", 3.0)] * 30 + [("mixed", "q", -3.0)] * 30
+    rates = {(r["host"], r["path"]): r for r in site_bayes.site_rates(spark.createDataFrame(rows, "host string, path string, good double")).collect()}
+    small = rates["small", "p"]
+    assert small["s"] / small["n"] < small["host_rate"] < small["base"]
+    assert rates["mixed", "q"]["host_rate"] < rates["big", "p"]["host_rate"]
+
+
+# 9
+def test_media(spark, docs):
+    for r in media.documents_as_media(docs).collect():
+        raw = (TEXTS[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_bytes"] == len(media.to_png(payload)) and r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest()
+    assert media.documents_as_media(docs).count() == docs.count() and media.documents_as_media(docs.limit(0)).count() == 0
+    for payload in (bytes(64), bytes(range(256)) * 3):
+        assert media.from_png(media.to_png(payload)) == payload
+    with pytest.raises(ValueError):
+        media.from_png(media.to_png(bytes(64))[:-20] + b"x" * 20)
+
+
+def test_interleaved(spark):
+    html = '<p>One</p><figure><img src="a.png"><figcaption>Cap &amp; tion</figcaption></figure><p>Two <img src=b.png alt="alt b"> three</p><img>'
+    pages = spark.createDataFrame([(1, html), (2, None), (1, "")], "page_id long, html string")
+    payloads = spark.createDataFrame([("a.png", bytearray(b"abc")), ("a.png", bytearray(b"abc")), ("z", None)], "src string, payload binary")
+    rows = media.interleaved(pages, payloads).collect()
+    assert len(rows) == 3
+    items = next(r["items"] for r in rows if r["items"])
+    assert [(i["position"], i["kind"], i["text"], i["src"], i["caption"]) for i in items] == [(0, "text", "One", None, None), (1, "media", None, "a.png", "Cap & tion"), (2, "text", "Two", None, None), (3, "media", None, "b.png", "alt b"), (4, "text", "three", None, None), (5, "media", None, None, None)]
+    assert [i["digest"] is not None for i in items] == [False, True, False, False, False, False]
+
+
+# 10
+def test_viterbi_against_the_library(spark, docs):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = P.path("piece_bpe_32k.model")
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(path, "rb").read())
+    proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    rng = random.Random(1)
+    loaded = viterbi.load(path)
+    samples = ["", " ", "a", "Hello, world!", "  two  spaces ", "▁mark", "naïve café 漢字 😀\n\ttab", "aaaaaaaaaaaaaaaa", *("".join(rng.choices("abcdeiotnrs   é", k=rng.randint(1, 60))) for _ in range(150))]
+    for s in samples:
+        assert viterbi.count(loaded, s) == len(library.encode(s)), s
+    for r in viterbi.count_tokens(docs, path).collect():
+        t = TEXTS[r["doc_id"]] or ""
+        assert r["n_tokens"] == (loaded[0].best(loaded[1].normalize(t))[1] if t else 0)
+    assert viterbi.count_tokens(docs.limit(0), path).count() == 0
+
+
+def test_viterbi_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        vocabulary = {"".join(rng.choices("abc", k=rng.randint(1, 4))): -float(rng.randint(1, 6)) for _ in range(8)}
+        counter = viterbi.UnigramCounter(list(vocabulary.items()))
+        text = "".join(rng.choices("abcd", k=12))
+        unknown = min(vocabulary.values()) - 10
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):  # earliest start first, strictly better replaces
+            top = None
+            for start in range(end):
+                piece = text[start:end]
+                if piece in vocabulary:
+                    s, n = best[start][0] + vocabulary[piece], best[start][1] + 1
+                elif len(piece) == 1:
+                    s, n = best[start][0] + unknown, best[start][1] + 1
+                else:
+                    continue
+                if top is None or s > top[0]:
+                    top = (s, n)
+            best.append(top)
+        assert counter.best(text) == best[-1]
+
+
+def test_words_as_arrays():
+    texts = ["", "a b", None, "  c\n", "é\x0b日 x", "\x1f \x85x"]
+    got = []
+    for row, end, w in parts(pa.array(texts), lower=False):
+        for i in range(end - row):
+            got.append([w.data[w.start[k] : w.end[k]].tobytes() for k in range(w.first[i], w.first[i + 1])])
+    assert got == [words(t) for t in texts]
+    _, _, w = next(parts(pa.array(["Ab ab x ab"]), lower=True))
+    assert w.hashes[0] == w.hashes[1] == w.hashes[3] != w.hashes[2]

@@ -83,20 +83,25 @@ def duplicate_runs(ends: np.ndarray, again: np.ndarray, min_words: int) -> list[
     return [(a, e) for a, e in runs if e - a >= min_words]
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEAN_WORDS, more: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text without repeated passages, n_words, n_removed, spans (start, end in characters), and `more`.
+def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text without repeated passages, n_words, n_removed, spans (start, end in characters).
 
     One row for each row of docs, a null text stays null. A passage stays in the document with the least doc_id; what repeats within one document only isn't touched, and rows that
     share a doc_id are one document. Null doc_ids are neither owners nor changed. White space left at a cut is reduced to the one before it.
 
     Two shuffles carry the chunks: a count by digest with partial sums, and an equi-join with the shared digests, which AQE splits for hot ones.
     """
+    return _deduped(docs, min_words, mean_words, [])
+
+
+def _deduped(docs: DataFrame, min_words: int, mean_words: int, more: list[str]) -> DataFrame:
+    """dedup() and the columns `more` of docs as _m0, _m1 and so on, so that names can't clash."""
     rows = _digest_rows(docs, mean_words)
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("digest", "owner")
     again = rows.join(shared, "digest").where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("digest").alias("_again"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(more or [])])
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(more)])
     joined = base.join(again, "doc_id", "left")
-    n_more = len(more or [])
+    n_more = len(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,16 +135,14 @@ def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEA
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), *(b[f"_m{i}"] for i in range(n_more))], names=["doc_id", "text", "n_words", "n_removed", "spans", *(f"_m{i}" for i in range(n_more))])
 
-    kinds = "".join(f", _m{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more or []))
-    out = in_arrow(joined, run, f"doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>{kinds}")
-    return out.select("doc_id", "text", "n_words", "n_removed", "spans", *[F.col(f"_m{i}").alias(c) for i, c in enumerate(more or [])])
+    kinds = "".join(f", _m{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(more))
+    return in_arrow(joined, run, f"doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>{kinds}")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     """docs with repeated passages removed from text, and n_chars (if there) brought up to date; all rows and columns stay."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    d = dedup(docs, min_words, more=rest)
-    new = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "n_chars": F.length("text").cast("long")}
-    return d.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
-
-
+    d = _deduped(docs, min_words, MEAN_WORDS, rest)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    at = {c: F.col(f"_m{i}") for i, c in enumerate(rest)}
+    return d.select(*[new.get(c, at.get(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -75,7 +75,9 @@ def repeated_words(docs: DataFrame, tokens: str, out: str) -> DataFrame:
     d = d.withColumn("_q", F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))))
     steps = F.zip_with(F.slice("_p", F.lit(1), F.size("_q")), "_q", lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + F.when(F.size("_p") > 0, WINDOW).otherwise(0)
-    return d.withColumn(out, F.when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_n", "_h", "_again", "_w", "_v", "_p", "_q")
+    # The id is never negative. It makes the column one that Spark doesn't substitute: else a filter on it would be pushed below the stages,
+    # written out in terms of the text, and would split the text anew for every word.
+    return d.withColumn(out, F.when(F.monotonically_increasing_id() < 0, F.lit(0)).when(F.col("_again"), covered).otherwise(0).cast("long")).drop("_n", "_h", "_again", "_w", "_v", "_p", "_q")
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -39,10 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small frames of iterations."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Rounds:
+    """Frames of an iteration, each written in the shared folder; the one before is deleted, as nothing is computed from it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        df.write.parquet(path)
+        if self.path:
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:

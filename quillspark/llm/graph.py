@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import Rounds
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) in any order -> (node, component), component being the smallest node reachable.
 
     Nodes that are on no edge aren't returned; loops, nulls and repeated edges are harmless; no edges give an empty frame.
-    Every round is checkpointed in the shared folder; two numbers a round reach the driver.
+    Every round is written in the shared folder, in place of the one before; two numbers a round reach the driver.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    cut = Rounds(edges.sparkSession, "edges")
     e, before = cut(e), None
     while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -3,7 +3,7 @@
 The product is never formed as a whole. What makes its blocks is a bound on sizes: for sets of sizes a and b to reach similarity s, at most
 k = (1 - s) / (1 + s) * (a + b) n-grams may be in one of them only. The n-grams are dealt by hash into m = k + 2 column parts, so two parts at least are
 equal in both sets (k being that of the largest pair in a band of sizes). A digest of each part's content is a row's signature there; rows
-that share no signature can't reach s and never meet. Rows that do are linked into candidate groups, which are the blocks: in a block overlap counts are
+that share no signature can't reach s and never meet. Rows that do, in a band, are linked into candidate groups, which are the blocks: in a block overlap counts are
 accumulated row by row over the columns, pairs below their size-derived bound are discarded, and a spanning forest of the links is returned, never
 all pairs. A group too large for one task is cut into tiles, and each pair of tiles is a block.
 
@@ -31,6 +31,9 @@ TILE = 1_000_000
 #: Sizes from BAND ** i to BAND ** (i + 1) share a number of parts.
 BAND = 1.5
 _A = np.uint64(0x9E3779B97F4A7C15)
+#: A signature's low bits are its band, of which there are fewer than BANDS.
+BANDS = 64
+_BAND_BITS = np.uint64(BANDS - 1)
 
 
 def ngrams(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -97,7 +100,7 @@ class Bounds:
 
 
 def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """Digests of the set's column parts, for each band in which it looks for partners."""
+    """Digests of the set's column parts, for each band in which it looks for partners; the band is in the low bits."""
     out = []
     for band in bounds.bands(len(grams)):
         m = bounds.parts(band)
@@ -106,6 +109,7 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
         np.add.at(total, part, mix(grams ^ _A))
         held = np.bincount(part, minlength=m)
         digest = mix(total * _A + mix((np.arange(m) + 1_000_003 * band).astype(np.uint64) + (held.astype(np.uint64) << np.uint64(40))))
+        digest = (digest & ~_BAND_BITS) | np.uint64(band)
         out.append(digest if (held == 0).sum() >= 2 else digest[held > 0])
     return np.unique(np.concatenate(out))
 
@@ -209,21 +213,26 @@ def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles:
 
 
 def links(docs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): links among the smallest documents of equal sets that connect whatever is connected. facts: described(), written."""
+    """(u, v): links among the smallest documents of equal sets that connect whatever is connected. facts: described(), written.
+
+    doc_ids must be from -2 ** 57 to 2 ** 57; others overflow, which Spark reports as an error.
+    """
     bounds = Bounds(percent)
     same = facts.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     reps = facts.where("doc_id is not null").select("doc_id", "high", "low", "n_shingles").join(same, ["high", "low"]).select("doc_id", "rep", "n_shingles")
     rows = facts.where("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
     least = F.min("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = rows.withColumn("other", least).where("other <> doc_id").select("doc_id", "other").distinct()
+    met = rows.withColumn("other", least).where("other <> doc_id").select("doc_id", "other", F.col("signature").bitwiseAND(F.lit(BANDS - 1)).alias("band")).distinct()
     left, right = reps.select("doc_id", F.col("rep").alias("u")), reps.select(F.col("doc_id").alias("other"), F.col("rep").alias("v"))
-    groups = written(components(met.join(left, "doc_id").join(right, "other").select("u", "v")), "groups")
+    # a node is a document in a band, so groups of short texts and of long ones don't grow together
+    met = met.join(left, "doc_id").join(right, "other").select((F.col("u") * BANDS + F.col("band")).alias("u"), (F.col("v") * BANDS + F.col("band")).alias("v"))
+    groups = written(components(met).select(F.shiftright("node", 6).alias("node"), "component"), "groups")
     weight = groups.join(reps.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
     total = weight.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE)).cast("int").alias("tiles"))
     dealt = weight.join(total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     pairs = F.when(F.col("tiles") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))"))
     dealt = written(dealt.select("node", "tile", "component", F.explode(pairs).alias("p")).select("node", "tile", "component", "p.a", "p.b"), "dealt")
-    wanted = texts_of(docs).join(small_enough(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    wanted = texts_of(docs).join(small_enough(groups.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

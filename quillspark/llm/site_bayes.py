@@ -97,12 +97,19 @@ def _fit_one(rows: list[set[str]], y: np.ndarray) -> tuple[dict[str, float], flo
     w[-1] = prior
     ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-3
-    for _ in range(12):  # Newton steps on the penalized likelihood
+    def loss(v: np.ndarray) -> float:
+        m = x @ v
+        return float((np.logaddexp(0, m) - y * m).sum() + 0.5 * (ridge * v * v).sum())
+
+    now = loss(w)
+    for _ in range(20):  # Newton steps on the penalized likelihood, halved until they lower the loss
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-4:
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        if then > now or np.abs(step).max() < 1e-4:
             break
+        w, now = w + step, then
     return {f: float(v) for f, v in zip(kept, w[:-1], strict=True)}, float(w[-1])
 
 

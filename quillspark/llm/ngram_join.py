@@ -1,14 +1,15 @@
 """N-gram Jaccard join, exact, as a blocked sparse product of the document by n-gram incidence with its own transpose.
 
 The product is never formed as a whole. What makes its blocks is a bound on sizes: for sets of sizes a and b to reach similarity s, at most
-k = (1 - s) / (1 + s) * (a + b) n-grams may be in one of them only. The n-grams are dealt by hash into m = k + 2 column parts, so two parts at least are
-equal in both sets (k being that of the largest pair in a band of sizes). A digest of each part's content is a row's signature there; rows
-that share no signature can't reach s and never meet. Rows that do, in a band, are linked into candidate groups, which are the blocks: in a block overlap counts are
-accumulated row by row over the columns, pairs below their size-derived bound are discarded, and a spanning forest of the links is returned, never
-all pairs. A group too large for one task is cut into tiles, and each pair of tiles is a block.
-
-Parts without n-grams agree for free, so they count only where a row has two of them (two equal parts exist, so one of them
-isn't empty otherwise). Sets are compared as 64-bit hashes of the n-grams.
+d = (1 - s) / (1 + s) * (a + b) n-grams may be in one of them only. The n-grams are dealt by hash into m column parts, m being the same for all pairs
+in a band of sizes and greater than any d there, so m - d parts at least are equal in both sets. Put in one order for all rows (parts of many n-grams first,
+then by digest), two such rows share one of their first d + 1 parts; the digests of these are a row's signatures, and parts of few n-grams, which
+chance makes equal, are no signatures. Rows that share no signature can't reach s and never meet. Rows that do, in a band, are linked into
+candidate groups, which are the blocks: in a block pairs with fewer than m - d equal parts are discarded, overlap counts of the others are accumulated row by
+row over the columns, pairs below their size-derived bound are discarded, and a spanning forest of the links is returned, never all pairs. A group
+too large for one task is cut into tiles, and each pair of tiles is a block.
+
+Sets are compared as 64-bit hashes of the n-grams.
 """
 
 from __future__ import annotations
@@ -83,11 +84,20 @@ class Bounds:
         """The smallest size of a band."""
         return math.ceil(BAND**band - 1e-9)
 
+    def apart(self, a, b):
+        """How many n-grams at most are in one only of linked sets of sizes a and b; for numbers or arrays."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
+
     def parts(self, band: int) -> int:
-        """m for pairs whose smaller set is in the band."""
+        """m for pairs whose smaller set is in the band: a quarter more than any such pair's `apart`, and two."""
+        small = self.least(band + 1) - 1
+        most = self.apart(small, small * 100 // self.percent)
+        return most + most // 4 + 2
+
+    def most_apart(self, n: int, band: int) -> int:
+        """The greatest `apart` of a set of n and a partner, the smaller of them being in the band."""
         small = self.least(band + 1) - 1
-        large = small * 100 // self.percent
-        return (100 - self.percent) * (small + large) // (100 + self.percent) + 2
+        return self.apart(n, n * 100 // self.percent if n <= small else small)
 
     def bands(self, n: int) -> list[int]:
         """The bands in which a set of n looks for partners: its own, and those of smaller sets that may reach it."""
@@ -99,18 +109,25 @@ class Bounds:
         return out
 
 
+def part_digests(grams: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of a set's m column parts, and how many n-grams each part holds; the band is in a digest's low bits."""
+    part = ((grams >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    held = np.bincount(part, minlength=m)
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(mix(grams ^ _A)[order], out=sums[1:])
+    ends = np.cumsum(held)
+    total = sums[ends] - sums[ends - held]
+    digest = mix(total * _A + mix((np.arange(m) + 1_000_003 * band).astype(np.uint64) + (held.astype(np.uint64) << np.uint64(40))))
+    return (digest & ~_BAND_BITS) | np.uint64(band), held
+
+
 def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """Digests of the set's column parts, for each band in which it looks for partners; the band is in the low bits."""
+    """For each band in which the set looks for partners the digests of its first parts, one more than may differ."""
     out = []
     for band in bounds.bands(len(grams)):
-        m = bounds.parts(band)
-        part = ((grams >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, mix(grams ^ _A))
-        held = np.bincount(part, minlength=m)
-        digest = mix(total * _A + mix((np.arange(m) + 1_000_003 * band).astype(np.uint64) + (held.astype(np.uint64) << np.uint64(40))))
-        digest = (digest & ~_BAND_BITS) | np.uint64(band)
-        out.append(digest if (held == 0).sum() >= 2 else digest[held > 0])
+        digest, held = part_digests(grams, band, bounds.parts(band))
+        out.append(digest[np.lexsort((digest, -held))[: bounds.most_apart(len(grams), band) + 1]])
     return np.unique(np.concatenate(out))
 
 
@@ -143,72 +160,52 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return in_arrow(texts_of(docs), run, "doc_id long, n_shingles long, high long, low long, signatures array<long>")
 
 
-class _Sets:
-    """Disjoint sets over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _lists(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The transposed incidence: (starts, rows that have each column, each row's columns)."""
-    flat = np.concatenate(rows)
-    _, column = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    order = np.argsort(column, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(column))])
-    return starts, owner[order], np.split(column, np.cumsum([len(r) for r in rows])[:-1])
-
-
 def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among docs; with tiles, only of those between rows of different tiles.
 
-    Row by row the overlap counts with all later rows are accumulated over the row's columns; a row whose possible partners (by signature and
-    size) are all in its own set already is passed over, as it can link nothing new.
+    Rows are taken by size, so each is the smaller one of its pairs with later rows. Its equal parts with them are counted; those with enough, of a
+    size that may reach it and not in its own set already are its possible partners, and only for them overlap counts are accumulated.
     """
-    n = len(docs)
-    if n == 2:
+    if len(docs) == 2:
         common = np.intersect1d(grams[0], grams[1], assume_unique=True).size
         return [(docs[0], docs[1])] if bounds.reached(common, len(grams[0]), len(grams[1])) else []
-    sizes = np.array([len(g) for g in grams])
-    signs = [signatures(g, bounds) for g in grams]
-    s_starts, s_rows, s_columns = _lists(signs)
-    g_starts, g_rows, g_columns = _lists(grams)
-    joined, out = _Sets(n), []
-    tile = np.array(tiles) if tiles else None
-
-    def met(starts: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        count = starts[columns + 1] - starts[columns]
-        at = np.repeat(starts[columns] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return np.bincount(rows[at], minlength=n)
-
-    for i in range(n):
-        maybe = met(s_starts, s_rows, s_columns[i]) > 0
-        maybe[: i + 1] = False
+    order = sorted(range(len(docs)), key=lambda i: len(grams[i]))
+    docs, grams = [docs[i] for i in order], [grams[i] for i in order]
+    n, sizes = len(docs), np.array([len(g) for g in grams])
+    tile = np.array(tiles)[order] if tiles else None
+    own = [bounds.band(int(x)) for x in sizes]
+    parts_of = {b: bounds.parts(b) for x in sizes for b in bounds.bands(int(x))}
+    every = [{b: part_digests(g, b, parts_of[b])[0] for b in bounds.bands(len(g))} for g in grams]
+    digests = np.concatenate([d for row in every for d in row.values()])
+    names, column = np.unique(digests, return_inverse=True)
+    owner = np.repeat(np.arange(n), [sum(map(len, row.values())) for row in every])
+    rows = owner[np.argsort(column, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(column))])
+    _, flat = np.unique(np.concatenate(grams), return_inverse=True)
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(int(flat.max()) + 1, bool)
+    label, sets, out = np.arange(n), n, []
+    for i in range(n - 1):
+        if sets == 1:
+            break
+        mine = np.searchsorted(names, every[i][own[i]])
+        count = starts[mine + 1] - starts[mine]
+        at = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        equal = np.bincount(rows[at], minlength=n)[i + 1 :]
+        later = sizes[i + 1 :]
+        maybe = (equal >= parts_of[own[i]] - bounds.apart(sizes[i], later)) & (later * bounds.percent <= sizes[i] * 100) & (label[i + 1 :] != label[i])
         if tile is not None:
-            maybe &= tile != tile[i]
-        maybe &= (np.minimum(sizes, sizes[i]) * 100 >= bounds.percent * np.maximum(sizes, sizes[i]))
-        found = np.flatnonzero(maybe)
-        if not len(found):
-            continue
-        root = joined.find(i)
-        found = found[np.fromiter((joined.find(j) != root for j in found.tolist()), bool, len(found))]
+            maybe &= tile[i + 1 :] != tile[i]
+        found = np.flatnonzero(maybe) + i + 1
         if not len(found):
             continue
-        common = met(g_starts, g_rows, g_columns[i])[found]
-        for j in found[bounds.reached(common, sizes[i], sizes[found])].tolist():
-            if joined.join(i, j):
+        marked[flat[places[i] : places[i + 1]]] = True
+        for j in found.tolist():
+            if label[j] != label[i] and bounds.reached(np.count_nonzero(marked[flat[places[j] : places[j + 1]]]), sizes[i], sizes[j]):
+                label[label == label[j]] = label[i]
+                sets -= 1
                 out.append((docs[i], docs[j]))
+        marked[flat[places[i] : places[i + 1]]] = False
     return out
 
 

@@ -1,9 +1,11 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash runs over the bytes of a text (words joined by single spaces); a chunk ends at a word's end where the hash's chosen bits
-are 0. Cuts depend on the last few bytes only, so after an insertion the chunks fall into step again. Chunks are
-compared by digest over all documents: the smallest doc_id owns a chunk, every other document's copy is a duplicate. Single chunks are a few words
-and repeat by chance, so only runs of duplicate chunks of at least `min_words` words are removed, as spans of whole words.
+are 0. Cuts depend on the last few bytes only, so after an insertion the chunks fall into step again. Single chunks are a few words and
+repeat by chance, each in another document, so what is compared by digest over all documents is windows: successive chunks of at least `min_words`
+words together. The smallest doc_id owns a window, every other document's copy is a duplicate. Each chunk begins the shortest window that it can and
+ends the shortest that it can, so the windows that two documents share cover all of a run of chunks that they share, if it has
+`min_words` words. Duplicate windows are removed, as spans of whole words.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import in_arrow, texts_of
-from quillspark.llm.word_arrays import Words, mix, parts
+from quillspark.llm.word_arrays import BASE, INVERSE, Words, mix, parts, powers_of
 
 #: Bytes that the rolling hash sees, words in a chunk on average (a power of two) and at most, and words of the shortest run removed.
 GEAR_BYTES, MEAN_WORDS, MAX_WORDS, MIN_RUN_WORDS = 12, 4, 48, 24
@@ -59,15 +61,31 @@ def chunked(column: pa.Array, mean_words: int = MEAN_WORDS) -> Iterator[tuple[Wo
             yield words, int(first[i]), ends[a:e] - first[i], digests[a:e]
 
 
-def _digest_rows(docs: DataFrame, mean_words: int) -> DataFrame:
-    """(doc_id, digest) of each distinct chunk of each row."""
+def windows(ends: np.ndarray, digests: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, last chunk and 64-bit digest of a text's windows: for each chunk the shortest of at least min_words words that begins with it, and the shortest that ends with it."""
+    if not len(ends) or ends[-1] < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n, starts = len(ends), np.concatenate([[0], ends[:-1]])
+    last = np.searchsorted(ends, starts + min_words)
+    first = np.searchsorted(starts, ends - min_words, "right") - 1
+    begun = np.flatnonzero(last < n)
+    ended = np.flatnonzero(first >= 0)
+    ended = ended[last[first[ended]] != ended]  # the others are among the first kind
+    first, last = np.concatenate([begun, first[ended]]), np.concatenate([last[begun], ended])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(digests * powers_of(BASE, n), out=total[1:])
+    return first, last, mix((total[last + 1] - total[first]) * powers_of(INVERSE, n)[first] + (last - first).astype(np.uint64))
+
+
+def _digest_rows(docs: DataFrame, min_words: int, mean_words: int) -> DataFrame:
+    """(doc_id, digest) of each distinct window of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, found = [], []
-            for doc, (_, _, _, digests) in zip(b["doc_id"].to_pylist(), chunked(b["text"], mean_words), strict=True):
-                if doc is not None and len(digests):
-                    found.append(np.unique(digests).view(np.int64))
+            for doc, (_, _, ends, digests) in zip(b["doc_id"].to_pylist(), chunked(b["text"], mean_words), strict=True):
+                if doc is not None and len(own := windows(ends, digests, min_words)[2]):
+                    found.append(np.unique(own).view(np.int64))
                     ids.append(np.full(len(found[-1]), doc, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "digest"])
@@ -75,6 +93,25 @@ def _digest_rows(docs: DataFrame, mean_words: int) -> DataFrame:
     return in_arrow(texts_of(docs), run, "doc_id long, digest long")
 
 
+def _not_first(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, digest) whose digest a smaller doc_id has too. Rows of a digest meet in one task, sorted, and pass through it in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, owner = None, 0  # the digest that the last batch ended with, and its least doc_id
+        for b in batches:
+            ids, digests = b["doc_id"].to_numpy(), b["digest"].to_numpy()
+            if not len(ids):
+                continue
+            new = np.concatenate([[before is None or digests[0] != before], digests[1:] != digests[:-1]])
+            group = np.cumsum(new)
+            owners = np.concatenate([[owner], ids[new]])[group]
+            before, owner = digests[-1], owners[-1]
+            if (again := ids > owners).any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(digests[again])], names=["doc_id", "digest"])
+
+    return in_arrow(rows.repartition("digest").sortWithinPartitions("digest", "doc_id"), run, "doc_id long, digest long")
+
+
 def duplicate_runs(ends: np.ndarray, again: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     """(first, end) in words of the maximal runs of chunks marked again that have at least min_words words."""
     starts = np.concatenate([[0], ends[:-1]])
@@ -89,16 +126,15 @@ def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEA
     One row for each row of docs, a null text stays null. A passage stays in the document with the least doc_id; what repeats within one document only isn't touched, and rows that
     share a doc_id are one document. Null doc_ids are neither owners nor changed. White space left at a cut is reduced to the one before it.
 
-    Two shuffles carry the chunks: a count by digest with partial sums, and an equi-join with the shared digests, which AQE splits for hot ones.
+    One shuffle carries the windows' digests, another the duplicate ones to their documents. The rows of one digest, one for each document that has it, meet in one
+    task, which reads them as a stream.
     """
     return _deduped(docs, min_words, mean_words, [])
 
 
 def _deduped(docs: DataFrame, min_words: int, mean_words: int, more: list[str]) -> DataFrame:
     """dedup() and the columns `more` of docs as _m0, _m1 and so on, so that names can't clash."""
-    rows = _digest_rows(docs, mean_words)
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner < other").select("digest", "owner")
-    again = rows.join(shared, "digest").where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("digest").alias("_again"))
+    again = _not_first(_digest_rows(docs, min_words, mean_words)).groupBy("doc_id").agg(F.collect_set("digest").alias("_again"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(more)])
     joined = base.join(again, "doc_id", "left")
     n_more = len(more)
@@ -109,7 +145,10 @@ def _deduped(docs: DataFrame, min_words: int, mean_words: int, more: list[str])
             for value, marks, (words, at, ends, digests) in zip(b["text"], b["_again"], chunked(b["text"], mean_words), strict=True):
                 runs: list[tuple[int, int]] = []
                 if marks.is_valid:
-                    runs = duplicate_runs(ends, np.isin(digests.view(np.int64), marks.values.to_numpy()), min_words)
+                    first, last, own = windows(ends, digests, min_words)
+                    found = np.isin(own.view(np.int64), marks.values.to_numpy())
+                    edge = np.bincount(first[found], minlength=len(ends) + 1) - np.bincount(last[found] + 1, minlength=len(ends) + 1)
+                    runs = duplicate_runs(ends, np.cumsum(edge)[:-1] > 0, min_words)
                 counts.append(int(ends[-1]) if len(ends) else 0)
                 removed.append(sum(e - a for a, e in runs))
                 text = value.as_py()

@@ -14,8 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on together at most (a single longer text is a part of its own).
 PART_BYTES = 2 << 20
-_BASE = 0xD1342543DE82EF95  # odd, so it has an inverse
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0xD1342543DE82EF95  # odd, so it has an inverse
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _held: dict[int, np.ndarray] = {}
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
+def powers_of(base: int, n: int) -> np.ndarray:
     if base not in _held or len(_held[base]) < n:
         _held[base] = _powers(base, n)
     return _held[base][:n]
@@ -78,8 +78,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     ends[before] = inside[before]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _EXACT)[data] * _powers_of(_BASE, n), out=total[1:])
-    hashes = mix((total[end] - total[start]) * _powers_of(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+    np.cumsum((_LOWER if lower else _EXACT)[data] * powers_of(BASE, n), out=total[1:])
+    hashes = mix((total[end] - total[start]) * powers_of(INVERSE, n)[start] + (end - start).astype(np.uint64))
     return Words(data, np.searchsorted(start, offsets), start, end, hashes)
 
 

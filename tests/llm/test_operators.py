@@ -203,6 +203,26 @@ def test_substring_dedup(spark, docs):
     assert [r["text"] for r in out.where("doc_id = 6").collect()] == [BASE, BASE]
 
 
+def test_chunks_of_many_documents_are_no_repeat(spark):
+    """Each two neighbouring chunks of a clean text stand in an earlier document, but no 24 words of it do; then a run of its chunks does."""
+    rng = random.Random(12)
+    fresh = lambda k: [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(k)]
+    clean = fresh(300)
+    ends = [0, *next(chunk_dedup.chunked(pa.array([" ".join(clean)])))[2].tolist()]
+    pairs = [clean[a:b] for a, b in zip(ends, ends[2:], strict=False) if b - a < 24]
+    texts = [" ".join(fresh(30) + x + fresh(30)) for x in pairs] + [" ".join(clean)]
+    rows = {r["doc_id"]: r for r in chunk_dedup.dedup(table(spark, texts)).collect()}
+    assert len(pairs) > 40 and {r["n_removed"] for r in rows.values()} == {0}
+    assert rows[len(pairs)]["text"] == texts[-1]
+    for first in range(5, 35):  # all chunks of a shared run go, the outer ones too
+        e, digests = np.array(ends[1:]), np.arange(len(ends) - 1, dtype=np.uint64)
+        for last in range(first, len(e)):
+            a, z, _ = chunk_dedup.windows(e, digests, 24)
+            inside = (a >= first) & (z <= last)
+            covered = {i for x, y in zip(a[inside], z[inside], strict=True) for i in range(x, y + 1)}
+            assert covered == (set(range(first, last + 1)) if ends[last + 1] - ends[first] >= 24 else set())
+
+
 # 6
 def test_byte_bpe(spark, docs):
     import tiktoken

@@ -3,7 +3,7 @@
 Every text node counts toward its root-to-leaf tag path. For each path the text length and the punctuation per node are
 aggregated, smoothed over neighbouring paths in page order, fused into one ratio and cut at a threshold; the paths above it are
 content. The article is the smallest element that holds nearly all of the content, and its blocks are the result. Elements
-that say what they are (nav, footer, adverts, forms, comments and so on, by tag, role, class or id) never count.
+that say what they are by tag or role (nav, footer, forms and so on) never count. Words of class and id are hints only: see furniture().
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ NOT_CONTENT = set("nav footer aside form menu button select option dialog svg ca
 ROLES = set("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form status".split())
 HINTS = set("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert banner popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search searchbox form widget skip pagination pager toolbar masthead topbar copyright legal disclaimer".split())
 _CONTENT = {"article", "main"}
+_NEVER_HINTED = {"html", "body", *_CONTENT}
+#: An element with a hint word in a longer token is the article's if it holds this share of the content.
+HINTED_SHARE = 0.1
 
 _MARK = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
@@ -42,13 +45,17 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("attributes", "name", "out", "parent", "path")
+    __slots__ = ("attributes", "hinted", "name", "out", "parent", "path", "plain", "tokens")
 
     def __init__(self, name: str, parent: _Node | None, attributes: str = ""):
         self.name, self.parent = name, parent
         self.path = f"{parent.path}/{name}" if parent else name
         self.attributes = attributes
         self.out = bool(parent and parent.out) or _excluded(name, attributes, parent)
+        self.plain, self.tokens = _hints(attributes)  # a whole token says it; tokens with a hint word among others
+        self.hinted: tuple[_Node, ...] = parent.hinted if parent else ()  # the element and those around it that have hints
+        if (self.plain or self.tokens) and name not in _NEVER_HINTED:
+            self.hinted += (self,)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -68,12 +75,24 @@ def _excluded(name: str, raw: str, parent: _Node | None) -> bool:
         return True
     if name == "header":  # that of an article holds its title
         return not _inside(parent, _CONTENT)
-    if not raw or name in ("html", "body", "article", "main"):
+    if not raw or name in _NEVER_HINTED:
         return False
     a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    return any(w in HINTS for key in ("class", "id") if key in a for w in _WORD.findall(a[key].lower()))
+    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+
+
+def _hints(raw: str) -> tuple[bool, frozenset[str]]:
+    """Whether a token of class or id has hint words only, and the tokens that have a hint word and others."""
+    if not raw:
+        return False, frozenset()
+    a = _attributes(raw)
+    plain, mixed = False, set()
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        found = [w in HINTS for w in _WORD.findall(token)]
+        if any(found):
+            plain |= all(found)
+            mixed |= set() if all(found) else {token}
+    return plain, frozenset(mixed)
 
 
 def parsed(page: str) -> Iterator[tuple[str, _Node, str]]:
@@ -135,9 +154,9 @@ def parsed(page: str) -> Iterator[tuple[str, _Node, str]]:
             yield "open", node, ""
 
 
-def blocks_of(page: str) -> list[tuple[str, _Node, int, int, bool]]:
-    """(text, its element, characters, characters in links, all of it out) for each block that has text."""
-    out, parts, nodes, linked = [], [], [], 0
+def blocks_of(page: str) -> tuple[list[tuple[str, _Node, int, int]], list[_Node]]:
+    """(text, its element, characters, characters in links) for each block that has text, and the article and main elements."""
+    out, parts, nodes, linked, articles = [], [], [], 0, []
 
     def flush() -> None:
         nonlocal linked
@@ -146,7 +165,7 @@ def blocks_of(page: str) -> list[tuple[str, _Node, int, int, bool]]:
             first = nodes[0]
             while first.name not in BLOCK and first.parent and first.parent.name:
                 first = first.parent
-            out.append((text, first, len(text), linked, False))
+            out.append((text, first, len(text), linked))
         parts.clear()
         nodes.clear()
         linked = 0
@@ -154,6 +173,9 @@ def blocks_of(page: str) -> list[tuple[str, _Node, int, int, bool]]:
     for kind, node, text in parsed(page):
         if kind == "break":
             flush()
+        elif kind == "open":
+            if node.name in _CONTENT and not node.out and not node.plain:
+                articles.append(node)
         elif kind == "text" and not node.out:
             value = entities.unescape(text)
             if value.strip():
@@ -163,7 +185,7 @@ def blocks_of(page: str) -> list[tuple[str, _Node, int, int, bool]]:
             if nodes or parts:
                 parts.append(value)
     flush()
-    return out
+    return out, articles
 
 
 def path_ratios(blocks: list) -> tuple[list[str], np.ndarray]:
@@ -184,6 +206,53 @@ def path_ratios(blocks: list) -> tuple[list[str], np.ndarray]:
     return list(paths), smooth(text_ratio) * np.log1p(smooth(mark_ratio)) * (chars - linked + 1) / (chars + 1)
 
 
+def content_weights(blocks: list, strength: float) -> tuple[set[str], list[int]]:
+    """The content paths, and each block's characters outside links if it is on one of them (0: it isn't)."""
+    paths, ratio = path_ratios(blocks)
+    limit = min(strength * ratio.std(), ratio.max())
+    content = {p for p, r in zip(paths, ratio, strict=True) if r >= limit}
+    return content, [max(0, n - linked) if node.path in content else 0 for _, node, n, linked in blocks]
+
+
+def furniture(blocks: list, articles: list[_Node], strength: float) -> list:
+    """The blocks without those of hinted elements that aren't the article's; all blocks if none would be left.
+
+    An element with a token of hint words only (comments, cookie-notice) is furniture, unless it holds all article and main elements and half of
+    the content. One with a hint word in a longer token (has-sidebar, legal-text) is furniture if it holds no article or main element and, with
+    all elements of the same token, less than HINTED_SHARE of the content.
+    """
+    if not any(node.hinted for _, node, *_ in blocks):
+        return blocks
+    holds: dict[int, int] = {}
+    for x in articles:
+        for h in x.hinted:
+            holds[id(h)] = holds.get(id(h), 0) + 1
+    plain = {id(h): h for _, node, *_ in blocks for h in node.hinted if h.plain}
+    whole = [k for k in plain if articles and holds.get(k, 0) == len(articles)]
+    if whole:
+        _, weights = content_weights(blocks, strength)
+        held = dict.fromkeys(whole, 0)
+        for (_, node, *_), w in zip(blocks, weights, strict=True):
+            for h in node.hinted:
+                if id(h) in held:
+                    held[id(h)] += w
+        for k in whole:
+            if 2 * held[k] >= sum(weights):
+                del plain[k]
+    kept = [b for b in blocks if not any(id(h) in plain for h in b[1].hinted)] or blocks
+    # a plain element that is kept has been judged already
+    groups = {h.tokens for _, node, *_ in kept for h in node.hinted if not h.plain}
+    if groups:
+        _, weights = content_weights(kept, strength)
+        share = dict.fromkeys(groups, 0)
+        for (_, node, *_), w in zip(kept, weights, strict=True):
+            for t in {h.tokens for h in node.hinted if not h.plain}:
+                share[t] += w
+        little = {t for t in groups if share[t] < HINTED_SHARE * sum(weights)}
+        kept = [b for b in kept if not any(not h.plain and h.tokens in little and id(h) not in holds for h in b[1].hinted)] or kept
+    return kept
+
+
 def extract(page: str | None, strength: float = 0.25) -> str:
     """The article's blocks, joined by newlines; '' for null, empty and textless pages.
 
@@ -191,18 +260,15 @@ def extract(page: str | None, strength: float = 0.25) -> str:
     the best one). The article is the innermost article or main element, or else the innermost element, that holds at least nine
     tenths of the content's text; within it only blocks that are links for the most part and on no content path are left out.
     """
-    blocks = blocks_of(page or "")
+    blocks, articles = blocks_of(page or "")
     if not blocks:
         return ""
-    paths, ratio = path_ratios(blocks)
-    limit = min(strength * ratio.std(), ratio.max())
-    content = {p for p, r in zip(paths, ratio, strict=True) if r >= limit}
+    blocks = furniture(blocks, articles, strength)
+    content, weights = content_weights(blocks, strength)
     weight: dict[int, int] = {}
     seen: dict[int, _Node] = {}
-    total = 0
-    for _, node, n, linked, _ in blocks:
-        w = max(0, n - linked) if node.path in content else 0
-        total += w
+    total = sum(weights)
+    for (_, node, *_), w in zip(blocks, weights, strict=True):
         while node:
             weight[id(node)] = weight.get(id(node), 0) + w
             seen[id(node)] = node
@@ -219,7 +285,7 @@ def extract(page: str | None, strength: float = 0.25) -> str:
             x = x.parent
         return best is None
 
-    kept = [text for text, node, n, linked, _ in blocks if within(node) and (node.path in content or linked < 0.6 * n)]
+    kept = [text for text, node, n, linked in blocks if within(node) and (node.path in content or linked < 0.6 * n)]
     return "\n".join(kept)
 
 

@@ -58,6 +58,21 @@ def test_html(spark):
     assert html_extract.extract(unmarked).split("\n") == [f"Paragraph {i}, with several words, and marks." for i in range(6)]
 
 
+BODY = [f"Paragraph {i} of the text, with several words, and marks; it goes on." for i in range(8)]
+
+
+@pytest.mark.parametrize("wrapper", ['class="has-sidebar"', 'class="content-sidebar-wrap"', 'id="page" class="no-sidebar"', 'class="post comment-open"', 'class="legal-text"', 'class="widget"'])
+def test_html_hint_words_in_wrappers(wrapper):
+    """A wrapper whose class merely mentions furniture keeps its article; furniture in it goes."""
+    paragraphs = "".join(f"<p>{x}</p>" for x in BODY)
+    around = '<div class="cookie-notice"><p>We use cookies, really, and many of them.</p></div><div class="sidebar-left">Buy, now.</div>'
+    for inner in (f"<article>{paragraphs}</article>", f"<main>{paragraphs}</main>", *([f"<div>{paragraphs}</div>"] if "widget" not in wrapper else [])):
+        assert html_extract.extract(f"<body><div {wrapper}>{around}{inner}</div>{around}</body>").split("\n") == BODY
+    assert html_extract.extract(f"<body>{''.join(f'<div {wrapper}><p>{x}</p></div>' for x in BODY)}</body>").split("\n") == BODY
+    comments = '<div class="comments">' + "".join(f'<article class="comment"><p>Comment {i}, with words, and marks.</p></article>' for i in range(30)) + "</div>"
+    assert html_extract.extract(f"<body><article>{paragraphs}</article>{comments}</body>").split("\n") == BODY
+
+
 # 2
 def brute_classes(texts, n, percent):
     sets = []

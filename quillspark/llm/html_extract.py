@@ -2,7 +2,7 @@
 
 Every text node counts toward its root-to-leaf tag path. For each path the text length and the punctuation per node are
 aggregated, smoothed over neighbouring paths in page order, fused into one ratio and cut at a threshold; the paths above it are
-content. The article is the smallest element that holds nearly all of the content, and its blocks are the result. Elements
+content. The result is every block on one of them, and what stands among them inside the article: see extract(). Elements
 that say what they are by tag or role (nav, footer, forms and so on) never count. Words of class and id are hints only: see furniture().
 """
 
@@ -31,6 +31,8 @@ NOT_CONTENT = set("nav footer aside form menu button select option dialog svg ca
 ROLES = set("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form status".split())
 HINTS = set("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert banner popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search searchbox form widget skip pagination pager toolbar masthead topbar copyright legal disclaimer".split())
 _CONTENT = {"article", "main"}
+#: Elements too small to be an article.
+_PARTS = {"p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "a", "b", "span"}
 _NEVER_HINTED = {"html", "body", *_CONTENT}
 #: An element with a hint word in a longer token is the article's if it holds this share of the content.
 HINTED_SHARE = 0.1
@@ -54,7 +56,7 @@ class _Node:
         self.out = bool(parent and parent.out) or _excluded(name, attributes, parent)
         self.plain, self.tokens = _hints(attributes)  # a whole token says it; tokens with a hint word among others
         self.hinted: tuple[_Node, ...] = parent.hinted if parent else ()  # the element and those around it that have hints
-        if (self.plain or self.tokens) and name not in _NEVER_HINTED:
+        if (self.plain or self.tokens) and name not in _NEVER_HINTED or self.plain and name == "article":
             self.hinted += (self,)
 
 
@@ -206,19 +208,20 @@ def path_ratios(blocks: list) -> tuple[list[str], np.ndarray]:
     return list(paths), smooth(text_ratio) * np.log1p(smooth(mark_ratio)) * (chars - linked + 1) / (chars + 1)
 
 
-def content_weights(blocks: list, strength: float) -> tuple[set[str], list[int]]:
-    """The content paths, and each block's characters outside links if it is on one of them (0: it isn't)."""
+def content_weights(blocks: list, strength: float) -> tuple[set[str], set[str], list[int]]:
+    """The content paths, those of them with punctuation of their own (all if none has), and each block's characters outside links if it is on one of the latter (else 0)."""
     paths, ratio = path_ratios(blocks)
     limit = min(strength * ratio.std(), ratio.max())
     content = {p for p, r in zip(paths, ratio, strict=True) if r >= limit}
-    return content, [max(0, n - linked) if node.path in content else 0 for _, node, n, linked in blocks]
+    sure = {node.path for text, node, *_ in blocks if node.path in content and _PUNCTUATION.search(text)} or content
+    return content, sure, [max(0, n - linked) if node.path in sure else 0 for _, node, n, linked in blocks]
 
 
 def furniture(blocks: list, articles: list[_Node], strength: float) -> list:
     """The blocks without those of hinted elements that aren't the article's; all blocks if none would be left.
 
     An element with a token of hint words only (comments, cookie-notice) is furniture, unless it holds all article and main elements and half of
-    the content. One with a hint word in a longer token (has-sidebar, legal-text) is furniture if it holds no article or main element and, with
+    the content; an article element of that kind (a comment) is furniture if there are others. One with a hint word in a longer token (has-sidebar, legal-text) is furniture if it holds no article or main element and, with
     all elements of the same token, less than HINTED_SHARE of the content.
     """
     if not any(node.hinted for _, node, *_ in blocks):
@@ -227,10 +230,10 @@ def furniture(blocks: list, articles: list[_Node], strength: float) -> list:
     for x in articles:
         for h in x.hinted:
             holds[id(h)] = holds.get(id(h), 0) + 1
-    plain = {id(h): h for _, node, *_ in blocks for h in node.hinted if h.plain}
+    plain = {id(h): h for _, node, *_ in blocks for h in node.hinted if h.plain and (articles or h.name != "article")}
     whole = [k for k in plain if articles and holds.get(k, 0) == len(articles)]
     if whole:
-        _, weights = content_weights(blocks, strength)
+        *_, weights = content_weights(blocks, strength)
         held = dict.fromkeys(whole, 0)
         for (_, node, *_), w in zip(blocks, weights, strict=True):
             for h in node.hinted:
@@ -243,7 +246,7 @@ def furniture(blocks: list, articles: list[_Node], strength: float) -> list:
     # a plain element that is kept has been judged already
     groups = {h.tokens for _, node, *_ in kept for h in node.hinted if not h.plain}
     if groups:
-        _, weights = content_weights(kept, strength)
+        *_, weights = content_weights(kept, strength)
         share = dict.fromkeys(groups, 0)
         for (_, node, *_), w in zip(kept, weights, strict=True):
             for t in {h.tokens for h in node.hinted if not h.plain}:
@@ -257,35 +260,63 @@ def extract(page: str | None, strength: float = 0.25) -> str:
     """The article's blocks, joined by newlines; '' for null, empty and textless pages.
 
     A path is content if its ratio is at least `strength` times the standard deviation over the page's paths (or if it is
-    the best one). The article is the innermost article or main element, or else the innermost element, that holds at least nine
-    tenths of the content's text; within it only blocks that are links for the most part and on no content path are left out.
+    the best one). Blocks on a content path are kept wherever they stand, if the path has punctuation of its own and
+    isn't only lifted by its neighbours. Others (titles, short lines) are kept inside the article unless they
+    are links for the most part: the article is all article and main elements with content if these hold half of it, or else the innermost
+    element that holds all of it.
     """
     blocks, articles = blocks_of(page or "")
     if not blocks:
         return ""
     blocks = furniture(blocks, articles, strength)
-    content, weights = content_weights(blocks, strength)
-    weight: dict[int, int] = {}
-    seen: dict[int, _Node] = {}
+    content, sure, weights = content_weights(blocks, strength)
     total = sum(weights)
+    weight: dict[int, int] = {}
+    outer: dict[int, _Node | None] = {}  # the outermost article or main element around a block's element
+
+    def marked(x: _Node) -> _Node | None:
+        if id(x) not in outer:
+            found, up = None, x
+            while up:
+                found = up if up.name in _CONTENT and not up.plain else found
+                up = up.parent
+            outer[id(x)] = found
+        return outer[id(x)]
+
+    common: list[_Node] | None = None  # from the root to the innermost element that holds all content
     for (_, node, *_), w in zip(blocks, weights, strict=True):
-        while node:
-            weight[id(node)] = weight.get(id(node), 0) + w
-            seen[id(node)] = node
-            node = node.parent
-    depth = lambda x: x.path.count("/")
-    marked = [x for k, x in seen.items() if x.name in _CONTENT and weight[k] * 2 >= total]
-    outer = [x for k, x in seen.items() if weight[k] * 10 >= total * 9 and x.name not in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "a", "b", "span")]
-    best = min(marked, key=depth) if marked else max(outer, key=depth, default=None)
+        if not w:
+            continue
+        if x := marked(node):
+            weight[id(x)] = weight.get(id(x), 0) + w
+        if common is None:
+            common, up = [], node
+            while up:
+                common.append(up)
+                up = up.parent
+            common.reverse()
+        else:
+            above, up = set(), node
+            while up:
+                above.add(id(up))
+                up = up.parent
+            while len(common) > 1 and id(common[-1]) not in above:
+                common.pop()
+    in_marked = 2 * sum(weight.values()) >= total and bool(weight)
+    while common and common[-1].name in _PARTS:
+        common.pop()
+    best = common[-1] if common else None
 
     def within(x: _Node | None) -> bool:
+        if in_marked:
+            return (found := marked(x)) is not None and id(found) in weight
         while x:
             if x is best:
                 return True
             x = x.parent
         return best is None
 
-    kept = [text for text, node, n, linked in blocks if within(node) and (node.path in content or linked < 0.6 * n)]
+    kept = [text for text, node, n, linked in blocks if node.path in sure or (node.path in content or linked < 0.6 * n) and within(node)]
     return "\n".join(kept)
 
 

@@ -73,6 +73,21 @@ def test_html_hint_words_in_wrappers(wrapper):
     assert html_extract.extract(f"<body><article>{paragraphs}</article>{comments}</body>").split("\n") == BODY
 
 
+def test_html_keeps_all_content():
+    """Content outside the largest container stays: title and lead before a long body, text split over sibling articles, text beside an article."""
+    body = " ".join(f"Sentence {i} is here, and goes on for a while." for i in range(60))
+    page = f"<div><a href=1>Home</a> <a href=2>About</a></div><div class=post><h1>The title</h1><div><p>A lead, with a few words in it.</p></div><div>{body}</div></div><div>Buy now</div>"
+    assert html_extract.extract(page).split("\n") == ["The title", "A lead, with a few words in it.", body]
+    halves = [*BODY[:5], "Part two", *BODY[5:]]
+    page = "<div><a href=1>Home</a></div>" + "".join(f"<article>{x}</article>" for x in ("".join(f"<p>{t}</p>" for t in BODY[:5]), "<h2>Part two</h2>" + "".join(f"<p>{t}</p>" for t in BODY[5:])))
+    assert html_extract.extract(page).split("\n") == halves
+    page = f"<article>{''.join(f'<p>{t}</p>' for t in BODY[:6])}</article><div>{''.join(f'<p>{t}</p>' for t in BODY[6:])}</div><div>Buy now</div>"
+    assert html_extract.extract(page).split("\n") == BODY
+    assert html_extract.extract(f"<div><h1>The title</h1><p>{body}</p></div><div>Buy now</div>").split("\n") == ["The title", body]
+    page = f"<article><p>{body}</p></article>" + '<article class="comment"><p>Nice, thanks, really.</p></article>' * 20
+    assert html_extract.extract(page) == body
+
+
 # 2
 def brute_classes(texts, n, percent):
     sets = []

@@ -42,6 +42,13 @@ def chunked(column: pa.Array, mean_words: int = MEAN_WORDS) -> Iterator[tuple[Wo
         rolling = _GEAR[words.data]
         for k in range(1, min(GEAR_BYTES, len(rolling))):  # h[i] = sum of gear[i - k] << k, as h = (h << 1) + gear makes it in 16 bits
             rolling[k:] += _GEAR[words.data[:-k]] << np.uint16(k)
+        full = first[:-1] < first[1:]
+        begin, end = words.start[first[:-1][full]], words.end[first[1:][full] - 1]
+        h = np.zeros(len(begin), np.uint16)
+        for k in range(GEAR_BYTES - 1):  # a text's first bytes see nothing from before its first word
+            begin, end, h = (x[begin + k < end] for x in (begin, end, h))
+            h = (h << np.uint16(1)) + _GEAR[words.data[begin + k]]
+            rolling[begin + k] = h
         low = GEAR_BYTES - mean_words.bit_length() + 1
         cut = (rolling[words.end - 1] >> np.uint16(low)) & np.uint16(mean_words - 1) == 0
         cut[first[1:][first[1:] > 0] - 1] = True  # texts end with a chunk

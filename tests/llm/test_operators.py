@@ -253,6 +253,58 @@ def test_chunks_of_many_documents_are_no_repeat(spark):
             assert covered == (set(range(first, last + 1)) if ends[last + 1] - ends[first] >= 24 else set())
 
 
+def brute_chunks(text):
+    """(words, chunk ends) by a rolling hash over one text, byte by byte."""
+    raw, spaces = text.encode().strip(b" \t\n\r\x0b\x0c"), b" \t\n\r\x0b\x0c"
+    h, n, last, ends, low = 0, 0, 0, [], chunk_dedup.GEAR_BYTES - chunk_dedup.MEAN_WORDS.bit_length() + 1
+    for i, c in enumerate(raw):
+        h = (2 * h + int(chunk_dedup._GEAR[c])) % (1 << chunk_dedup.GEAR_BYTES)  # the chosen bits see GEAR_BYTES bytes
+        if c not in spaces and (i + 1 == len(raw) or raw[i + 1] in spaces):
+            n += 1
+            if (h >> low) % chunk_dedup.MEAN_WORDS == 0 or i + 1 == len(raw):
+                ends += [*range(last + chunk_dedup.MAX_WORDS, n, chunk_dedup.MAX_WORDS), n]
+                last = n
+    return raw.split(), ends
+
+
+def brute_removed(texts, min_words=24):
+    """For each text the indices of words removed: runs of chunks, min_words and more words together, that an earlier text has as chunks."""
+    seen, out = set(), []
+    for text in texts:
+        w, ends = brute_chunks(text or "")
+        starts, gone, own = [0, *ends[:-1]], set(), set()
+        for i, a in enumerate(starts):
+            for j in range(i, len(ends)):
+                if ends[j] - a >= min_words:
+                    run = tuple(tuple(w[x:y]) for x, y in zip(starts[i : j + 1], ends[i : j + 1], strict=True))
+                    own.add(run)
+                    if run in seen:
+                        gone |= set(range(a, ends[j]))
+        seen |= own
+        out.append(gone)
+    return out
+
+
+def test_substring_dedup_against_brute_force(spark):
+    rng = random.Random(13)
+    passages = [" ".join(rng.choices(VOCABULARY, k=k)) for k in (26, 30, 45, 70)]
+    texts = [None, ""]
+    for _ in range(120):
+        parts_ = [rng.choice(passages) if rng.random() < 0.3 else " ".join(rng.choices(VOCABULARY, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 4))]
+        texts.append(rng.choice(["", " ", "\n"]) + "  ".join(parts_))
+    texts += [rng.choice(texts[2:]) for _ in range(40)]
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup(table(spark, texts).repartition(5)).collect()}
+    for i, gone in enumerate(brute_removed(texts)):
+        assert got[i]["n_removed"] == len(gone)
+        assert (got[i]["text"] or "").split() == [w for k, w in enumerate((texts[i] or "").split()) if k not in gone]
+
+
+def test_cuts_depend_on_the_text_alone():
+    texts = [" ".join(RNG.choices(VOCABULARY, k=RNG.randint(0, 60))) for _ in range(300)] + ["a", "", "b c", "é", " x"]
+    together = [(e.tolist(), d.tolist()) for _, _, e, d in chunk_dedup.chunked(pa.array(texts))]
+    assert together == [(e.tolist(), d.tolist()) for t in texts for _, _, e, d in chunk_dedup.chunked(pa.array([t]))]
+
+
 # 6
 def test_byte_bpe(spark, docs):
     import tiktoken

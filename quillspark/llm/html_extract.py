@@ -321,7 +321,7 @@ def extract(page: str | None, strength: float = 0.25) -> str:
 
 
 def media_sequence(page: str) -> list[tuple[str, str | None, str | None, str | None]]:
-    """(kind, text, src, caption) of a page's text blocks and images, in page order. A figure's caption goes to its images."""
+    """(kind, text, src, caption) of a page's text blocks and images, in page order; furniture counts too. A figure's caption goes to its images."""
     out: list[list] = []
     parts: list[str] = []
     figures: dict[int, list[int]] = {}
@@ -346,7 +346,7 @@ def media_sequence(page: str) -> list[tuple[str, str | None, str | None, str | N
             if _inside(node, {"figcaption"}) and (f := figure(node)):
                 alive.append(f)
                 captions[id(f)] = captions.get(id(f), "") + entities.unescape(text)
-            elif not node.out:
+            else:
                 parts.append(entities.unescape(text))
         elif kind == "media":
             flush(node)

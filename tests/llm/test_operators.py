@@ -422,6 +422,12 @@ def test_interleaved(spark):
     assert [i["digest"] is not None for i in items] == [False, True, False, False, False, False]
 
 
+def test_interleaved_keeps_text_of_furniture(spark):
+    page = '<nav>Home</nav><p>One</p><img src=a><aside>Side</aside><label>Name</label><div class="share">Share it</div><form>Ask<img src=b></form><footer>End</footer>'
+    items = media.interleaved(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()[0]["items"]
+    assert [x["text"] or x["src"] for x in items] == ["Home", "One", "a", "Side", "Name", "Share it", "Ask", "b", "End"]
+
+
 # 10
 def test_viterbi_against_the_library(spark, docs):
     import sentencepiece

@@ -48,7 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express the classifier, the chunking or the tokenizer; tests hold run() against a brute-force version.
+#: SQL can't express the classifier, the chunking or the tokenizer. Tests compare the rows of the join and of the substring dedup with brute force; there is no
+#: brute-force version of run() as a whole.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from quillspark.llm.common import written
 
-from tests.llm.test_operators import brute_classes
+from tests.llm.test_operators import brute_classes, brute_removed
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,14 @@ def test_stages(spark):
 def test_run_equals_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_substring_stage_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "substring(text, 1, 700) as text", "lang", "source", "n_chars")
+    rows = docs.orderBy("doc_id").collect()
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, SF).collect()}
+    removed = brute_removed([r["text"] for r in rows])
+    assert len(got) == len(rows) and sum(map(len, removed)) > 100
+    for r, gone in zip(rows, removed, strict=True):
+        assert got[r["doc_id"]]["text"].encode().split() == [w for k, w in enumerate(r["text"].encode().split()) if k not in gone]
+        assert got[r["doc_id"]]["n_chars"] == len(got[r["doc_id"]]["text"])

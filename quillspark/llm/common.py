@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -55,10 +59,21 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+def in_arrow(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow in batches of `rows` rows at most, whatever size Spark's own batches have: longer ones reach the function in slices, so no session setting is changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
+
+    return df.mapInArrow(run, schema)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def worker_cache(name: str, make):

@@ -1,30 +1,34 @@
-"""Best-fit packing of token sequences.
-
-Documents are tokenized, closed with one end id and cut into pieces of at most `capacity` tokens. Lengths are whole numbers up to
-the capacity, so both sorted orders, of pieces by length and of gaps by size, are kept run-length encoded: at most `capacity` runs
-however many rows there are. Rounds go down the pieces' order. In a round the longest unplaced run of pieces sweeps the gaps from
-its successor (the smallest gap that holds it) upward, each run of gaps taking as many pieces as it has gaps; pieces that no gap
-holds open sequences. Pieces of a run are told apart by rank only, so the match of ranks to sequences is a list of intervals of
-bounded length, and every piece finds its place by one lookup in it. Counting, ranking and the lookup are distributed; what
-reaches the driver is the counts by length and salt.
+"""Best-fit packing of token sequences, bulk-synchronous.
+
+Documents are tokenized, closed with one end id and cut into pieces of at most `capacity` tokens. Pieces are taken in classes by halves of the
+capacity, longest first; pieces over half of it open sequences of their own. For each further class there is a round:
+
+1. Its pieces and the gaps of all open sequences that may hold one are range-sorted together by size, descending, a gap before pieces of its size. A gap of several times the
+   class's longest piece takes part as several slots. Ranges are cut at the exact counts by size, within a size too, so a common length spreads over as many ranges as its share needs.
+2. In each range a successor sweep goes down the order and keeps the gaps that it has passed and that are free. Each piece takes the last of these, which is the smallest gap that holds it.
+   Where several pieces have the same smallest gap, the one of the higher rank (the longer one, then the lesser key) has it and the others take the next larger ones.
+3. What a range has left is handed over: its pieces without a gap take the free gaps of the ranges before it, nearest first. As ranks in a range are known, that is a list of intervals of ranks,
+   whose number is bounded by the number of ranges; the driver sees only two counts for each range.
+4. Pieces that no gap holds open sequences, in the order of ranks. Gaps are updated by a sum by sequence, and the next round follows; the last class repeats until all pieces are placed.
+
+A round is written in the shared folder before the next one begins, and every order ends with a unique key, so a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
 
-import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, texts_of, worker_cache, written
+from quillspark.llm.common import in_arrow, texts_of, unused_name, worker_cache, written
 
 CAPACITY = 2048
-#: A length's pieces are ranked in so many parts, so that no task ranks all pieces of a common length.
-SALTS = 64
 #: Words that a worker remembers at most, and the longest one that it remembers (bytes).
 CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
 
@@ -42,6 +46,7 @@ class WordIds:
     Words are what ASCII white space separates. The tokenizer must treat them apart (its normalizer and pre-tokenizer drop white
     space and nothing crosses it), as the constructor checks on a sample. A word of Latin-1 letters, with marks at its end or not, goes to the
     tokenizer's model in lower case, which is what its normalizer and pre-tokenizer make of it; all others go through the whole tokenizer.
+    Special tokens' strings in a text, such as <|endoftext|>, are ordinary text (encode_special_tokens is set).
     """
 
     def __init__(self, path: str):
@@ -121,80 +126,161 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return in_arrow(texts_of(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
-    """(intervals by length, sequences). An interval (first rank, end rank, first sequence, offset) puts rank r at sequence
-    first sequence + r - first rank. At most about (capacity runs) times (pieces a sequence holds) intervals, whatever the counts."""
-    places: dict[int, list[tuple[int, int, int, int]]] = {}
-    sizes: list[int] = []  # of the gaps that exist, ascending
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, sequences)
-    sequences = 0
-
-    def free(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                bisect.insort(sizes, size)
-            gaps.setdefault(size, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left, out = 0, counts[length], places.setdefault(length, [])
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                break
-            size = sizes[at]
-            first, n = gaps[size].pop()
-            used = min(n, left)
+#: Classes by halves end here; shorter pieces are one class.
+LEAST_CLASS = 32
+#: Pieces and gaps in a range, at least.
+RANGE_ROWS = 100_000
+_SWEPT = "kind int, range int, rank long, key long, size int, seq long"
+_PLACED, _PIECE, _GAP = 0, 1, 2
+
+
+def ranges_of(counts: list[tuple[int, int, int]], rows: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """counts (size, kind, n) -> (size, kind, rows before it in the descending order, n), and how many ranges of `rows` there are."""
+    out, before = [], 0
+    for size, kind, n in sorted(counts, key=lambda c: (-c[0], -c[1])):
+        out.append((size, kind, before, n))
+        before += n
+    return out, -(-before // rows)
+
+
+def sweep(items: Iterator[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int | None]]:
+    """One range: (size, kind, key, slot) in descending order -> (kind, rank, key, size, seq): pieces with the gap that they took, then what is left, with ranks from 0 on."""
+    free: list[tuple[int, int]] = []
+    left = 0
+    for size, kind, key, _ in items:
+        if kind == _GAP:
+            free.append((key, size))
+        elif free:
+            yield _PLACED, 0, key, size, free.pop()[0]
+        else:
+            yield _PIECE, left, key, size, None
+            left += 1
+    for rank, (key, size) in enumerate(free):
+        yield _GAP, rank, key, size, None
+
+
+def handed_over(left: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """left: range -> (pieces without a gap, free gaps). Intervals (range, lo, hi, gaps' range, top): its piece of rank r in lo..hi takes the gap of rank top - (r - lo)."""
+    out, stack = [], []
+    for at in sorted(left):
+        pieces, gaps = left[at]
+        done = 0
+        while done < pieces and stack:
+            there, n = stack.pop()
+            used = min(n, pieces - done)
+            out.append((at, done, done + used, there, n - 1))
+            done += used
             if used < n:
-                gaps[size].append((first + used, n - used))
-            if not gaps[size]:
-                del gaps[size], sizes[at]
-            out.append((rank, rank + used, first, capacity - size))
-            rank, left = rank + used, left - used
-            free(size - length, first, used)
-        if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for k in range(each):
-                if full:
-                    out.append((rank, rank + full, sequences, k * length))
-                    rank += full
-            free(capacity - each * length, sequences, full)
-            sequences += full
-            for k in range(rest):
-                out.append((rank, rank + 1, sequences, k * length))
-                rank += 1
-            if rest:
-                free(capacity - rest * length, sequences, 1)
-                sequences += 1
-    return places, sequences
+                stack.append((there, n - used))
+        if gaps:
+            stack.append((at, gaps))
+    return out
+
+
+def _by_range(df: DataFrame, order: list, function, schema: str) -> DataFrame:
+    """function(range, its rows) on the rows of each range, which meet in one task in the given order; it yields rows of the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.int64() for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        results = itertools.chain.from_iterable(function(at, (r[1:] for r in own)) for at, own in itertools.groupby(rows, key=lambda r: r[0]))
+        while block := list(itertools.islice(results, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block, strict=True), kinds, strict=True)], names=names)
+
+    return in_arrow(df.repartition("range").sortWithinPartitions("range", *order), run, schema, rows=10_000)
+
+
+def _opened(at: int, rows: Iterator[tuple[int, int, int]], capacity: int) -> Iterator[tuple[int, int, int]]:
+    """(rank, key, length) by rank -> (key, length, seq): pieces go on in one new sequence while they fit. A sequence's number is the key of its first piece."""
+    seq, room = None, 0
+    for _, key, length in rows:
+        if length > room:
+            seq, room = key, capacity
+        room -= length
+        yield key, length, seq
+
+
+def _round(pieces: DataFrame, gaps: DataFrame, longest: int, counts: dict[int, int], capacity: int, last: bool) -> tuple[DataFrame, bool]:
+    """One round over pieces (key, length; none longer than longest) and gaps (seq, free) -> placed (key, length, seq) and whether all pieces are placed now. counts: pieces by length."""
+    spark = pieces.sparkSession
+    several = F.floor(F.col("free") / longest).cast("int")
+    sizes = F.when(several > 1, F.array_repeat(F.lit(longest), several)).otherwise(F.array(F.col("free").cast("int")))
+    slots = gaps.select("seq", F.posexplode(sizes).alias("slot", "size"))
+    cells = [(n, _PIECE, k) for n, k in counts.items()] + [(r["size"], _GAP, r["count"]) for r in slots.groupBy("size").count().collect()]  # capacity sizes at most
+    total = sum(n for *_, n in cells)
+    per_range = max(RANGE_ROWS, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts, _ = ranges_of(cells, per_range)
+    # bounded by the capacity, not by the rows
+    cuts = F.broadcast(spark.createDataFrame(cuts, "size int, kind int, before long, n long"))
+    items = pieces.select(F.col("length").cast("int").alias("size"), F.lit(_PIECE).alias("kind"), "key", F.lit(0).alias("slot")).unionByName(slots.select("size", F.lit(_GAP).alias("kind"), F.col("seq").alias("key"), "slot"))
+    # rows of one size and kind are dealt over its stretch of the order; any order among equals is right, as long as ranges keep it
+    share = F.pmod(F.xxhash64("key", "slot"), F.lit(1 << 20)) / float(1 << 20)
+    ranged = items.join(cuts, ["size", "kind"]).select(F.floor((F.col("before") + F.floor(share * F.col("n"))) / per_range).cast("int").alias("range"), "size", "kind", "key", "slot")
+    swept = _by_range(ranged, [F.desc("size"), F.desc("kind"), "key", "slot"], lambda at, rows: ((kind, at, rank, key, size, seq) for kind, rank, key, size, seq in sweep(rows)), _SWEPT)
+    swept = written(swept, "swept")
+    left: dict[int, tuple[int, int]] = {}
+    for r in swept.where(f"kind <> {_PLACED}").groupBy("range").agg(F.count_if(F.col("kind") == _PIECE).alias("p"), F.count_if(F.col("kind") == _GAP).alias("g")).collect():  # a row for each range
+        left[r["range"]] = (r["p"], r["g"])
+    placed = swept.where(f"kind = {_PLACED}").select("key", F.col("size").alias("length"), "seq")
+    waiting = sum(p for p, _ in left.values())
+    if not waiting:
+        return placed, True
+    steps = handed_over(left)
+    rest = swept.where(f"kind = {_PIECE}").select("range", "rank", "key", "size")
+    if steps:
+        by_range: dict[int, list[tuple[int, int, int, int]]] = {}
+        for at, *step in steps:
+            by_range.setdefault(at, []).append(tuple(step))
+        table = F.broadcast(spark.createDataFrame(list(by_range.items()), "range int, steps array<struct<lo:long,hi:long,there:int,top:long>>"))  # two steps a range at most, on average
+        rest = rest.join(table, "range", "left").withColumn("step", F.expr("get(filter(steps, x -> x.lo <= rank and rank < x.hi), 0)"))
+        target = rest.where("step is not null").select(F.col("step.there").alias("range"), (F.col("step.top") - F.col("rank") + F.col("step.lo")).alias("rank"), "key", F.col("size").alias("length"))
+        free = swept.where(f"kind = {_GAP}").select("range", "rank", F.col("key").alias("seq"))
+        placed = placed.unionByName(target.join(free, ["range", "rank"]).select("key", "length", "seq"))
+        rest = rest.where("step is null")
+        waiting -= sum(hi - lo for _, lo, hi, _, _ in steps)
+    took = total - sum(p + g for p, g in left.values()) > 0 or bool(steps)
+    if last and took and waiting:  # gaps may hold more of them
+        return placed, False
+    opened = _by_range(rest.select("range", "rank", "key", F.col("size").alias("length")), ["rank"], lambda at, rows: _opened(at, rows, capacity), "key long, length int, seq long")
+    return placed.unionByName(opened), True
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with 1 <= length <= capacity -> the same with sequence_id and offset, gapless from 0.
 
-    Pieces of one length are ranked by doc_id and piece within a salt; repeated rows are pieces of their own. Null lengths are an error.
+    A column sequence_id or offset of pieces is replaced. Repeated rows are pieces of their own; null or other lengths are a ValueError; no rows give none.
     """
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    cells = {(r["length"], r["_salt"]): r["count"] for r in salted.groupBy("length", "_salt").count().collect()}  # capacity * SALTS at most
-    if any(n is None or not 1 <= n <= capacity for n, _ in cells):
+    pieces = pieces.drop("sequence_id", "offset")
+    key = unused_name(pieces, "key")
+    base = written(pieces.withColumn(key, F.monotonically_increasing_id()), "pieces")
+    small = base.select(F.col(key).alias("key"), F.col("length").cast("int").alias("length"))
+    cell = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(-1)
+    counts = {r["n"]: r["count"] for r in small.groupBy(cell.alias("n")).count().collect()}  # capacity rows at most
+    if -1 in counts:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    counts: dict[int, int] = {}
-    before = []
-    for (length, salt), n in sorted(cells.items()):
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    places, _ = plan(counts, capacity)
-    # Both frames are bounded by the capacity, not by the rows, so they may be broadcast.
-    offsets = spark.createDataFrame(before, "length long, _salt int, _before long")
-    runs = spark.createDataFrame([(n, [tuple(x) for x in v]) for n, v in places.items()], "length long, _runs array<struct<lo:long,hi:long,first:long,offset:long>>")
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).join(F.broadcast(runs), "length")
-    ranked = ranked.withColumn("_run", F.expr("filter(_runs, x -> x.lo <= _rank and _rank < x.hi)[0]"))
-    return ranked.select(*pieces.columns, (F.col("_run.first") + F.col("_rank") - F.col("_run.lo")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
+    high = capacity // 2
+    placed = [small.where(F.col("length") > high).select("key", "length", F.col("key").alias("seq"))]
+    while high:
+        low = high // 2 if high > LEAST_CLASS else 0
+        rows, own = small.where((F.col("length") > low) & (F.col("length") <= high)), {n: k for n, k in counts.items() if low < n <= high}
+        whole = not own
+        while not whole:
+            gaps = reduce(DataFrame.unionByName, placed).groupBy("seq").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("free"))
+            gaps = written(gaps.where(F.col("free") > low), "gaps")
+            done, whole = _round(rows, gaps, max(own), own, capacity, not low)
+            done = written(done, "placed")
+            placed.append(done)
+            if not whole:
+                rows = written(rows.join(done.select("key"), "key", "left_anti"), "unplaced")
+                own = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # LEAST_CLASS rows at most
+        high = low
+    order = Window.partitionBy("seq").orderBy(F.desc("length"), "key")  # capacity rows a sequence at most
+    offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    places = reduce(DataFrame.unionByName, placed).select(F.col("key").alias(key), F.col("seq").alias("sequence_id"), offset.alias("offset"))
+    return base.join(places, key).drop(key)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their places. The pieces are written once, as counting and placing both read them."""
-    return pack(written(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids), "pieces"), capacity)
+    """Pieces of all documents with their places."""
+    return pack(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids), capacity)

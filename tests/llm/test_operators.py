@@ -323,24 +323,67 @@ def test_byte_bpe(spark, docs):
 
 
 # 7
-def test_plan_is_gapless_and_tight():
+def best_fit(lengths, capacity):
+    """Sequential best fit, longest first: the gaps left at the end."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= n]
+        if fits:
+            i = min(fits, key=gaps.__getitem__)
+            gaps[i] -= n
+        else:
+            gaps.append(capacity - n)
+    return gaps
+
+
+def test_ranges_and_hand_over_equal_one_sweep():
+    """Matching in ranges and handing over what they leave is the same as one sweep of best fit: each piece, longest first, takes the smallest gap left that holds it."""
     rng = random.Random(2)
-    counts = {n: rng.randint(1, 50) for n in rng.sample(range(1, 101), 60)}
-    places, sequences = packing.plan(counts, 100)
-    used = {}
-    for n, runs in places.items():
-        assert sorted(r for lo, hi, _, _ in runs for r in range(lo, hi)) == list(range(counts[n]))
-        for lo, hi, first, offset in runs:
-            for k in range(hi - lo):
-                used.setdefault(first + k, []).append((offset, n))
-    for v in used.values():
-        at = 0
-        for offset, n in sorted(v):
-            assert offset == at
-            at += n
-        assert at <= 100
-    total = sum(n * c for n, c in counts.items())
-    assert sequences == len(used) <= -(-total // 100) * 1.1 + 1
+    for _ in range(200):
+        pieces = [(rng.randint(1, 30), k) for k in range(rng.randint(0, 25))]
+        gaps = [(rng.randint(1, 30), 100 + k) for k in range(rng.randint(0, 25))]
+        items = sorted([(n, packing._PIECE, k, 0) for n, k in pieces] + [(n, packing._GAP, k, 0) for n, k in gaps], key=lambda x: (-x[0], -x[1], x[2]))
+        size = rng.choice([1, 2, 5, 100])
+        took, left, rest = {}, {}, {}
+        for at in range(0, len(items), size):
+            out = list(packing.sweep(iter(items[at : at + size])))
+            took |= {key: seq for kind, _, key, _, seq in out if kind == packing._PLACED}
+            for kind in (packing._PIECE, packing._GAP):
+                rest[at, kind] = {rank: key for k, rank, key, *_ in out if k == kind}
+            left[at] = (len(rest[at, packing._PIECE]), len(rest[at, packing._GAP]))
+        for at, lo, hi, there, top in packing.handed_over(left):
+            took |= {rest[at, packing._PIECE][r]: rest[there, packing._GAP][top - r + lo] for r in range(lo, hi)}
+        free, want = dict((k, n) for n, k in gaps), {}
+        for n, k in sorted(pieces, key=lambda x: (-x[0], x[1])):
+            if fits := [g for g in free if free[g] >= n]:
+                want[k] = free.pop(min(fits, key=free.__getitem__))
+        sizes = dict((k, n) for n, k in gaps)
+        assert {k: sizes[g] for k, g in took.items()} == want and len(set(took.values())) == len(took)
+
+
+@pytest.mark.parametrize("rows", [3, 40, 100_000])
+def test_pack_against_best_fit(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    rng = random.Random(rows)
+    lengths = [rng.choice([1, 5, 100, rng.randint(1, 100), rng.randint(1, 30)]) for _ in range(300)] + [100] * 40 + [60] * 60 + [40] * 20
+    pieces = spark.createDataFrame([(7, 0, n, "clash", 1) for n in lengths], "doc_id long, piece int, length long, key string, offset int")  # all ids alike
+    got = packing.pack(pieces, 100).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths) and {r["key"] for r in got} == {"clash"}
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in places.values():
+        assert [o for o, _ in sorted(v)] == list(itertools.accumulate([n for _, n in sorted(v)], initial=0))[:-1] and sum(n for _, n in v) <= 100
+    assert len(places) <= 1.02 * len(best_fit(lengths, 100)) + 1
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 0, None), (1, 1, 5)], "doc_id long, piece int, length long"), 100)
+
+
+def test_pack_small_pieces_only(spark):
+    """Gaps take several pieces of the last class, round by round."""
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 7) for i in range(400)], "doc_id long, piece int, length long")
+    got = packing.pack(pieces, 2048).collect()
+    assert len(got) == 400 and len({r["sequence_id"] for r in got}) == 1
 
 
 def test_packing(spark, docs):

@@ -1,9 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node counts toward its root-to-leaf tag path. For each path the text length and the punctuation per node are
-aggregated, smoothed over neighbouring paths in page order, fused into one ratio and cut at a threshold; the paths above it are
-content. The result is every block on one of them, and what stands among them inside the article: see extract(). Elements
-that say what they are by tag or role (nav, footer, forms and so on) never count. Words of class and id are hints only: see furniture().
+Every text node counts toward its root-to-leaf tag path. For each path the text length and the punctuation per node are aggregated, smoothed over
+neighbouring paths in page order, and fused into one ratio, in which the share of text outside links and what the page itself says of an element (see below) are
+factors. The ratio, cut at a threshold, is all that decides: see extract().
+
+What an element says of itself: by its name, ARIA role or class and id it may be marked as furniture (nav, footer, aside, comments, cookie-notice), which makes
+the ratio of its paths MARKED times as great; within article and main elements it is ARTICLE times as great, and links count as text. Marks that the page's own text belies don't count: see marked().
+Only what a browser doesn't show (scripts, styles, hidden elements) and controls have no ratio at all.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "body", "html", "head", "title"}
 #: A new element of the kind closes an open one of these, up to the nearest of the scopes.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "thead": ({"caption", "tr"}, {"table"})}
-#: Elements that aren't the article, by name, by ARIA role, and by the words of class and id.
-NOT_CONTENT = set("nav footer aside form menu button select option dialog svg canvas object audio video head fieldset input label".split())
+#: Elements without text of the page: controls, embedded things, the head.
+NO_TEXT = set("button select option svg canvas object audio video head input label".split())
+#: Elements that are marked as furniture by name, by ARIA role, or by the words of class and id.
+FURNITURE = set("nav footer aside form menu dialog fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form status".split())
 HINTS = set("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert banner popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search searchbox form widget skip pagination pager toolbar masthead topbar copyright legal disclaimer".split())
 _CONTENT = {"article", "main"}
@@ -36,6 +41,12 @@ _PARTS = {"p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote
 _NEVER_HINTED = {"html", "body", *_CONTENT}
 #: An element with a hint word in a longer token is the article's if it holds this share of the content.
 HINTED_SHARE = 0.1
+#: Factors of the ratio of paths in marked elements, and of those in article and main elements.
+MARKED, ARTICLE = 1e-10, 2.0
+#: What a path without punctuation counts for, beside the logarithm of its marks; the width of the smoothing in paths; powers of the share of text outside links and of all the path's text.
+BASE_MARKS, WIDTH, LINK_POWER, TEXT_POWER = 0.05, 0.6, 6, 0.75
+#: Within the article's region a path is kept from this part of the threshold on.
+LOW = 1e-6
 
 _MARK = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
@@ -47,15 +58,19 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("attributes", "hinted", "name", "out", "parent", "path", "plain", "tokens")
+    __slots__ = ("content", "hinted", "name", "out", "parent", "path", "plain", "tokens", "weak")
 
     def __init__(self, name: str, parent: _Node | None, attributes: str = ""):
         self.name, self.parent = name, parent
         self.path = f"{parent.path}/{name}" if parent else name
-        self.attributes = attributes
-        self.out = bool(parent and parent.out) or _excluded(name, attributes, parent)
-        self.plain, self.tokens = _hints(attributes)  # a whole token says it; tokens with a hint word among others
-        self.hinted: tuple[_Node, ...] = parent.hinted if parent else ()  # the element and those around it that have hints
+        a = _attributes(attributes) if attributes.strip() else {}
+        self.out = bool(parent and parent.out) or name in NO_TEXT or _unseen(name, a)
+        self.plain, self.tokens = _hints(a)  # a whole token says it; tokens with a hint word among others
+        self.weak = name in ("form", "fieldset")  # page-wide in some systems
+        if name not in _NEVER_HINTED:
+            self.plain |= name in FURNITURE or a.get("role", "").lower() in ROLES or name == "header" and not (parent and parent.content)  # an article's header holds its title
+        self.content = name in _CONTENT and not self.plain or bool(parent and parent.content)
+        self.hinted: tuple[_Node, ...] = parent.hinted if parent else ()  # the element and those around it that have marks
         if (self.plain or self.tokens) and name not in _NEVER_HINTED or self.plain and name == "article":
             self.hinted += (self,)
 
@@ -72,24 +87,14 @@ def _inside(node: _Node | None, names: set[str]) -> bool:
     return False
 
 
-def _excluded(name: str, raw: str, parent: _Node | None) -> bool:
-    if name in NOT_CONTENT:
-        return True
-    if name == "header":  # that of an article holds its title
-        return not _inside(parent, _CONTENT)
-    if not raw or name in _NEVER_HINTED:
-        return False
-    a = _attributes(raw)
-    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+def _unseen(name: str, a: dict[str, str]) -> bool:
+    return bool(a) and name not in _NEVER_HINTED and ("hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""))))
 
 
-def _hints(raw: str) -> tuple[bool, frozenset[str]]:
+def _hints(a: dict[str, str]) -> tuple[bool, frozenset[str]]:
     """Whether a token of class or id has hint words only, and the tokens that have a hint word and others."""
-    if not raw:
-        return False, frozenset()
-    a = _attributes(raw)
     plain, mixed = False, set()
-    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split() if a else ():
         found = [w in HINTS for w in _WORD.findall(token)]
         if any(found):
             plain |= all(found)
@@ -190,91 +195,96 @@ def blocks_of(page: str) -> tuple[list[tuple[str, _Node, int, int]], list[_Node]
     return out, articles
 
 
-def path_ratios(blocks: list) -> tuple[list[str], np.ndarray]:
-    """The tag paths in page order and the fused, smoothed ratio of each: text and punctuation per node, by path."""
-    paths: dict[str, int] = {}
-    rows = [paths.setdefault(b[1].path, len(paths)) for b in blocks]
+def path_ratios(blocks: list, marks: list[bool]) -> tuple[list[int], np.ndarray]:
+    """Each block's path, as a number in page order, and the ratio of each path: the root of its characters by node and the logarithm of its punctuation by node, both smoothed, with all characters of the path.
+
+    Paths in marked elements are apart from others of the same names.
+    """
+    paths: dict[tuple[str, bool, bool], int] = {}
+    rows = [paths.setdefault((b[1].path, m, b[1].content), len(paths)) for b, m in zip(blocks, marks, strict=True)]
     n = len(paths)
-    nodes, chars, marks, linked = (np.zeros(n) for _ in range(4))
+    nodes, chars, stops, linked = (np.zeros(n) for _ in range(4))
     for r, b in zip(rows, blocks, strict=True):
         nodes[r] += 1
         chars[r] += b[2]
-        linked[r] += min(b[2], b[3])
-        marks[r] += len(_PUNCTUATION.findall(b[0]))
-    text_ratio, mark_ratio = (chars - linked) / nodes, marks / nodes
-    kernel = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
+        linked[r] += 0 if b[1].content else min(b[2], b[3])
+        stops[r] += len(_PUNCTUATION.findall(b[0]))
+    kernel = np.exp(-0.5 * (np.arange(-2, 3) / WIDTH) ** 2)
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="constant"), kernel, "valid")
-    return list(paths), smooth(text_ratio) * np.log1p(smooth(mark_ratio)) * (chars - linked + 1) / (chars + 1)
+    says = np.array([(MARKED if m else 1.0) * (ARTICLE if content else 1.0) for _, m, content in paths])
+    free = ((chars - linked + 1) / (chars + 1)) ** LINK_POWER
+    return rows, np.sqrt(smooth((chars - linked) / nodes)) * (BASE_MARKS + np.log1p(smooth(stops / nodes))) * chars**TEXT_POWER * free * says
 
 
-def content_weights(blocks: list, strength: float) -> tuple[set[str], set[str], list[int]]:
-    """The content paths, those of them with punctuation of their own (all if none has), and each block's characters outside links if it is on one of the latter (else 0)."""
-    paths, ratio = path_ratios(blocks)
+def decided(blocks: list, marks: list[bool], strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each block: whether its path is above the threshold and has punctuation of its own (or none above it has), whether it is above LOW of the threshold, and its
+    characters outside links if the former holds (else 0)."""
+    rows, ratio = path_ratios(blocks, marks)
+    rows = np.array(rows)
     limit = min(strength * ratio.std(), ratio.max())
-    content = {p for p, r in zip(paths, ratio, strict=True) if r >= limit}
-    sure = {node.path for text, node, *_ in blocks if node.path in content and _PUNCTUATION.search(text)} or content
-    return content, sure, [max(0, n - linked) if node.path in sure else 0 for _, node, n, linked in blocks]
-
-
-def furniture(blocks: list, articles: list[_Node], strength: float) -> list:
-    """The blocks without those of hinted elements that aren't the article's; all blocks if none would be left.
-
-    An element with a token of hint words only (comments, cookie-notice) is furniture, unless it holds all article and main elements and half of
-    the content; an article element of that kind (a comment) is furniture if there are others. One with a hint word in a longer token (has-sidebar, legal-text) is furniture if it holds no article or main element and, with
-    all elements of the same token, less than HINTED_SHARE of the content.
+    content = ratio >= limit
+    stopped = np.zeros(len(ratio), bool)
+    stopped[rows[[bool(_PUNCTUATION.search(b[0])) for b in blocks]]] = True
+    sure = content & stopped
+    sure = (sure if sure.any() else content)[rows]
+    mass = np.where(sure, [max(0, b[2] - b[3]) for b in blocks], 0)
+    return sure, (ratio >= LOW * limit)[rows], mass
+
+
+def marked(blocks: list, articles: list[_Node], strength: float) -> list[bool]:
+    """For each block whether it is in an element that is furniture by a mark that counts.
+
+    A whole mark (by name, role, or a token of hint words only, such as comments) counts, unless the element holds all article and main elements and half of the
+    content, as the ratios without marks have it; a form need only hold half of the content. Such a mark on an article element (a comment) counts if there are others. A hint word in a longer token (has-sidebar,
+    legal-text) counts if the element holds no article or main element and, with all elements of the same token, less than HINTED_SHARE of the content
+    outside whole marks.
     """
-    if not any(node.hinted for _, node, *_ in blocks):
-        return blocks
+    if not any(b[1].hinted for b in blocks):
+        return [False] * len(blocks)
     holds: dict[int, int] = {}
     for x in articles:
         for h in x.hinted:
             holds[id(h)] = holds.get(id(h), 0) + 1
-    plain = {id(h): h for _, node, *_ in blocks for h in node.hinted if h.plain and (articles or h.name != "article")}
-    whole = [k for k in plain if articles and holds.get(k, 0) == len(articles)]
-    if whole:
-        *_, weights = content_weights(blocks, strength)
-        held = dict.fromkeys(whole, 0)
-        for (_, node, *_), w in zip(blocks, weights, strict=True):
-            for h in node.hinted:
-                if id(h) in held:
-                    held[id(h)] += w
-        for k in whole:
-            if 2 * held[k] >= sum(weights):
-                del plain[k]
-    kept = [b for b in blocks if not any(id(h) in plain for h in b[1].hinted)] or blocks
-    # a plain element that is kept has been judged already
-    groups = {h.tokens for _, node, *_ in kept for h in node.hinted if not h.plain}
+    *_, mass = decided(blocks, [False] * len(blocks), strength)
+    own: dict[int, float] = {}
+    plain: dict[int, _Node] = {}
+    for b, w in zip(blocks, mass, strict=True):
+        for h in b[1].hinted:
+            own[id(h)] = own.get(id(h), 0) + w
+            if h.plain and (articles or h.name != "article"):
+                plain[id(h)] = h
+    half = mass.sum() / 2
+    counts = {k for k, h in plain.items() if own[k] < half or not (h.weak or articles and holds.get(k, 0) == len(articles))}
+    out = [any(id(h) in counts for h in b[1].hinted) for b in blocks]
+    groups = {h.tokens for b, m in zip(blocks, out, strict=True) if not m for h in b[1].hinted if not h.plain}
     if groups:
-        *_, weights = content_weights(kept, strength)
-        share = dict.fromkeys(groups, 0)
-        for (_, node, *_), w in zip(kept, weights, strict=True):
-            for t in {h.tokens for h in node.hinted if not h.plain}:
+        *_, mass = decided(blocks, out, strength)
+        share = dict.fromkeys(groups, 0.0)
+        for b, w, m in zip(blocks, mass, out, strict=True):
+            for t in {h.tokens for h in b[1].hinted if not h.plain} if not m else ():
                 share[t] += w
-        little = {t for t in groups if share[t] < HINTED_SHARE * sum(weights)}
-        kept = [b for b in kept if not any(not h.plain and h.tokens in little and id(h) not in holds for h in b[1].hinted)] or kept
-    return kept
+        little = {t for t in groups if share[t] < HINTED_SHARE * mass.sum()}
+        out = [m or any(not h.plain and h.tokens in little and id(h) not in holds for h in b[1].hinted) for b, m in zip(blocks, out, strict=True)]
+    return out
 
 
-def extract(page: str | None, strength: float = 0.25) -> str:
+def extract(page: str | None, strength: float = 0.4) -> str:
     """The article's blocks, joined by newlines; '' for null, empty and textless pages.
 
-    A path is content if its ratio is at least `strength` times the standard deviation over the page's paths (or if it is
-    the best one). Blocks on a content path are kept wherever they stand, if the path has punctuation of its own and
-    isn't only lifted by its neighbours. Others (titles, short lines) are kept inside the article unless they
-    are links for the most part: the article is all article and main elements with content if these hold half of it, or else the innermost
-    element that holds all of it.
+    A path is content if its ratio is at least `strength` times the standard deviation over the page's paths (or if it is the best one). Blocks on a content path
+    are kept wherever they stand, if the path has punctuation of its own and isn't only lifted by its neighbours. Within the article's region blocks whose path has
+    LOW of the threshold are kept too (titles, short lines, lists). The region is all article and main elements with content if these hold half of the content, or else the
+    innermost element around it all (the parent, within the body, of one that has text of its own).
     """
     blocks, articles = blocks_of(page or "")
     if not blocks:
         return ""
-    blocks = furniture(blocks, articles, strength)
-    content, sure, weights = content_weights(blocks, strength)
-    total = sum(weights)
-    weight: dict[int, int] = {}
+    sure, maybe, mass = decided(blocks, marked(blocks, articles, strength), strength)
+    weight: dict[int, float] = {}
     outer: dict[int, _Node | None] = {}  # the outermost article or main element around a block's element
 
-    def marked(x: _Node) -> _Node | None:
+    def article_of(x: _Node) -> _Node | None:
         if id(x) not in outer:
             found, up = None, x
             while up:
@@ -284,10 +294,10 @@ def extract(page: str | None, strength: float = 0.25) -> str:
         return outer[id(x)]
 
     common: list[_Node] | None = None  # from the root to the innermost element that holds all content
-    for (_, node, *_), w in zip(blocks, weights, strict=True):
+    for (_, node, *_), w in zip(blocks, mass, strict=True):
         if not w:
             continue
-        if x := marked(node):
+        if x := article_of(node):
             weight[id(x)] = weight.get(id(x), 0) + w
         if common is None:
             common, up = [], node
@@ -302,22 +312,23 @@ def extract(page: str | None, strength: float = 0.25) -> str:
                 up = up.parent
             while len(common) > 1 and id(common[-1]) not in above:
                 common.pop()
-    in_marked = 2 * sum(weight.values()) >= total and bool(weight)
+    in_articles = 2 * sum(weight.values()) >= mass.sum() and bool(weight)
     while common and common[-1].name in _PARTS:
         common.pop()
+    if common and len(common) > 1 and common[-2].name not in ("", "html", "body") and any(b[1] is common[-1] for b, w in zip(blocks, mass, strict=True) if w):
+        common.pop()  # one block of text, such as a div: what stands beside it
     best = common[-1] if common else None
 
     def within(x: _Node | None) -> bool:
-        if in_marked:
-            return (found := marked(x)) is not None and id(found) in weight
+        if in_articles:
+            return (found := article_of(x)) is not None and id(found) in weight
         while x:
             if x is best:
                 return True
             x = x.parent
         return best is None
 
-    kept = [text for text, node, n, linked in blocks if node.path in sure or (node.path in content or linked < 0.6 * n) and within(node)]
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, yes, may in zip(blocks, sure, maybe, strict=True) if yes or may and within(b[1]))
 
 
 def media_sequence(page: str) -> list[tuple[str, str | None, str | None, str | None]]:

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import html.parser
 import itertools
+import math
 import random
 import zlib
 
@@ -88,6 +90,125 @@ def test_html_keeps_all_content():
     assert html_extract.extract(page) == body
 
 
+FURNITURE = '<div class="cookie-notice"><p>We use cookies, really, and many of them.</p></div><div class="sidebar-left">Buy, now.</div>'
+FOOTER = "<footer>&copy; Site. All rights, reserved. Contact us, please.</footer>"
+MENU = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content no-sidebar">%s</div>', '<div class="entry has-comments">%s</div>', '<div id="page" class="with-nav">%s</div>', '<div class="post related-width">%s</div>', '<main><section class="legal-news">%s</section></main>', '<div class="article-share-wrap">%s</div>', "<form action=/x>%s</form>"])
+def test_html_wrappers_with_and_without_article(wrapper):
+    paragraphs = "".join(f"<p>{x}</p>" for x in BODY)
+    for inner, first in ((paragraphs, []), (f"<article><h1>T</h1>{paragraphs}</article>", ["T"]), (f"<div><h2>T</h2>{paragraphs}</div>", ["T"])):
+        for around in ("", FURNITURE):
+            assert html_extract.extract(f"<html><body>{MENU}{wrapper % (around + inner)}{FOOTER}</body></html>").split("\n") == first + BODY
+
+
+def test_html_links_in_the_article_stay():
+    paragraphs = "".join(f"<p>{x}</p>" for x in BODY)
+    link = "<p><a href=1>A long linked paragraph</a>, <a href=2>and another one of them</a>.</p>"
+    assert html_extract.extract(f"<body>{MENU}<article>{paragraphs}{link}<ul><li><a href=3>See this</a></ul></article>{FOOTER}").split("\n") == [*BODY, "A long linked paragraph, and another one of them.", "See this"]
+    assert html_extract.extract(f"<body>{MENU}<div><div>{paragraphs}{link}</div></div>{FOOTER}").split("\n") == [*BODY, "A long linked paragraph, and another one of them."]
+    tiny = f'<body>{MENU}<article><h1>T</h1><p>la</p><aside>Long text here, with marks. Yes, really.</aside></article><div class="ad">Buy now, or never. Really.</div>{FOOTER}'
+    assert html_extract.extract(tiny) == "T\nla"
+
+
+class Slow(html.parser.HTMLParser):
+    """Blocks of simple pages: (text, names from the root, in furniture, in an article, characters in links), without the operator's parser."""
+
+    SKIPPED, OUT = {"script", "style", "title"}, {"nav", "footer"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.blocks, self.text, self.at, self.linked = [], [], "", None, 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join(self.text.split()):
+            at = self.at
+            while at and at[-1][0] in ("a", "b"):
+                at = at[:-1]
+            names = [n for n, _ in at]
+            self.blocks.append((text, "/".join(names), any(n in self.OUT or c == "ad" for n, c in at), "article" in names, self.linked))
+        self.text, self.at, self.linked = "", None, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK:
+            names = [n for n, _ in self.open]
+            if "p" in names:  # no other element of these pages is left open
+                self.open = self.open[: names.index("p")]
+            self.end()
+        if tag == "br":
+            self.text += " "
+        elif tag != "meta":
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        names = [n for n, _ in self.open]
+        if tag in names:
+            self.open = self.open[: len(names) - 1 - names[::-1].index(tag)]
+        if tag in html_extract.BLOCK:
+            self.end()
+
+    def handle_data(self, data):
+        if any(n in self.SKIPPED for n, _ in self.open):
+            return
+        if data.strip():
+            self.at = self.at or list(self.open)
+            self.linked += len(data) if "a" in [n for n, _ in self.open] else 0
+        self.text += data
+
+    def ratios(self):
+        keys = list(dict.fromkeys((p, out, art) for _, p, out, art, _ in self.blocks))
+        of = {k: [b for b in self.blocks if b[1:4] == k] for k in keys}
+        weights = [math.exp(-0.5 * (d / 0.6) ** 2) for d in (-2, -1, 0, 1, 2)]
+
+        def near(value, k):
+            return sum(w * value(of[keys[k + d]]) for w, d in zip(weights, (-2, -1, 0, 1, 2), strict=True) if 0 <= k + d < len(keys)) / sum(weights)
+
+        out = {}
+        for k, key in enumerate(keys):
+            own, chars = of[key], sum(len(b[0]) for b in of[key])
+            linked = lambda bs: 0 if bs[0][3] else sum(min(len(b[0]), b[4]) for b in bs)
+            text = near(lambda bs: (sum(len(b[0]) for b in bs) - linked(bs)) / len(bs), k)  # noqa: B023
+            marks = near(lambda bs: sum(c in ".,;:!?…。、，；：！？" for b in bs for c in b[0]) / len(bs), k)
+            share = (chars - linked(own) + 1) / (chars + 1)
+            out[key] = math.sqrt(text) * (0.05 + math.log(1 + marks)) * chars**0.75 * share**6 * (1e-10 if key[1] else 1) * (2 if key[2] else 1)
+        return out
+
+    def extract(self):
+        """All of these pages have one article and content in it."""
+        ratio = self.ratios()
+        mean = sum(ratio.values()) / len(ratio)
+        limit = min(0.4 * math.sqrt(sum((r - mean) ** 2 for r in ratio.values()) / len(ratio)), max(ratio.values()))
+        stopped = {b[1:4] for b in self.blocks if any(c in ".,;:!?…。、，；：！？" for c in b[0])}
+        sure = {k for k, r in ratio.items() if r >= limit and k in stopped} or {k for k, r in ratio.items() if r >= limit}
+        return "\n".join(b[0] for b in self.blocks if b[1:4] in sure or b[3] and ratio[b[1:4]] >= 1e-6 * limit)
+
+
+def test_html_against_a_slow_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in html_extract.extract_pages(pages.unionByName(pages.limit(3))).collect()}  # repeated rows
+    assert html_extract.extract_pages(pages.unionByName(pages.limit(3))).count() == len(got) + 3
+    for r in pages.collect():
+        want = Slow(r["html"]).extract()
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want) > 0
+
+
+def test_html_ratios_decide(spark, monkeypatch):
+    """With a constant ratio every page changes; with ratios but without any marks most pages don't."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_extract.extract(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "MARKED", 1.0)
+        m.setattr(html_extract, "ARTICLE", 1.0)
+        assert sum(html_extract.extract(p) == w for p, w in zip(pages, want, strict=True)) > 0.7 * len(pages)
+    real = html_extract.path_ratios
+    monkeypatch.setattr(html_extract, "path_ratios", lambda blocks, marks: (real(blocks, marks)[0], np.ones(len(real(blocks, marks)[1]))))
+    assert sum(html_extract.extract(p) != w for p, w in zip(pages, want, strict=True)) > 0.95 * len(pages)
+
+
 # 2
 def brute_classes(texts, n, percent):
     sets = []

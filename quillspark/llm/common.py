@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 #: Ids are broadcast only up to this count (8 bytes each, some 50 MB hashed); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: A key is hot if it has more than HOT_ROWS rows and more than one in HOT_KEYS of all, so there are HOT_KEYS hot ones at most.
+HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -94,6 +96,21 @@ def small_enough(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined to facts, which has a key at most once; rows without facts are left out. Both must be cheap to read again.
+
+    Keys that over HOT_ROWS rows and over one in HOT_KEYS of all rows have, of which there are HOT_KEYS at most, are joined by broadcasting
+    their facts, so their rows stay where they are; all others are shuffled by key.
+    """
+    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    hot = [r[key] for r in rows.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(facts, key)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    spread = rows.join(keys, key, "left_semi").join(F.broadcast(facts.join(keys, key, "left_semi")), key)
+    return rows.join(keys, key, "left_anti").join(facts, key).unionByName(spread)
+
+
 def words(text: Column) -> Column:
     """The words of a text, by Spark functions only."""
     return F.array_remove(F.split(text, SPACE), "")

@@ -1,8 +1,8 @@
 """Media columns: interleaved sequences of text and media references, and a content-addressed store of payloads.
 
 Pages are parsed into ordered structs (position, kind, text, source, caption, digest). Payloads are stored as 8-bit
-greyscale PNG images of 64 samples a row, named by the SHA-256 of their samples; a digest join puts what is stored at
-each reference, so positions and captions stay aligned with the text around them.
+greyscale PNG images of 64 samples a row, named by the SHA-256 of the payload; a digest join puts what is stored at
+each reference, so positions and captions stay aligned with the text around them. Only references are shuffled for that, and those of a hot payload not even so.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, texts_of, written
+from quillspark.llm.common import in_arrow, spread_join, texts_of, written
 from quillspark.llm.html_extract import media_sequence
 
 #: Samples in a row of the stored image; payloads are padded with bytes 0 to a positive multiple of it.
@@ -78,6 +79,11 @@ def feature(samples: bytes) -> str:
     return f"mean={mean:.4f};dev={max(0.0, square - mean * mean) ** 0.5:.4f};entropy={-(p * np.log2(p)).sum() + 0.0:.4f};hash={bits:016x}"
 
 
+def digest_of(payload: Column) -> Column:
+    """What a payload is stored under: its SHA-256; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(payload.cast("binary"), F.lit(b"")), 256))
+
+
 def store(payloads: DataFrame, name: str = "media") -> DataFrame:
     """(payload) -> the written store (digest, n_bytes, media): one task writes what it reads, no payload is shuffled.
 
@@ -91,13 +97,12 @@ def store(payloads: DataFrame, name: str = "media") -> DataFrame:
             digests, sizes, media = [], [], []
             for value in b["payload"]:
                 raw = value.as_py() or b""
-                samples = padded(raw)
-                key = hashlib.sha256(samples + len(raw).to_bytes(8, "little")).digest()
+                key = hashlib.sha256(raw).digest()
                 if key not in seen:
                     seen.add(key)
                     digests.append(key)
                     sizes.append(len(raw))
-                    media.append(to_png(samples))
+                    media.append(to_png(padded(raw)))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["digest", "n_bytes", "media"])
 
     return written(in_arrow(payloads.select(F.col("payload").cast("binary").alias("payload")), run, "digest binary, n_bytes long, media binary"), name)
@@ -121,37 +126,14 @@ def described(stored: DataFrame) -> DataFrame:
     return out.dropDuplicates(["digest"])
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(doc_id, payload) -> (doc_id, digest), the digest being the one that store() gives the payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = []
-            for value in b["payload"]:
-                raw = value.as_py() or b""
-                keys.append(hashlib.sha256(padded(raw) + len(raw).to_bytes(8, "little")).digest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(keys, pa.binary())], names=["doc_id", "digest"])
+_ITEM = "struct<position:int,kind:string,text:string,src:string,caption:string>"
 
-    return in_arrow(docs.select("doc_id", F.col("payload").cast("binary").alias("payload")), run, "doc_id long, digest binary")
 
+def sequences(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) -> page_id, items: array of (position, kind 'text' or 'media', text, src, caption), in page order, positions from 0.
 
-def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Each document's text as one stored payload, resolved by digest: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature. A null text counts as empty (64 bytes 0); equal texts have equal values;
-    repeated rows are returned as often. Payloads are never shuffled: only digests and what was computed from the store are."""
-    payloads = texts_of(docs).select("doc_id", F.encode("text", "UTF-8").alias("payload"))
-    facts = described(store(payloads))
-    return references(payloads).join(facts, "digest").drop("digest")
-
-
-def interleaved(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """pages (page_id, html) -> page_id, items: array of (position, kind 'text' or 'media', text, src, caption, digest).
-
-    Items are in page order and positions count from 0. An image takes alt or its figure's figcaption as caption.
-    With media (src, payload), digests join to it; a reference without a payload keeps its place with a null digest.
-    Null html: no items. Repeated page_ids are kept apart.
+    An image takes its figure's figcaption, or else alt, as caption. Null and empty html: no items. Repeated page_ids are kept apart.
     """
-    item = "struct<position:int,kind:string,text:string,src:string,caption:string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("caption", pa.string())]))
@@ -159,11 +141,44 @@ def interleaved(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
             items = [[dict(zip(("position", "kind", "text", "src", "caption"), (i, *x), strict=True)) for i, x in enumerate(media_sequence(v.as_py() or ""))] for v in b["html"]]
             yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(items, kind)], names=["page_id", "items"])
 
-    base = in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), run, f"page_id long, items array<{item}>")
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), run, f"page_id long, items array<{_ITEM}>")
+
+
+def interleaved(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """sequences(pages), and with media (src, payload) a digest in each item: what its source's payload is stored under.
+
+    A reference without a payload keeps its place with a null digest; of several payloads of one source the one with the least digest is taken. Sequences are written
+    once; references go to their payloads and come back as a map from positions to digests, so no text is taken apart.
+    """
+    base = sequences(pages)
     if media is None:
         return base
-    base = written(base.withColumn("row", F.expr("uuid()")), "items")
-    digests = references(media.where("src is not null").dropDuplicates(["src"]).select(F.xxhash64("src").alias("doc_id"), "payload", "src")).withColumnRenamed("doc_id", "key")
-    flat = base.select("row", "page_id", F.explode_outer("items").alias("i")).withColumn("key", F.xxhash64("i.src"))
-    joined = flat.join(digests, "key", "left").select("row", "page_id", F.when(F.col("i").isNotNull(), F.struct("i.*", F.when(F.col("i.src").isNotNull(), F.col("digest")).alias("digest"))).alias("i"))
-    return joined.groupBy("row", "page_id").agg(F.array_sort(F.collect_list("i")).alias("items")).drop("row")
+    base = written(base.withColumn("row", F.monotonically_increasing_id()), "items")
+    named = written(media.where("src is not null").groupBy("src").agg(F.min(digest_of(F.col("payload"))).alias("digest")), "sources")
+    asked = written(base.select("row", F.explode("items").alias("i")).where("i.src is not null").select("row", "i.position", "i.src"), "references")
+    found = spread_join(asked, named, "src").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "digest"))).alias("digests"))
+    with_digest = F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("position", "kind", "text", "src", "caption")), F.try_element_at("digests", i["position"]).alias("digest")))
+    return base.join(found, "row", "left").select("page_id", with_digest.alias("items"))
+
+
+#: Before the digest in the source of a document's own payload.
+SCHEME = "sha256:"
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> page_id, html: each document as a page of its payload, a figure with a caption, and its text in a paragraph."""
+    escaped = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")), F.col("text"))
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2("text", 256), F.lit('"><figcaption>Document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure><p>"))
+    return texts_of(docs).select(F.col("doc_id").alias("page_id"), F.concat(figure, escaped, F.lit("</p>")).alias("html"))
+
+
+def documents_as_media(docs: DataFrame) -> DataFrame:
+    """Each document's text as one stored payload: doc_id, caption, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    Documents become pages, pages are parsed into sequences, and the media item of each sequence is resolved by digest against the store. A null text counts as empty
+    (64 bytes 0); equal texts have equal values; repeated rows are returned as often, and null doc_ids too. Payloads are never shuffled: only references and what was computed from the store are.
+    """
+    items = sequences(document_pages(docs)).select("page_id", F.explode("items").alias("i")).where("i.kind = 'media'")
+    asked = written(items.select(F.col("page_id").alias("doc_id"), "i.caption", F.unhex(F.substring("i.src", len(SCHEME) + 1, 64)).alias("digest")), "references")
+    facts = written(described(store(texts_of(docs).select(F.encode("text", "UTF-8").alias("payload")))), "facts")
+    return spread_join(asked, facts, "digest").drop("digest")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chunk_dedup, graph, html_extract, media, ngram_join, packing, quality_rules, site_bayes, viterbi
+from quillspark.llm import bpe, chunk_dedup, common, graph, html_extract, media, ngram_join, packing, quality_rules, site_bayes, viterbi
 from quillspark.llm.compaction import ShardStore
 from quillspark.llm.word_arrays import parts
 
@@ -561,20 +561,79 @@ def test_sparse_sites_shrink(spark):
 
 
 # 9
+def png_samples(data):
+    """An independent reader of greyscale PNG images: all filters, any number of IDAT parts."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    chunks, at = [], 8
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        chunks.append((kind, body))
+        at += 12 + n
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    head = chunks[0][1]
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert tuple(head[8:]) == (8, 0, 0, 0, 0)
+    raw, out, above = zlib.decompress(b"".join(b for k, b in chunks if k == b"IDAT")), bytearray(), bytes(width)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            left, up, corner = (line[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            near = min((left, up, corner), key=lambda v: abs(left + up - corner - v))  # noqa: B023
+            line[x] = (line[x] + (0, left, up, (left + up) // 2, near)[kind]) % 256
+        out += line
+        above = bytes(line)
+    return bytes(out)
+
+
+def slow_feature(samples):
+    n = len(samples)
+    mean = sum(samples) / n
+    shares = [sum(1 for v in samples if v // 16 == k) / n for k in range(16)]
+    cells = [samples[n * k // 64 : n * (k + 1) // 64] for k in range(64)]
+    means = [sum(c) / max(1, len(c)) for c in cells]
+    bits = "".join("1" if v > sum(means) / 64 else "0" for v in means)
+    return [mean, max(0.0, sum(v * v for v in samples) / n - mean * mean) ** 0.5, -sum(p * math.log2(p) for p in shares if p), int(bits, 2)]
+
+
 def test_media(spark, docs):
-    for r in media.documents_as_media(docs).collect():
-        raw = (TEXTS[r["doc_id"]] or "").encode()
+    docs = docs.unionByName(docs.where("doc_id = 6").selectExpr("cast(null as long) as doc_id", "* except (doc_id)"))
+    rows = media.documents_as_media(docs).collect()
+    assert sorted(r["doc_id"] or -1 for r in rows) == sorted(r["doc_id"] or -1 for r in docs.collect())
+    for r in rows:
+        raw = (TEXTS[6 if r["doc_id"] is None else r["doc_id"]] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert r["caption"] == ("Document" if r["doc_id"] is None else f"Document {r['doc_id']}")
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_bytes"] == len(media.to_png(payload)) and r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest()
-    assert media.documents_as_media(docs).count() == docs.count() and media.documents_as_media(docs.limit(0)).count() == 0
-    for payload in (bytes(64), bytes(range(256)) * 3):
-        assert media.from_png(media.to_png(payload)) == payload
+        mean, dev, entropy, bits = slow_feature(payload)
+        got = dict(x.split("=") for x in r["feature"].split(";"))
+        assert all(abs(float(got[k]) - v) < 1e-4 for k, v in (("mean", mean), ("dev", dev), ("entropy", entropy))) and int(got["hash"], 16) == bits
+    assert media.documents_as_media(docs.limit(0)).count() == 0
+    for payload in (bytes(64), bytes(range(256)) * 3, bytes(RNG.randrange(256) for _ in range(6400))):
+        assert media.from_png(media.to_png(payload)) == payload == png_samples(media.to_png(payload))
     with pytest.raises(ValueError):
         media.from_png(media.to_png(bytes(64))[:-20] + b"x" * 20)
 
 
+def test_documents_are_sequences(spark, docs):
+    """A document's page is a figure of its payload and its text; markup in a text is text."""
+    more = table(spark, ["<p>a & b</p> <img src=x>", *TEXTS[3:6]])
+    for r in media.sequences(media.document_pages(more)).collect():
+        text = ["<p>a & b</p> <img src=x>", *TEXTS[3:6]][r["page_id"]]
+        assert [tuple(i) for i in r["items"]] == [(0, "media", None, "sha256:" + hashlib.sha256(text.encode()).hexdigest(), f"Document {r['page_id']}"), (1, "text", text, None, None)]
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["hot"] * 50 + ["x", "y", None, "none"])], "i int, k string")
+    facts = spark.createDataFrame([("hot", 1), ("x", 2), ("y", 3), ("z", 4)], "k string, v int")
+    got = common.spread_join(rows, facts, "k")
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [("hot", 1)] * 50 + [("x", 2), ("y", 3)]
+
+
 def test_interleaved(spark):
     html = '<p>One</p><figure><img src="a.png"><figcaption>Cap &amp; tion</figcaption></figure><p>Two <img src=b.png alt="alt b"> three</p><img>'
     pages = spark.createDataFrame([(1, html), (2, None), (1, "")], "page_id long, html string")

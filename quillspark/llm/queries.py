@@ -61,7 +61,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viterbi.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """The file is a BPE model, whose scores are ranks; as a unigram vocabulary its pieces are scored by Zipf's law."""
+    return viterbi.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), viterbi.ZIPF)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

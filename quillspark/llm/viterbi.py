@@ -3,7 +3,10 @@
 An Aho-Corasick automaton enumerates the vocabulary matches that end at each character; dynamic programming carries the best score
 and its piece count. Ties go as in the SentencePiece library: of equal scores at an end the earliest start wins, a character
 that is no piece of its own is an unknown of score (lowest score - 10), and byte fallback turns it into its UTF-8 bytes.
-Scores are added exactly (the library adds in 32-bit floats, which round on very long texts).
+
+Scores are added exactly. The library (0.2.3) is coarser where scores have a wide range: with the ranks that a BPE file carries as scores (to -31740) it takes paths of a
+lower exact score than the best one, in 615 of the 1000 documents of sf0.01, most of them by cutting after "the" otherwise. With scores=ZIPF the
+pieces of such a file get unigram scores by Zipf's law from their ranks, in steps of 1/64; these the library resolves, and counts agree for every document.
 
 As no piece holds an escaped space after another character, the best path of a text is that of its parts between such places.
 A worker keeps the counts of parts it has met, in bounded memory. Null and empty texts have no pieces.
@@ -11,6 +14,7 @@ A worker keeps the counts of parts it has met, in bounded memory. Null and empty
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -106,14 +110,25 @@ class UnigramCounter:
         return self.best(part)[1]
 
 
-def load(model_file: str):
+#: Where a piece's score comes from: the file, or its rank among the ordinary pieces.
+FILE, ZIPF = "file", "zipf"
+
+
+def zipf_score(rank: int) -> float:
+    return -round(64 * math.log(rank + 2)) / 64
+
+
+def load(model_file: str, scores: str = FILE):
     """(counter, normalizing processor, whether normalizing only marks spaces) of a SentencePiece model file's vocabulary."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
     special = lambda i: p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)
     n = p.get_piece_size()
-    counter = UnigramCounter([(p.id_to_piece(i), p.get_score(i)) for i in range(n) if not special(i)], any(p.is_byte(i) for i in range(n)))
+    if scores not in (FILE, ZIPF):
+        raise ValueError(f"scores must be {FILE} or {ZIPF}")
+    ordinary = [i for i in range(n) if not special(i)]
+    counter = UnigramCounter([(p.id_to_piece(i), p.get_score(i) if scores == FILE else zipf_score(rank)) for rank, i in enumerate(ordinary)], any(p.is_byte(i) for i in range(n)))
     probe = "a  ÅﬁⅠ x　y\tz\n "
     return counter, p, p.normalize(probe) == SPACE_MARK + probe.replace(" ", SPACE_MARK) and counter.cuts and counter.byte_fallback
 
@@ -130,11 +145,11 @@ def count(loaded, text: str) -> int:
     return counter.count(processor.normalize(text))
 
 
-def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
+def count_tokens(docs: DataFrame, model_file: str, scores: str = FILE) -> DataFrame:
     """(doc_id, text) -> doc_id, n_chars, n_tokens: one row for each row, repeated ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = worker_cache(f"unigram {model_file}", lambda: load(model_file))
+        loaded = worker_cache(f"unigram {scores} {model_file}", lambda: load(model_file, scores))
         for b in batches:
             texts = b["text"].to_pylist()
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([count(loaded, t) for t in texts], pa.int64())], names=["doc_id", "n_chars", "n_tokens"])

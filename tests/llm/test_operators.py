@@ -652,24 +652,50 @@ def test_interleaved_keeps_text_of_furniture(spark):
 
 
 # 10
-def test_viterbi_against_the_library(spark, docs):
+def unigram_library(path, score):
+    """The SentencePiece library with the file's pieces as a unigram vocabulary, scored by score(file's score, rank)."""
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    path = P.path("piece_bpe_32k.model")
     proto = pb.ModelProto()
     proto.ParseFromString(open(path, "rb").read())
     proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
-    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for rank, p in enumerate(p for p in proto.pieces if p.type == pb.ModelProto.SentencePiece.NORMAL):
+        p.score = score(p.score, rank)
+    return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+def test_viterbi_against_the_library(spark, docs):
+    """Every document of sf0.01, the longest too, and odd strings: equal counts under scores that the library resolves."""
+    path = P.path("piece_bpe_32k.model")
+    library = unigram_library(path, lambda _, rank: viterbi.zipf_score(rank))
     rng = random.Random(1)
-    loaded = viterbi.load(path)
-    samples = ["", " ", "a", "Hello, world!", "  two  spaces ", "▁mark", "naïve café 漢字 😀\n\ttab", "aaaaaaaaaaaaaaaa", *("".join(rng.choices("abcdeiotnrs   é", k=rng.randint(1, 60))) for _ in range(150))]
-    for s in samples:
-        assert viterbi.count(loaded, s) == len(library.encode(s)), s
-    for r in viterbi.count_tokens(docs, path).collect():
-        t = TEXTS[r["doc_id"]] or ""
-        assert r["n_tokens"] == (loaded[0].best(loaded[1].normalize(t))[1] if t else 0)
-    assert viterbi.count_tokens(docs.limit(0), path).count() == 0
+    samples = ["", " ", "a", "the", "thestionnd", "Hello, world!", "  two  spaces ", "▁mark", "naïve café 漢字 😀\n\ttab", "aaaaaaaaaaaaaaaa", *("".join(rng.choices("abcdeiotnrsthe   é", k=rng.randint(1, 60))) for _ in range(300)), *TEXTS]
+    rows = spark.createDataFrame(list(enumerate(samples)), "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 10000", "text").toDF("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    got = {r["doc_id"]: r for r in viterbi.count_tokens(rows, path, viterbi.ZIPF).collect()}
+    assert len(got) == len(texts) > 1000
+    for i, t in texts.items():
+        assert (got[i]["n_tokens"], got[i]["n_chars"]) == (len(library.encode(t)), len(t))
+    assert viterbi.count_tokens(docs, path).count() == docs.count() and viterbi.count_tokens(docs.limit(0), path).count() == 0
+    with pytest.raises(ValueError):
+        viterbi.load(path, "other")
+
+
+def test_viterbi_with_ranks_as_scores(spark):
+    """With the file's own scores the library's paths are never better than the operator's; where counts differ, its path has a lower or equal exact score."""
+    path = P.path("piece_bpe_32k.model")
+    library, loaded = unigram_library(path, lambda s, _: s), viterbi.load(path)
+    counter, processor, _ = loaded
+    score = {processor.id_to_piece(i): processor.get_score(i) for i in range(processor.get_piece_size()) if not processor.is_byte(i)}
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in (r["text"] or "").split()})
+    differ = 0
+    for w, pieces in zip(words, library.encode(words, out_type=str), strict=True):
+        own, n = counter.best(processor.normalize(w))
+        if n != len(pieces):
+            differ += 1
+            assert all(p in score for p in pieces) and sum(score[p] for p in pieces) <= own
+    assert 0 < differ < 0.02 * len(words)
 
 
 def test_viterbi_brute_force():

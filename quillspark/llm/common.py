@@ -96,14 +96,25 @@ def small_enough(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows joined to facts, which has a key at most once; rows without facts are left out. Both must be cheap to read again.
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column of longs, cheap to read again); null doc_ids stay. The ids are broadcast if counted small, else joined. Columns of docs may have any names."""
+    key = unused_name(docs, "gone")
+    ids = small_enough(gone.toDF(key).distinct())
+    return docs.join(ids, docs["doc_id"].cast("long") == ids[key], "left_anti")
+
+
+def hot_limit(total: int) -> int:
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """rows joined to facts, which has a key at most once; rows without facts are left out. Both must be cheap to read again. hot: the keys of more rows than hot_limit(), if known.
 
     Keys that over HOT_ROWS rows and over one in HOT_KEYS of all rows have, of which there are HOT_KEYS at most, are joined by broadcasting
     their facts, so their rows stay where they are; all others are shuffled by key.
     """
-    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
-    hot = [r[key] for r in rows.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
+    if hot is None:
+        hot = [r[key] for r in rows.groupBy(key).count().where((F.col("count") > hot_limit(rows.count())) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
         return rows.join(facts, key)
     keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))

@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) in any order -> (node, component), component being the smallest node reachable.
+    """edges (u, v) in any order -> (node, component), component being the smallest node reachable. Nodes are of any type that Spark orders and hashes.
 
     Nodes that are on no edge aren't returned; loops, nulls and repeated edges are harmless; no edges give an empty frame.
     Every round is written in the shared folder, in place of the one before; two numbers a round reach the driver.

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, small_enough, texts_of, written
+from quillspark.llm.common import hot_limit, in_arrow, small_enough, spread_join, texts_of, without, written
 from quillspark.llm.graph import components
 from quillspark.llm.word_arrays import mix, parts
 
@@ -132,7 +132,7 @@ def signatures(grams: np.ndarray, bounds: Bounds) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, high and low (a 128-bit digest of the set, null without words), signatures.
+    """doc_id, n_shingles, digest (128 bits of the set, null without words), signatures.
 
     Of rows with equal sets in one task only the first carries signatures, so a group of copies is no group of candidates.
     """
@@ -141,23 +141,20 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            sizes, high, low, signs = [], [], [], []
+            sizes, keys, signs = [], [], []
             for doc, grams in zip(b["doc_id"].to_pylist(), ngrams(b["text"], n), strict=True):
                 sizes.append(len(grams))
-                if not len(grams):
-                    high.append(None)
-                    low.append(None)
+                key = xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
+                keys.append(key)
+                if key is None:
                     signs.append(None)
                     continue
-                key = xxhash.xxh3_128_digest(grams.tobytes())
-                high.append(int.from_bytes(key[:8], "big", signed=True))
-                low.append(int.from_bytes(key[8:], "big", signed=True))
                 signs.append(None if key in seen or doc is None else signatures(grams, bounds).view(np.int64))
                 if doc is not None:
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "high", "low", "signatures"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "signatures"])
 
-    return in_arrow(texts_of(docs), run, "doc_id long, n_shingles long, high long, low long, signatures array<long>")
+    return in_arrow(texts_of(docs), run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
 
 
 def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles: list[int] | None = None) -> list[tuple[int, int]]:
@@ -185,6 +182,7 @@ def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles:
     places = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.zeros(int(flat.max()) + 1, bool)
     label, sets, out = np.arange(n), n, []
+    members = [np.array([i]) for i in range(n)]  # of each label; the smaller of two sets is relabelled, so a row is at most log2(n) times
     for i in range(n - 1):
         if sets == 1:
             break
@@ -202,29 +200,36 @@ def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles:
         marked[flat[places[i] : places[i + 1]]] = True
         for j in found.tolist():
             if label[j] != label[i] and bounds.reached(np.count_nonzero(marked[flat[places[j] : places[j + 1]]]), sizes[i], sizes[j]):
-                label[label == label[j]] = label[i]
+                small, large = sorted((int(label[i]), int(label[j])), key=lambda k: len(members[k]))
+                label[members[small]] = large
+                members[large] = np.concatenate([members[large], members[small]])
                 sets -= 1
                 out.append((docs[i], docs[j]))
         marked[flat[places[i] : places[i + 1]]] = False
     return out
 
 
-def links(docs: DataFrame, facts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): links among the smallest documents of equal sets that connect whatever is connected. facts: described(), written.
+def equal_sets(facts: DataFrame) -> DataFrame:
+    """digest, rep (the least doc_id of the sets that are equal), written."""
+    return written(facts.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "equal")
 
-    doc_ids must be from -2 ** 57 to 2 ** 57; others overflow, which Spark reports as an error.
-    """
+
+def links(docs: DataFrame, facts: DataFrame, same: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): links among the smallest documents of equal sets that connect whatever is connected. facts: described(), written; same: equal_sets(facts)."""
     bounds = Bounds(percent)
-    same = facts.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    reps = facts.where("doc_id is not null").select("doc_id", "high", "low", "n_shingles").join(same, ["high", "low"]).select("doc_id", "rep", "n_shingles")
-    rows = facts.where("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
-    least = F.min("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = rows.withColumn("other", least).where("other <> doc_id").select("doc_id", "other", F.col("signature").bitwiseAND(F.lit(BANDS - 1)).alias("band")).distinct()
+    known = facts.where("doc_id is not null and digest is not null")
+    reps = written(spread_join(known.select("doc_id", "digest", "n_shingles"), same.where("rep is not null"), "digest").select("doc_id", "rep", "n_shingles"), "reps")
+    rows = known.where("signatures is not null").select("doc_id", F.explode("signatures").alias("signature"))
+    shared = written(rows.groupBy("signature").agg(F.min("doc_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    # the total is that of shared signatures, whose rows all are among rows
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r["signature"] for r in shared.where(F.col("n") > hot_limit(total)).select("signature").collect()]  # HOT_KEYS at most
+    met = spread_join(rows, shared.drop("n"), "signature", hot).where("other <> doc_id").select("doc_id", "other", F.col("signature").bitwiseAND(F.lit(BANDS - 1)).cast("int").alias("band")).distinct()
     left, right = reps.select("doc_id", F.col("rep").alias("u")), reps.select(F.col("doc_id").alias("other"), F.col("rep").alias("v"))
     # a node is a document in a band, so groups of short texts and of long ones don't grow together
-    met = met.join(left, "doc_id").join(right, "other").select((F.col("u") * BANDS + F.col("band")).alias("u"), (F.col("v") * BANDS + F.col("band")).alias("v"))
-    groups = written(components(met).select(F.shiftright("node", 6).alias("node"), "component"), "groups")
-    weight = groups.join(reps.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
+    met = met.join(left, "doc_id").join(right, "other").select(F.struct(F.col("u").alias("id"), "band").alias("u"), F.struct(F.col("v").alias("id"), "band").alias("v"))
+    groups = written(components(met).select(F.col("node.id").alias("node"), "component"), "groups")
+    weight = groups.join(reps.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
     total = weight.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE)).cast("int").alias("tiles"))
     dealt = weight.join(total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     pairs = F.when(F.col("tiles") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))"))
@@ -269,17 +274,18 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     component_id is the smallest doc_id that links reach; documents link if their sets of n-word shingles have a Jaccard similarity of at least
     percent / 100. Texts that are null or without words have the empty set and are linked with nothing. Rows with a null doc_id link nothing and
-    have the smallest doc_id of an equal set, or null. Rows that share a doc_id are one document whose texts all link.
+    have the smallest doc_id of an equal set, or null. Rows that share a doc_id are one document whose texts all link. Any 64-bit doc_id will do.
     """
     facts = written(described(docs, n, percent), "sets")
-    labels = components(links(docs, facts, n, percent)).select(F.col("node").alias("rep"), F.col("component").alias("linked"))
-    same = facts.where("high is not null").groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    named = same.join(labels, "rep", "left").select("high", "low", F.coalesce("linked", "rep").alias("class"))
-    out = facts.drop("signatures").join(named, ["high", "low"], "left")
+    same = equal_sets(facts)
+    labels = components(links(docs, facts, same, n, percent)).select(F.col("node").alias("rep"), F.col("component").alias("linked"))
+    named = written(same.join(labels, "rep", "left").select("digest", F.coalesce("linked", "rep").alias("class")), "classes")
+    out = spread_join(facts.where("digest is not null").select("doc_id", "n_shingles", "digest"), named, "digest").select("doc_id", "n_shingles", "class")
+    out = out.unionByName(facts.where("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class")))
     return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that aren't the smallest of their class; columns unchanged. Ids to drop are broadcast if counted small, else joined."""
-    gone = written(classes(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "copies").distinct()
-    return docs.join(small_enough(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """docs without the documents that aren't the smallest of their class; columns unchanged. Rows with a null doc_id can't be named and all stay; so do all rows of a smallest doc_id that is there twice."""
+    gone = written(classes(docs, n, percent).where("doc_id <> component_id").select("doc_id"), "copies")
+    return without(docs, gone)

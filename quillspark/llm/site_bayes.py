@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import in_arrow, small_enough, texts_of, written
+from quillspark.llm.common import in_arrow, texts_of, without, written
 
 #: Labelled rows that the model is fitted on at most; features that it keeps at most for each target.
 FIT_ROWS, MAX_FEATURES = 4000, 300
@@ -118,10 +118,11 @@ def _fit_one(rows: list[set[str]], y: np.ndarray) -> tuple[dict[str, float], flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """labels (doc_id, quality, toxic); unknown doc_ids and null labels are left out. Without any labelled row all evidence is 0."""
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic").collect()  # fit_rows at most, but for repeated doc_ids
-    rows = rows[: 2 * fit_rows]
+    """labels (doc_id, quality, toxic); unknown doc_ids and null labels are left out, and of several labels or texts of one doc_id the least counts. Without any labelled row all evidence is 0."""
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    # one text of each doc_id, chosen before anything is collected: fit_rows rows at most
+    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "l")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.l.quality", "r.l.toxic").limit(fit_rows).collect()
     model = Model()
     if rows:
         found = [features(r["text"]) for r in rows]
@@ -191,7 +192,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | str = "source",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The kept rows of docs, columns unchanged. Rejected ids are few beside the texts: they are broadcast if counted small, else joined."""
-    gone = written(classify(docs, labels, host, path, fit_rows).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "rejected").distinct()
-    return docs.join(small_enough(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-
+    """The kept rows of docs, columns unchanged. Rows with a null doc_id can't be named and stay; if one of several rows of a doc_id is rejected, all are."""
+    return without(docs, written(classify(docs, labels, host, path, fit_rows).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "rejected"))

@@ -264,6 +264,24 @@ def test_ngram_join_tiles_and_empty(spark, monkeypatch):
     assert ngram_join.classes(table(spark, texts).limit(0), 3, 90).count() == 0
 
 
+def test_ngram_join_ids_hot_signatures_and_clashes(spark, monkeypatch):
+    """Any 64-bit ids; signatures and sets that most rows share; repeated rows; null ids, which stay; columns of any names."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(6)
+    base = rng.choices(VOCABULARY, k=60)
+    texts = [" ".join([*base[:50], f"v{i}", *base[50:]]) for i in range(25)] + [" ".join(base)] * 10 + varied(40, rng)
+    ids = [rng.choice([1, -1]) * (2**62 + i) for i in range(len(texts))]
+    got = ngram_join.classes(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), 3, 90).collect()
+    want = brute_classes(texts, 3, 90)
+    groups = {}
+    for i, (_, c) in want.items():
+        groups.setdefault(c, []).append(ids[i])
+    assert {r["doc_id"]: r["component_id"] for r in got} == {ids[i]: min(groups[c]) for i, (_, c) in want.items()}
+    rows = [(1, BASE, 0), (2, BASE, 1), (2, BASE, 2), (None, BASE, 3), (None, BASE, 4), (None, None, 5), (1, BASE, 6)]
+    kept = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumn("_gone", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "gone", "_gone"] and sorted(r["gone"] for r in kept.collect()) == [0, 3, 4, 5, 6]
+
+
 def test_bounds_miss_no_pair():
     b = ngram_join.Bounds(90)
     for size in (1, 5, 12, 40, 133, 400):
@@ -548,8 +566,16 @@ def test_classifier_edges(spark, docs):
     assert out.count() == docs.count() and out.where("quality is null or toxicity is null").count() == 0
     assert site_bayes.classify(docs, labels.limit(0)).count() == docs.count()
     assert site_bayes.classify(docs.limit(0), labels).count() == 0
-    kept = site_bayes.keep_good(docs, labels)
-    assert kept.columns == docs.columns
+    kept = site_bayes.keep_good(docs.withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(1)), labels)
+    assert kept.columns == [*docs.columns, "gone", "_gone"]
+
+
+def test_fit_is_bounded_before_it_collects(spark):
+    """A doc_id of very many rows counts once; of several labels of one doc_id the least does."""
+    docs = spark.range(20000).selectExpr("id % 4 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(i, q, 0) for i in range(4) for q in (1, 0)], "doc_id long, quality int, toxic int")
+    model = site_bayes.fit(docs, labels, 3)
+    assert model.bias["good"] < -1 and model.weights["good"] == {}
 
 
 def test_sparse_sites_shrink(spark):

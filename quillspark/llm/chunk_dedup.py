@@ -3,7 +3,7 @@
 A gear rolling hash runs over the bytes of a text (words joined by single spaces); a chunk ends at a word's end where the hash's chosen bits
 are 0. Cuts depend on the last few bytes only, so after an insertion the chunks fall into step again. Single chunks are a few words and
 repeat by chance, each in another document, so what is compared by digest over all documents is windows: successive chunks of at least `min_words`
-words together. The smallest doc_id owns a window, every other document's copy is a duplicate. Each chunk begins the shortest window that it can and
+words together. The smallest doc_id owns a window, every other document's copy is a duplicate, and so is a later copy in one text that doesn't overlap the first. Each chunk begins the shortest window that it can and
 ends the shortest that it can, so the windows that two documents share cover all of a run of chunks that they share, if it has
 `min_words` words. Duplicate windows are removed, as spans of whole words.
 """
@@ -84,8 +84,20 @@ def windows(ends: np.ndarray, digests: np.ndarray, min_words: int) -> tuple[np.n
     return first, last, mix((total[last + 1] - total[first]) * powers_of(INVERSE, n)[first] + (last - first).astype(np.uint64))
 
 
+def repeated(first: np.ndarray, last: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which of a text's windows are later copies that don't overlap the first one."""
+    out = np.zeros(len(digests), bool)
+    order = np.lexsort((first, digests))
+    new = np.concatenate([[True], digests[order][1:] != digests[order][:-1]]) if len(order) else out
+    if not new.all():
+        ends = last[order][new][np.cumsum(new) - 1]  # of each window's first copy
+        out[order] = first[order] > ends
+    return out
+
+
 def _digest_rows(docs: DataFrame, min_words: int, mean_words: int) -> DataFrame:
-    """(doc_id, digest) of each distinct window of each row."""
+    """(doc_id, digest, known) of each distinct window of each row. known isn't 0, but a number that spreads, where a smaller doc_id of the same batch has the window: such rows need no owner, so of a hot
+    window one row a batch is looked at by the task that finds its owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,13 +107,18 @@ def _digest_rows(docs: DataFrame, min_words: int, mean_words: int) -> DataFrame:
                     found.append(np.unique(own).view(np.int64))
                     ids.append(np.full(len(found[-1]), doc, np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "digest"])
+                doc, digest = np.concatenate(ids), np.concatenate(found)
+                order = np.lexsort((doc, digest))
+                doc, digest = doc[order], digest[order]
+                new = np.concatenate([[True], digest[1:] != digest[:-1]])
+                known = np.where(doc > doc[new][np.cumsum(new) - 1], np.arange(1, len(doc) + 1), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(digest), pa.array(known, pa.int32())], names=["doc_id", "digest", "known"])
 
-    return in_arrow(texts_of(docs), run, "doc_id long, digest long")
+    return in_arrow(texts_of(docs), run, "doc_id long, digest long, known int")
 
 
 def _not_first(rows: DataFrame) -> DataFrame:
-    """The rows (doc_id, digest) whose digest a smaller doc_id has too. Rows of a digest meet in one task, sorted, and pass through it in batches."""
+    """The rows (doc_id, digest) whose digest a smaller doc_id has too. Rows of a digest that aren't known to be such meet in one task, sorted, and pass through it in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, owner = None, 0  # the digest that the last batch ended with, and its least doc_id
@@ -113,10 +130,11 @@ def _not_first(rows: DataFrame) -> DataFrame:
             group = np.cumsum(new)
             owners = np.concatenate([[owner], ids[new]])[group]
             before, owner = digests[-1], owners[-1]
-            if (again := ids > owners).any():
+            # the least doc_id of all is never known beforehand, so it is in the task of the others that aren't
+            if (again := (ids > owners) | (b["known"].to_numpy() != 0)).any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(digests[again])], names=["doc_id", "digest"])
 
-    return in_arrow(rows.repartition("digest").sortWithinPartitions("digest", "doc_id"), run, "doc_id long, digest long")
+    return in_arrow(rows.repartition("digest", "known").sortWithinPartitions("digest", "doc_id"), run, "doc_id long, digest long", rows=10_000)
 
 
 def duplicate_runs(ends: np.ndarray, again: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -130,10 +148,10 @@ def duplicate_runs(ends: np.ndarray, again: np.ndarray, min_words: int) -> list[
 def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text without repeated passages, n_words, n_removed, spans (start, end in characters).
 
-    One row for each row of docs, a null text stays null. A passage stays in the document with the least doc_id; what repeats within one document only isn't touched, and rows that
-    share a doc_id are one document. Null doc_ids are neither owners nor changed. White space left at a cut is reduced to the one before it.
+    One row for each row of docs, a null text stays null. A passage stays in the document with the least doc_id, at its first place in it; rows that
+    share a doc_id are one document, so one's passages stay in the other. Of rows with a null doc_id only what they repeat themselves goes, and they own nothing. White space left at a cut is reduced to the one before it.
 
-    One shuffle carries the windows' digests, another the duplicate ones to their documents. The rows of one digest, one for each document that has it, meet in one
+    One shuffle carries the windows' digests, another the duplicate ones to their documents. The rows of one digest, at most one for each batch of BATCH_ROWS documents, meet in one
     task, which reads them as a stream.
     """
     return _deduped(docs, min_words, mean_words, [])
@@ -151,9 +169,11 @@ def _deduped(docs: DataFrame, min_words: int, mean_words: int, more: list[str])
             texts, counts, removed, spans = [], [], [], []
             for value, marks, (words, at, ends, digests) in zip(b["text"], b["_again"], chunked(b["text"], mean_words), strict=True):
                 runs: list[tuple[int, int]] = []
+                first, last, own = windows(ends, digests, min_words)
+                found = repeated(first, last, own)
                 if marks.is_valid:
-                    first, last, own = windows(ends, digests, min_words)
-                    found = np.isin(own.view(np.int64), marks.values.to_numpy())
+                    found |= np.isin(own.view(np.int64), marks.values.to_numpy())
+                if found.any():
                     edge = np.bincount(first[found], minlength=len(ends) + 1) - np.bincount(last[found] + 1, minlength=len(ends) + 1)
                     runs = duplicate_runs(ends, np.cumsum(edge)[:-1] > 0, min_words)
                 counts.append(int(ends[-1]) if len(ends) else 0)

@@ -3,8 +3,12 @@
 A store is a folder of immutable Parquet shards and a folder of manifests. An append writes what arrives as small shards; a
 compaction merges runs of shards of similar size into files of the target size. Either becomes visible by one atomic step: the next
 numbered manifest is written aside and renamed to its name, and a rename onto a name that exists fails, so of two writers one wins.
-Readers name the files of one manifest; shards that no manifest names (of failed jobs) are never read. All paths go through
-Hadoop's file systems, so the store may be anywhere that Spark can write.
+Readers name the files of one manifest; shards that no manifest names (of failed jobs) are never read.
+
+All paths go through Hadoop's file systems. The commit is atomic where a rename is and refuses a name that exists, as in HDFS and local folders. Object stores
+promise neither: there a reader may meet a manifest that is half copied, and of two writers at once both may think that they won, so let one writer at a time commit.
+
+Rows are stored as they come: null, empty and repeated ones too, columns of any names.
 """
 
 from __future__ import annotations
@@ -80,7 +84,7 @@ class ShardStore:
         return sorted(out, key=lambda s: s.path)
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
-        """Writes rows as small shards, one for each task, or with arrival (a column) one for each of its values in each task, and commits."""
+        """Writes rows as small shards, one for each task, and commits. With arrival, a column that isn't stored, a task writes one for each of its values."""
         state = self.manifest()
         folder = f"shards/a-{uuid.uuid4().hex}"
         schema = T.StructType([f for f in rows.schema if f.name != arrival])
@@ -119,27 +123,25 @@ class ShardStore:
         return self.commit(state["version"], state["schema"], kept)
 
     def _merge(self, run: list[Shard], schema: T.StructType, folder: str) -> None:
-        conf = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        old = {k: self.spark.conf.get(k, None) for k in conf}
-        try:
-            for k, v in conf.items():
-                self.spark.conf.set(k, v)
-            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[s.path for s in run])
-            rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        finally:
-            for k, v in old.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard, the file's name. An empty store is a ValueError, as it has no schema."""
+        apart = self.spark.newSession()  # its settings are its own
+        for k, v in {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}.items():
+            apart.conf.set(k, v)
+        rows = apart.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[s.path for s in run])
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """All rows of a version, with the name of each row's file in a column `shard` if asked for; a name that the rows have is a ValueError. So is an empty store, as it has no schema."""
         state = self.manifest(version)
         if not state["schema"]:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(json.loads(state["schema"]))
+        if shard and shard.lower() in (n.lower() for n in schema.names):
+            raise ValueError(f"the rows have a column {shard}")
         if not state["shards"]:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
+            rows = self.spark.createDataFrame([], schema)
+            return rows.withColumn(shard, F.lit(None).cast("string")) if shard else rows
         rows = self.spark.read.schema(schema).parquet(*[p for p, _ in state["shards"]])
-        return rows.withColumn("shard", F.col("_metadata.file_name"))
+        return rows.withColumn(shard, F.col("_metadata.file_name")) if shard else rows
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes shards that none of the last `keep` versions names; how many. Not to be called while others write."""

@@ -27,12 +27,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in small shards, are compacted, and are read back through the last manifest."""
+    """All documents arrive in ARRIVALS appends, each of small shards; after each the store is compacted if due, and is read back through the last manifest."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, new_path(spark, "store"))
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "arrival")
-    store.compact()
-    store.vacuum()
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact()
+        store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -318,6 +318,25 @@ def test_store(spark, tmp_path):
     assert store.vacuum() == 5 and store.read().count() == 1000
     store.append(df.limit(0))
     assert store.read().count() == 1000
+    assert store.read(shard="file").select("file").distinct().count() == 1
+
+
+def test_store_keeps_any_rows_and_columns(spark, tmp_path):
+    """Nulls, repeated rows and columns that the store uses names of; settings of the session stay; a failed append is never read."""
+    rows = spark.createDataFrame([(1, None, "s", None), (1, None, "s", None), (None, "", None, "a")], "doc_id long, text string, shard string, arrival string")
+    store = ShardStore(spark, f"file://{tmp_path}/t", fan_in=2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for _ in range(3):
+        store.append(rows)
+        store.compact()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert store.read().columns == rows.columns and sorted(map(repr, store.read().collect())) == sorted(map(repr, rows.collect() * 3))
+    with pytest.raises(ValueError):
+        store.read(shard="Shard")
+    version = store.version()
+    with pytest.raises(Exception, match="DIVIDE|zero"):
+        store.append(rows.withColumn("doc_id", F.col("doc_id") + (F.lit(1) / (F.col("doc_id") - 1)).cast("long")))
+    assert store.version() == version and store.read().count() == 9
 
 
 # 4
@@ -346,6 +365,23 @@ def test_quality_rules(spark, docs):
     assert quality_rules.clean(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_in_other_scripts(spark):
+    """Sentences that end with the marks of other scripts; boilerplate in four languages; filters on columns of docs go below, repeated rows and names of the operator's own stay."""
+    word = {"hi": "यह एक साफ वाक्य है", "ar": "هذه جملة نظيفة تماما", "zh": "这 是 一个 句子"}
+    texts = ["\n".join(f"{w} {i}{end}" for i in range(8)) for w, end in ((word["hi"], "।"), (word["ar"], "؟"), (word["zh"], "。"))]
+    keep = "Ein Satz steht hier, der lang genug ist und nicht fehlt, weil er mehr als zwanzig Worte hat, die alle zusammen eine Zeile bilden, und noch einige mehr."
+    phrases = ["Alle Rechte vorbehalten.", "Tous droits réservés.", "Aviso legal.", "All rights reserved.", "Conditions d’utilisation.", "Skip to content."]
+    texts += ["\n".join([keep, *phrases])] * 2
+    d = table(spark, texts).selectExpr("*", "1 as q_text", "2 as _text", "3 as _n")
+    rows = quality_rules.judged(d).orderBy("doc_id").collect()
+    assert [r["kept"] for r in rows] == [True] * 5 and [r["clean_text"] for r in rows] == [*texts[:3], keep, keep]
+    assert [(r["q_text"], r["_text"], r["_n"]) for r in rows] == [(1, 2, 3)] * 5
+    assert quality_rules.judged(d, {}).where("doc_id = 3").first()["clean_text"] == texts[3]
+    plan = quality_rules.judged(d).where("lang = 'en' and kept")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate inline")
+    assert "kept#" in above and "lang#" not in above and "Filter" in below and "= en" in below
+
+
 # 5
 def test_chunks_resist_shifts():
     w = RNG.choices(VOCABULARY, k=2000)
@@ -365,6 +401,9 @@ def test_substring_dedup(spark, docs):
         ends = [(s["start"], s["end"]) for s in rows[i]["spans"]]
         assert sum(len(words(texts[i][a:e])) for a, e in ends) == rows[i]["n_removed"] and all(texts[i][a:e] in passage for a, e in ends)
         assert rows[i]["text"].split() == [w for w in (texts[i][: ends[0][0]] + texts[i][ends[-1][1] :]).split()] or len(ends) > 1
+    thrice = " ".join([fresh(20), passage2 := fresh(60), fresh(5), passage2, fresh(5), passage2])
+    row = chunk_dedup.dedup(table(spark, [thrice])).first()
+    assert 80 <= row["n_removed"] <= 120 and row["text"].count(passage2) == 1
     assert [rows[i]["text"] for i in (6, 7, 8, 10, 11)] == [texts[i] for i in (6, 7, 8, 10, 11)]
     assert chunk_dedup.dedup(docs.limit(0)).count() == 0
     out = chunk_dedup.without_repeats(docs)
@@ -407,19 +446,18 @@ def brute_chunks(text):
 
 
 def brute_removed(texts, min_words=24):
-    """For each text the indices of words removed: runs of chunks, min_words and more words together, that an earlier text has as chunks."""
+    """For each text the indices of words removed: runs of chunks, min_words and more words together, that an earlier text, or an earlier place of the text, has as chunks."""
     seen, out = set(), []
     for text in texts:
         w, ends = brute_chunks(text or "")
-        starts, gone, own = [0, *ends[:-1]], set(), set()
+        starts, gone, own = [0, *ends[:-1]], set(), {}
         for i, a in enumerate(starts):
             for j in range(i, len(ends)):
                 if ends[j] - a >= min_words:
                     run = tuple(tuple(w[x:y]) for x, y in zip(starts[i : j + 1], ends[i : j + 1], strict=True))
-                    own.add(run)
-                    if run in seen:
+                    if run in seen or own.setdefault(run, ends[j]) <= a:
                         gone |= set(range(a, ends[j]))
-        seen |= own
+        seen |= own.keys()
         out.append(gone)
     return out
 
@@ -431,7 +469,7 @@ def test_substring_dedup_against_brute_force(spark):
     for _ in range(120):
         parts_ = [rng.choice(passages) if rng.random() < 0.3 else " ".join(rng.choices(VOCABULARY, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 4))]
         texts.append(rng.choice(["", " ", "\n"]) + "  ".join(parts_))
-    texts += [rng.choice(texts[2:]) for _ in range(40)]
+    texts += [rng.choice(texts[2:]) for _ in range(40)] + [f"{passages[3]} x {passages[3]} y {passages[3]}", "la " * 300]
     got = {r["doc_id"]: r for r in chunk_dedup.dedup(table(spark, texts).repartition(5)).collect()}
     for i, gone in enumerate(brute_removed(texts)):
         assert got[i]["n_removed"] == len(gone)

@@ -11,6 +11,9 @@ from quillspark.functions import analyzers as A
 from quillspark.functions.scoring import Bm25
 from quillspark.operators import match, rank, statistics
 from quillspark.plans import index as ix
+from quillspark.plans import profile
+from quillspark.plans.work import work_root
+from quillspark.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,20 +60,29 @@ def _has(condition: str) -> str:
 add("tokenize", lambda s, d: ix.tokens(documents(s, d)), f"WITH {_P} SELECT doc_id, pos, term FROM p")
 add("keyword_tokens", lambda s, d: ix.tokens(documents(s, d), "lang", "keyword"), "SELECT doc_id, 0 AS pos, lang AS term FROM documents WHERE lang <> ''")
 add("normalize_bytes", lambda s, d: documents(s, d).select("doc_id", A.normalize_bytes(F.col("text")).alias("folded")), "SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')) AS folded FROM documents")
-add("postings", lambda s, d: ix.postings_of(ix.tokens(documents(s, d))).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")), f"WITH {_F} SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM f")
+add("postings", lambda s, d: ix.postings_of(documents(s, d)).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")), f"WITH {_F} SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM f")
 _index("dictionary", lambda i: i.dictionary, f"WITH {_D} SELECT * FROM d")
 _index("norms", lambda i: i.lengths, f"WITH {_T}, {_L} SELECT * FROM l")
-_index("block_stats", lambda i: ix.windows_of(i.postings, i.lengths), f"""WITH {_F}, {_L}, r AS (SELECT f.*, norm, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY term) AS df FROM f JOIN l USING (doc_id))
+_index("block_stats", lambda i: ix.windows_of(i.postings), f"""WITH {_F}, {_L}, r AS (SELECT f.*, norm, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY term) AS df FROM f JOIN l USING (doc_id))
 SELECT term, CAST(r // CASE WHEN df >= 8192 THEN 1024 ELSE 256 END AS BIGINT) AS block, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, max(tf) AS max_tf, min(norm) AS min_norm FROM r GROUP BY ALL""")
 _index("block_ranges", lambda i: i.blocks, f"WITH {_F}, {_L} SELECT term, doc_id // 4096 AS block, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, max(tf) AS max_tf, min(norm) AS min_norm FROM f JOIN l USING (doc_id) GROUP BY ALL")
-_index("validate_postings", lambda i: ix.faults(i.postings), "SELECT CAST(0 AS BIGINT) AS bad_tf, CAST(0 AS BIGINT) AS bad_order")
+_FAULTS = "coalesce(sum(CASE WHEN len(positions) <> tf THEN 1 ELSE 0 END), 0)::BIGINT AS bad_tf, coalesce(sum(CASE WHEN positions[1] < 0 OR list_sort(list_distinct(positions)) <> positions THEN 1 ELSE 0 END), 0)::BIGINT AS bad_order, (count(*) - count(DISTINCT (term, doc_id)))::BIGINT AS bad_doc"
+_index("validate_postings", lambda i: ix.faults(i.postings), f"WITH {_F} SELECT {_FAULTS} FROM f")
+_index("validate_broken_postings", lambda i: ix.faults(_broken(i.postings)), f"""WITH {_F}, b AS (SELECT term, doc_id, CASE WHEN doc_id % 10 = 1 THEN tf + 1 ELSE tf END AS tf, CASE WHEN doc_id % 10 = 2 THEN list_reverse(positions) ELSE positions END AS positions FROM f
+  UNION ALL SELECT term, doc_id, tf, positions FROM f WHERE doc_id % 10 = 3) SELECT {_FAULTS} FROM b""")
+
+
+def _broken(postings: DataFrame) -> DataFrame:
+    """Postings with faults of every kind, for the validation to count."""
+    tens = F.col("doc_id") % 10
+    return postings.withColumn("tf", F.when(tens == 1, F.col("tf") + 1).otherwise(F.col("tf"))).withColumn("positions", F.when(tens == 2, F.reverse("positions")).otherwise(F.col("positions"))).unionByName(postings.where(tens == 3))
+
+
 add("source_text_column", lambda s, d: _texts(s, d), "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.sources.corpora import text_column
-
-    return text_column(spark, f"{sf_dir}/documents.parquet", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return corpora.text_column(spark, f"{sf_dir}/documents.parquet", "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 # matching, scan plans
@@ -108,10 +120,13 @@ _index("docid_union", lambda i: match.union_ids(i.term("attion"), i.term("und"),
 
 # keyword fields
 _KEY = ix.Field("lang", "keyword", ix.Config.DOCS, 1, "lang")
-add("keyword_exact", lambda s, d: ix.build(documents(s, d), _KEY).term("de"), "SELECT doc_id FROM documents WHERE lang = 'de'")
-add("keyword_prefix", lambda s, d: ix.build(documents(s, d), ix.Field("source", "keyword", ix.Config.DOCS)).prefix("src1"), "SELECT doc_id FROM documents WHERE starts_with(source, 'src1')")
-add("keyword_wildcard", lambda s, d: ix.build(documents(s, d), ix.Field("source", "keyword", ix.Config.DOCS)).wildcard("src?"), "SELECT doc_id FROM documents WHERE source GLOB 'src?'")
-add("multi_field_and", lambda s, d: match.TextScan(documents(s, d)).term("und").join(ix.build(documents(s, d), _KEY).term("de"), "doc_id", "left_semi"), f"WITH {_P} SELECT DISTINCT p.doc_id FROM p JOIN documents USING (doc_id) WHERE term = 'und' AND lang = 'de'")
+_keyword = lambda column, run: lambda s, d: run(match.KeywordScan(documents(s, d), column))
+add("keyword_exact", _keyword("lang", lambda m: m.term("de")), "SELECT doc_id FROM documents WHERE lang = 'de'")
+add("keyword_any", _keyword("lang", lambda m: m.any_of(["de", "fr", "zz"])), "SELECT doc_id FROM documents WHERE lang IN ('de', 'fr', 'zz')")
+add("keyword_prefix", _keyword("source", lambda m: m.prefix("src1")), "SELECT doc_id FROM documents WHERE starts_with(source, 'src1')")
+add("keyword_wildcard", _keyword("source", lambda m: m.wildcard("src?")), "SELECT doc_id FROM documents WHERE source GLOB 'src?'")
+add("keyword_regexp", _keyword("source", lambda m: m.regexp("src[0-4]|src1.")), "SELECT doc_id FROM documents WHERE regexp_full_match(source, 'src[0-4]|src1.')")
+add("multi_field_and", lambda s, d: match.TextScan(documents(s, d)).term("und").join(match.KeywordScan(documents(s, d), "lang").term("de"), "doc_id", "left_semi"), f"WITH {_P} SELECT DISTINCT p.doc_id FROM p JOIN documents USING (doc_id) WHERE term = 'und' AND lang = 'de'")
 
 # statistics
 _ASKED = ["the", "und", "eriner", "zzqabsent"]
@@ -129,7 +144,9 @@ _index("df1_term", lambda i: statistics.in_df_bucket(i.dictionary, 1, 1), f"{_PI
 _index("highest_df_term", lambda i: statistics.highest_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df DESC, term LIMIT 1")
 _index("lowest_df_term", lambda i: statistics.lowest_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df, term LIMIT 1")
 _index("middle_df_term", lambda i: statistics.middle_df(i.dictionary), f"{_PICK} SELECT term, df FROM k ORDER BY df, term LIMIT 1 OFFSET (SELECT CAST(count(*) // 2 AS BIGINT) FROM k)")
-_index("absent_token", lambda i: statistics.absent(i.dictionary), f"WITH {_D} SELECT 'zzq' || n AS term FROM range(1000) r(n) WHERE 'zzq' || n NOT IN (SELECT term FROM d) ORDER BY n LIMIT 1")
+_index("absent_token", lambda i: statistics.absent(i.dictionary), f"WITH {_D} SELECT 'zzq' || n AS term FROM range(CAST((SELECT count(*) + 1 FROM d) AS BIGINT)) r(n) WHERE 'zzq' || n NOT IN (SELECT term FROM d) ORDER BY n LIMIT 1")
+_index("absent_token_taken", lambda i: statistics.absent(i.dictionary.select("term").unionByName(i.dictionary.sparkSession.range(5000).select(F.concat(F.lit("zzq"), F.col("id").cast("string")).alias("term"))).where("term <> 'zzq4321'")), "SELECT 'zzq4321' AS term")
+add("norm_of_document", lambda s, d: ix.lengths_of(documents(s, d)).where("doc_id in (3, 50, 77)").select("doc_id", "norm"), f"WITH {_T}, {_L} SELECT doc_id, norm FROM l WHERE doc_id IN (3, 50, 77)")
 _index("cooccurring", lambda i: statistics.cooccurring(i.postings, i.dictionary, (20, 60), (2, 9)), f"""{_PICK}, a AS (SELECT term FROM k WHERE df BETWEEN 20 AND 60 ORDER BY term LIMIT 1)
 SELECT a.term AS a, o.term AS b, o.doc_id FROM a JOIN f x ON x.term = a.term JOIN f o ON o.doc_id = x.doc_id AND o.term <> a.term WHERE o.term IN (SELECT term FROM k WHERE df BETWEEN 2 AND 9) ORDER BY o.doc_id, o.positions[1] LIMIT 1""")
 add("extract_phrase", lambda s, d: statistics.first_phrase(ix.tokens(documents(s, d)), 5, "the"), f"""WITH {_P}, w AS (SELECT doc_id, pos, list(term) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM p)
@@ -157,40 +174,71 @@ _index("bm25_ties", lambda i: i.top_k(["thanedble"], 200), _bm25_sql(["thanedble
 
 
 # shards, persisted and streamed indexes
-def _root(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='quillspark-')}/index"
-
-
-def _sharded(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """Two shards, by halves of the doc_ids, opened as one index."""
-    root, docs = _root(spark), documents(spark, sf_dir)
+def _sharded(spark: SparkSession, sf_dir: str, index_id: int = 0, suffix: str = "") -> ix.Index:
+    """Two shards, by halves of the doc_ids, of two fields each, opened as one index."""
+    root, docs = work_root(spark, "index"), documents(spark, sf_dir)
     half = docs.agg(F.floor(F.max("doc_id") / 2)).first()[0]
-    for name, part in (("0", docs.where(F.col("doc_id") <= half)), ("1", docs.where(F.col("doc_id") > half))):
-        ix.write(part, root, [ix.Field("text"), _KEY], name)
-    return ix.open_index(spark, root)
+    ix.write(docs, root, [ix.Field("text"), _KEY], F.when(F.col("doc_id") <= half, "0").otherwise("1"))
+    return ix.open_index(spark, root, index_id, suffix)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.streaming.incremental import index_stream
 
-    root = _root(spark)
+    root, found = work_root(spark, "index"), work_root(spark, "arrivals")
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, sf_dir, raw))
+    raw.repartition(3).write.parquet(found)
+    stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(found)
     index_stream(stream.select("doc_id", "text"), root, [ix.Field("text")], f"{root}-log").awaitTermination()
     return ix.open_index(spark, root).top_k(_RANKED, 50)
 
 
-def _stream_dir(spark: SparkSession, sf_dir: str, raw: DataFrame) -> str:
-    """A folder of three files with all documents, for the stream to find."""
-    out = f"{_root(spark)}-in"
-    raw.repartition(3).write.parquet(out)
-    return out
+def _both_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields of one stored index, each opened by its id and suffix."""
+    root = work_root(spark, "index")
+    ix.write(documents(spark, sf_dir), root, [ix.Field("text"), _KEY])
+    return ix.open_index(spark, root).term("und").join(ix.open_index(spark, root, 1, "lang").term("de"), "doc_id", "left_semi")
 
 
 add("shard_merge", lambda s, d: _sharded(s, d).phrase(LINE[:3]), SQL["phrase_3"])
 add("shard_bm25", lambda s, d: _sharded(s, d).top_k_block_max(_RANKED, 50), _bm25_sql(_RANKED, 50))
+add("stored_second_field", lambda s, d: _sharded(s, d, 1, "lang").term("de"), SQL["keyword_exact"])
+add("stored_both_fields", _both_fields, SQL["multi_field_and"])
 add("stream_index_bm25", _streamed, _bm25_sql(_RANKED, 50))
+
+
+# sources, profile
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as lines of four files, in the order of doc_id."""
+    root = work_root(spark, "lines")
+    rows = documents(spark, sf_dir).select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("value"))
+    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(root)
+    return corpora.text_lines(spark, root).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sink receives of a query, and whether its profile has time, rows, files and bytes."""
+    ids, p = profile.run(match.TextScan(documents(spark, sf_dir)).term("attion"), lambda df: sorted(r["doc_id"] for r in df.collect()))
+    return spark.createDataFrame([(len(ids), p.rows, p.elapsed_ns >= 1, p.files >= 1 and p.read_bytes >= 1)], "received long, n_rows long, timed boolean, read boolean")
+
+
+def _throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four queries on four threads: whether there is a rate, and percentiles ascend."""
+    m = match.TextScan(documents(spark, sf_dir))
+    t = profile.throughput([lambda: m.term("attion"), m.everything, lambda: m.prefix("thane"), lambda: m.phrase(LINE[:2])])
+    return spark.createDataFrame([(t["qps"] > 0, 0 < t["p50_ms"] <= t["p90_ms"] <= t["p99_ms"])], "rate boolean, ordered boolean")
+
+
+_ZIPF = (2000, 500)
+_U = "(CAST('0x' || md5('42-' || id || '-' || {}) [1:12] AS BIGINT) + 0.5) / 281474976710656.0"
+add("source_text_lines", _lines, "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_id, md5(translate(coalesce(text, ''), chr(10) || chr(13), '  ')) AS text_md5 FROM documents")
+add(
+    "source_zipf",
+    lambda s, d: corpora.zipf(s, *_ZIPF).select("doc_id", F.array_join("tokens", " ").alias("tokens")),
+    f"""WITH d AS (SELECT id, CAST(6 + floor({_U.format("'-1'")} * 12) AS INTEGER) AS n, {_U.format("'-2'")} < 0.7 AS anchor FROM range({_ZIPF[0]}) r(id)),
+w AS (SELECT id, i, least({_ZIPF[1] - 1}, CAST(trunc(pow(1.0 + {_U.format("i")} * (pow(CAST({_ZIPF[1] + 1} AS DOUBLE), CAST(1.0 - 1.1 AS DOUBLE)) - 1.0), 1.0 / (CAST(1.0 AS DOUBLE) - CAST(1.1 AS DOUBLE))) - 1) AS INTEGER)) AS k FROM d, range(1, 20) g(i) WHERE i <= greatest(n, 1)),
+j AS (SELECT id, string_agg(printf('w%07d', k), ' ' ORDER BY i) AS words FROM w GROUP BY id)
+SELECT CAST(id AS BIGINT) AS doc_id, CASE WHEN anchor THEN 'w0000000 ' ELSE '' END || words AS tokens FROM d JOIN j USING (id)""",
+)
+add("query_profile", _profiled, f"WITH {_P}, n AS (SELECT count(DISTINCT doc_id) AS n FROM p WHERE term = 'attion') SELECT n AS received, n AS n_rows, true AS timed, true AS read FROM n")
+add("throughput_run", _throughput, 'SELECT true AS rate, true AS "ordered"')

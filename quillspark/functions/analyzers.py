@@ -33,14 +33,6 @@ def whitespace(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
 
 
-def normalized(text: Column) -> Column:
-    """The English terms joined by single spaces, with a space at either end; one space for no terms. Terms hold no
-    spaces, so containment of ' a b ' is a phrase match and of ' a' a prefix match, without building an array."""
-    runs = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " "))
-    cut = F.regexp_replace(runs, f"(?<![A-Za-z0-9])([A-Za-z0-9]{{{MAX_TERM_BYTES}}})[A-Za-z0-9]+", "$1")
-    return F.when(cut == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), F.lower(cut), F.lit(" ")))
-
-
 def normalize_bytes(text: Column) -> Column:
     """Each character as the English analyzer sees it: an ASCII letter in lower case, a digit, or a separator (space)."""
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", " "))

@@ -90,14 +90,47 @@ class TextScan:
         return self._find(_pattern(terms, True))
 
 
+class KeywordScan:
+    """docs (doc_id unique) and a column whose whole values are terms; null and empty values have none. Each query is a filter, which reaches the scan."""
+
+    def __init__(self, docs: DataFrame, column: str):
+        self.docs, self.value = docs, F.col(column)
+
+    def _where(self, condition: Column) -> DataFrame:
+        return _ids(self.docs, condition & (self.value != ""))
+
+    def term(self, t: str) -> DataFrame:
+        return self._where(self.value == t)
+
+    def any_of(self, terms: list[str]) -> DataFrame:
+        return self._where(self.value.isin(sorted(set(terms)))) if terms else _none(self.docs)
+
+    def prefix(self, p: str) -> DataFrame:
+        return self._where(self.value.startswith(p))
+
+    def wildcard(self, pattern: str) -> DataFrame:
+        return self._where(P.wildcard_match(self.value, pattern))
+
+    def regexp(self, pattern: str) -> DataFrame:
+        return self._where(P.regexp_match(self.value, pattern))
+
+
+#: Offsets in a bit column.
+_BITS = 62
+
+
 class PostingsMatch:
-    """The same over postings. With positions=False (documents-only index) phrases of two terms and more raise NotImplementedError."""
+    """The same over postings. With positions=False (documents-only index) phrases of two terms and more raise NotImplementedError.
+
+    where: a function from a condition on term to the postings that meet it; a filter on postings if there is none.
+    """
 
-    def __init__(self, postings: DataFrame, positions: bool = True):
+    def __init__(self, postings: DataFrame, positions: bool = True, where=None):
         self.postings, self.positions = postings, positions
+        self.stored, self.rows = where is None, where or postings.where
 
     def _where(self, condition: Column) -> DataFrame:
-        return self.postings.where(condition).select("doc_id")
+        return self.rows(condition).select("doc_id")
 
     def term(self, t: str) -> DataFrame:
         return self._where(F.col("term") == t)  # (term, doc_id) is unique
@@ -109,7 +142,7 @@ class PostingsMatch:
         wanted = sorted(set(terms))
         if len(wanted) < 2:
             return self.term(wanted[0]) if wanted else _none(self.postings)
-        found = self.postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        found = self.rows(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
         return found.where(F.col("n") == len(wanted)).select("doc_id")
 
     def all_of_rare_first(self, terms: list[str], dictionary: DataFrame) -> DataFrame:
@@ -139,13 +172,16 @@ class PostingsMatch:
         if not self.positions:
             raise NotImplementedError("the index has no positions")
         offsets = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(conditions))))
-        rows = self.postings.where(reduce(or_, conditions)).select("doc_id", F.explode("positions").alias("pos"), offsets.alias("offs"))
+        rows = self.rows(reduce(or_, conditions)).select("doc_id", F.explode("positions").alias("pos"), offsets.alias("offs"))
         starts = rows.select("doc_id", "pos", F.explode("offs").alias("off")).select("doc_id", (F.col("pos") - F.col("off")).alias("start"), "off")
-        bits = starts.groupBy("doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
-        return bits.where(F.col("bits") == (1 << len(conditions)) - 1).select("doc_id").distinct()
+        # a bit for each offset that is met, _BITS to a column
+        sets = range(-(-len(conditions) // _BITS))
+        bits = starts.groupBy("doc_id", "start").agg(*(F.bit_or(F.when(F.floor(F.col("off") / _BITS) == k, F.expr(f"shiftleft(1L, off % {_BITS})"))).alias(f"bits{k}") for k in sets))
+        full = reduce(and_, (F.col(f"bits{k}") == (1 << min(_BITS, len(conditions) - k * _BITS)) - 1 for k in sets))
+        return bits.where(full).select("doc_id").distinct()
 
     def phrase(self, terms: list[str]) -> DataFrame:
-        """Up to 62 terms, repeats allowed."""
+        """Of any length, repeats allowed."""
         if not terms:
             return _none(self.postings)
         if not self.positions:

@@ -38,11 +38,16 @@ def top_k_texts(docs: DataFrame, terms: list[str], k: int = 10, params: Bm25 = B
     return _top(scored.where(F.col("score") >= min_score) if min_score is not None else scored, k)
 
 
-def _scores(postings: DataFrame, dictionary: DataFrame, lengths: DataFrame, stats: DataFrame, terms: list[str], params: Bm25) -> DataFrame:
-    """(doc_id, score) of every document with a query term."""
+def _known(index, terms: list[str]) -> DataFrame:
+    """(term, df) of the query's terms, a row for each at most. An index that stores nothing counts the asked postings."""
+    asked = F.col("term").isin(list(dict.fromkeys(terms)))
+    return F.broadcast(index.dictionary.where(asked).select("term", "df") if index.stored else index.rows(asked).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+def _scores(postings: DataFrame, known: DataFrame, stats: DataFrame, terms: list[str], params: Bm25) -> DataFrame:
+    """(doc_id, score) of every document with a query term. postings: of the query's terms."""
     unique = list(dict.fromkeys(terms))
-    known = F.broadcast(dictionary.where(F.col("term").isin(unique)).select("term", "df"))  # a row for each query term at most
-    hit = postings.where(F.col("term").isin(unique)).select("term", "doc_id", "tf").join(known, "term").join(lengths.select("doc_id", "norm"), "doc_id").crossJoin(F.broadcast(stats))
+    hit = postings.select("term", "doc_id", "tf", "norm").join(known, "term").crossJoin(F.broadcast(stats))  # one row
     hit = hit.select("doc_id", "term", term_score(F.col("tf"), F.col("norm"), idf(F.col("doc_count"), F.col("df")), F.col("avgdl"), params).alias("s"))
     sums = hit.groupBy("doc_id").agg(*[F.sum(F.when(F.col("term") == t, F.col("s"))).alias(f"s{i}") for i, t in enumerate(unique)])
     return sums.select("doc_id", reduce(add, (F.coalesce(F.col(f"s{unique.index(t)}"), F.lit(0.0)) for t in terms)).alias("score"))
@@ -53,7 +58,7 @@ def top_k(index, terms: list[str], k: int = 10, params: Bm25 = Bm25(), min_score
     index.need_norms()
     if not terms or k <= 0:
         return index.postings.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
-    scored = _scores(index.postings, index.dictionary, index.lengths, index.stats, terms, params)
+    scored = _scores(index.rows(F.col("term").isin(list(dict.fromkeys(terms)))), _known(index, terms), index.doc_stats, terms, params)
     return _top(scored.where(F.col("score") >= min_score) if min_score is not None else scored, k)
 
 
@@ -69,13 +74,13 @@ def top_k_block_max(index, terms: list[str], k: int = 10, params: Bm25 = Bm25(),
         return index.postings.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
     unique = list(dict.fromkeys(terms))
     weight: Column = reduce(lambda a, t: F.when(F.col("term") == t, F.lit(float(terms.count(t)))).otherwise(a), unique, F.lit(0.0))
-    known = F.broadcast(index.dictionary.where(F.col("term").isin(unique)).select("term", "df"))
-    bounds = index.blocks.where(F.col("term").isin(unique)).join(known, "term").crossJoin(F.broadcast(index.stats))
+    known, asked = _known(index, terms), F.col("term").isin(unique)
+    bounds = index.blocks.where(asked).join(known, "term").crossJoin(F.broadcast(index.doc_stats))
     bounds = bounds.select("term", "block", (weight * max_score(F.col("max_tf"), F.col("min_norm"), idf(F.col("doc_count"), F.col("df")), F.col("avgdl"), params)).alias("bound"))
     total = bounds.groupBy("block").agg(F.sum("bound").alias("bound"))
     best = [r["block"] for r in total.orderBy(F.col("bound").desc(), "block").limit(max(1, seed_blocks) * len(unique)).collect()]
-    rows = index.postings.where(F.col("term").isin(unique)).withColumn("block", F.floor(F.col("doc_id") / index.block_docs))
-    sample = _top(_scores(rows.where(F.col("block").isin(best)), index.dictionary, index.lengths, index.stats, terms, params), k).collect()
+    rows = index.rows(asked).withColumn("block", F.floor(F.col("doc_id") / index.block_docs))
+    sample = _top(_scores(rows.where(F.col("block").isin(best)), known, index.doc_stats, terms, params), k).collect()
     floor_ = sample[-1]["score"] - 1e-8 if len(sample) == k else 0.0
     left = rows.join(total.where(F.col("bound") >= floor_).select("block"), "block", "left_semi")
-    return _top(_scores(left, index.dictionary, index.lengths, index.stats, terms, params), k)
+    return _top(_scores(left, known, index.doc_stats, terms, params), k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.plans.work import in_order
+
 
 def lookup(dictionary: DataFrame, term: str) -> DataFrame:
     return dictionary.where(F.col("term") == term)
@@ -23,11 +25,16 @@ def of_terms(spark: SparkSession, dictionary: DataFrame, terms: list[str]) -> Da
     return asked.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).cast("long").alias("df"), F.coalesce("ttf", F.lit(0)).cast("long").alias("ttf"))
 
 
-def segment(lengths: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """One row: doc_count, indexed_doc_count, term_count, sum_total_term_freq, null_count, avgdl. Empty documents count."""
+def documents(lengths: DataFrame) -> DataFrame:
+    """One row: doc_count, sum_total_term_freq, avgdl. Empty documents count."""
     docs = lengths.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_total_term_freq"))
+    return docs.withColumn("avgdl", F.col("sum_total_term_freq") / F.greatest(F.lit(1), F.col("doc_count")))
+
+
+def segment(lengths: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """One row: doc_count, indexed_doc_count, term_count, sum_total_term_freq, null_count, avgdl."""
     terms = dictionary.agg(F.count(F.lit(1)).alias("term_count"))
-    return docs.crossJoin(F.broadcast(terms)).select("doc_count", F.col("doc_count").alias("indexed_doc_count"), "term_count", "sum_total_term_freq", F.lit(0).cast("long").alias("null_count"), (F.col("sum_total_term_freq") / F.greatest(F.lit(1), F.col("doc_count"))).alias("avgdl"))
+    return documents(lengths).crossJoin(F.broadcast(terms)).select("doc_count", F.col("doc_count").alias("indexed_doc_count"), "term_count", "sum_total_term_freq", F.lit(0).cast("long").alias("null_count"), "avgdl")
 
 
 def norm_of(lengths: DataFrame, doc_id: int) -> int:
@@ -61,20 +68,27 @@ def lowest_df(dictionary: DataFrame) -> DataFrame:
 
 
 def middle_df(dictionary: DataFrame) -> DataFrame:
-    """The term in the middle by (df, term): the least one that has half of the terms at or before it. Counts by df come first, so no window spans all terms."""
-    terms = _pickable(dictionary).select("term", "df")
-    by_df = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n"))  # a row for each distinct df
-    run = by_df.select("df", "n", (F.sum("n").over(Window.orderBy("df")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    hit = run.where((F.col("before") <= F.floor(F.col("all") / 2)) & (F.floor(F.col("all") / 2) < F.col("before") + F.col("n")))
-    ranked = terms.join(F.broadcast(hit), "df").withColumn("r", F.row_number().over(Window.partitionBy("df").orderBy("term")) - 1 + F.col("before"))
-    return ranked.where(F.col("r") == F.floor(F.col("all") / 2)).select("term", "df")
-
-
-def absent(dictionary: DataFrame, candidates: int = 1000) -> DataFrame:
-    """The first zzq{n} that is no term."""
-    spark = dictionary.sparkSession
-    asked = spark.range(candidates).select("id", F.concat(F.lit("zzq"), F.col("id").cast("string")).alias("term"))
-    return asked.join(dictionary.where(F.col("term").startswith("zzq")), "term", "left_anti").orderBy("id").limit(1).select("term")
+    """The term in the middle by (df, term): the least one that has half of the terms at or before it.
+
+    Terms are range-sorted and written; counts by part say which part holds the middle, and only that one, which is of a task's size, is ranked.
+    """
+    terms = in_order(_pickable(dictionary).select("term", "df"), "df", "term")
+    at, parts = 0, sorted((r["part"], r["count"]) for r in terms.groupBy("part").count().collect())  # a row for each part
+    middle = sum(n for _, n in parts) // 2
+    for part, n in parts:
+        if at <= middle < at + n:
+            ranked = terms.where(F.col("part") == part).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("df", "term")))
+            return ranked.where(F.col("r") == middle - at + 1).select("term", "df")
+        at += n
+    return terms.select("term", "df")
+
+
+def absent(dictionary: DataFrame) -> DataFrame:
+    """The first zzq{n} that is no term: 0 or a number after one that is there, the least of those that aren't there."""
+    there = dictionary.where(F.col("term").startswith("zzq") & F.col("term").rlike(r"\Azzq(0|[1-9][0-9]{0,17})\z")).select(F.substring("term", 4, 18).cast("long").alias("n"))
+    zero = dictionary.sparkSession.range(1).select(F.col("id").alias("n"))
+    first = there.select((F.col("n") + 1).alias("n")).unionByName(zero).join(there, "n", "left_anti").agg(F.min("n").alias("n"))
+    return first.select(F.concat(F.lit("zzq"), F.col("n").cast("string")).alias("term"))
 
 
 def cooccurring(postings: DataFrame, dictionary: DataFrame, first: tuple[int, int], second: tuple[int, int]) -> DataFrame:

@@ -1,22 +1,28 @@
-"""The inverted index as tables: postings, dictionary, lengths, stats and blocks, for one or more fields, in memory or as Parquet.
+"""The inverted index as tables: postings, dictionary, lengths and blocks, for one or more fields, in memory or as Parquet.
 
-postings(term, doc_id, tf, positions) is range-partitioned and sorted by (term, doc_id), so row groups carry narrow term ranges and a term, a
-prefix or an IN list reads few of them. One shuffle builds it: the range partitioning by (term, doc_id) also serves the grouping, and a hot term spreads over several
-partitions.
+postings(term, doc_id, tf, positions, norm) has a row for each term of a document. A document is one row, so its tokens are grouped before anything is shuffled. Written postings are
+range-sorted by (term, doc_id), so row groups carry narrow term ranges and a term, a prefix or an IN list reads few of them; a hot term spreads over several files.
 """
 
 from __future__ import annotations
 
 import enum
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.analyzers import ANALYZERS
 from quillspark.functions.scoring import encode_norm
 from quillspark.operators import rank, statistics
 from quillspark.operators.match import PostingsMatch
+from quillspark.plans.work import Manifest, in_order
 
 
 class Config(enum.Enum):
@@ -41,15 +47,42 @@ def tokens(docs: DataFrame, column: str = "text", analyzer: str = "english") ->
     return docs.select("doc_id", F.posexplode(ANALYZERS[analyzer](F.col(column))).alias("pos", "term"))
 
 
-def postings_of(occurrences: DataFrame, positions: bool = True) -> DataFrame:
-    """(doc_id, pos, term) -> (term, doc_id, tf, positions ascending), one row for each term of a document."""
-    ranged = occurrences.repartitionByRange("term", "doc_id")
-    grouped = ranged.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), *([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []))
-    return grouped.sortWithinPartitions("term", "doc_id")
+_POSTINGS = "term string, doc_id long, tf int, positions array<int>, norm int"
 
 
-def dictionary_of(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("ttf"), F.max("tf").alias("max_tf"))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, tokens) -> one row for each term of each row, by whole arrays: terms are numbered, (row, number) is sorted, runs of equal ones are postings."""
+    for b in batches:
+        lists = b["tokens"]
+        lengths = np.diff(lists.offsets.to_numpy())
+        named = lists.flatten().dictionary_encode()
+        codes = named.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = row * max(1, len(named.dictionary)) + codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(key))
+        first = order[starts]
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(codes[first])), b["doc_id"].take(pa.array(row[first])), pa.array((ends - starts).astype(np.int32)), positions, pa.array(np.clip(lengths, 1, 255)[row[first]].astype(np.int32))], names=["term", "doc_id", "tf", "positions", "norm"])
+
+
+def postings_of(docs: DataFrame, column: str = "text", analyzer: str = "english") -> DataFrame:
+    """(term, doc_id, tf, positions ascending, norm), one row for each term of a document, without a shuffle and in no order."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[analyzer](F.col(column)).alias("tokens")).mapInArrow(_grouped, _POSTINGS)
+
+
+def postings_where(docs: DataFrame, condition: Column, column: str = "text", analyzer: str = "english") -> DataFrame:
+    """postings_of() for the terms that meet a condition on term: other tokens are dropped where they are made, so only asked ones are grouped."""
+    rows = docs.select("doc_id", ANALYZERS[analyzer](F.col(column)).alias("t"))
+    rows = rows.select("doc_id", encode_norm(F.size("t")).alias("norm"), F.posexplode("t").alias("pos", "term")).where(condition)
+    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("norm").alias("norm"))
+
+
+def dictionary_of(postings: DataFrame, *also: str) -> DataFrame:
+    return postings.groupBy(*also, "term").agg(F.count(F.lit(1)).alias("df"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("ttf"), F.coalesce(F.max("tf"), F.lit(0)).alias("max_tf"))
 
 
 def lengths_of(docs: DataFrame, column: str = "text", analyzer: str = "english") -> DataFrame:
@@ -57,34 +90,47 @@ def lengths_of(docs: DataFrame, column: str = "text", analyzer: str = "english")
     return docs.select("doc_id", F.size(ANALYZERS[analyzer](F.col(column))).cast("long").alias("len")).withColumn("norm", encode_norm(F.col("len")))
 
 
-def blocks_of(postings: DataFrame, lengths: DataFrame, block_docs: int = 4096) -> DataFrame:
+def _bounds(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("norm").alias("min_norm"))
+
+
+def blocks_of(postings: DataFrame, block_docs: int = 4096, *also: str) -> DataFrame:
     """(term, block, first, last, n, max_tf, min_norm); a block is a range of doc_ids, so bounds of terms add up by block and no window is needed."""
-    rows = postings.select("term", "doc_id", "tf").join(lengths.select("doc_id", "norm"), "doc_id")
-    return rows.groupBy("term", F.floor(F.col("doc_id") / block_docs).alias("block")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("norm").alias("min_norm"))
+    return _bounds(postings.select(*also, "term", "doc_id", "tf", "norm", F.floor(F.col("doc_id") / block_docs).alias("block")), *also, "term", "block")
 
 
-def windows_of(postings: DataFrame, lengths: DataFrame, size: int = 256, large: int = 1024, large_from: int = 8192) -> DataFrame:
-    """Blocks by rank within a term's list: `size` postings each, `large` ones for terms in at least large_from documents."""
-    rows = postings.select("term", "doc_id", "tf").join(lengths.select("doc_id", "norm"), "doc_id")
-    ordered, whole = Window.partitionBy("term").orderBy("doc_id"), Window.partitionBy("term")
-    ranked = rows.select("*", (F.row_number().over(ordered) - 1).alias("r"), F.count(F.lit(1)).over(whole).alias("df"))
-    block = F.floor(F.col("r") / F.when(F.col("df") >= large_from, large).otherwise(size))
-    return ranked.groupBy("term", block.alias("block")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("norm").alias("min_norm"))
+def windows_of(postings: DataFrame, size: int = 256, large: int = 1024, large_from: int = 8192) -> DataFrame:
+    """Blocks by rank within a term's list: `size` postings each, `large` ones for terms in at least large_from documents.
+
+    A rank is that within a part of the range-sorted postings, plus the counts of the term in the parts before: no task holds a hot term's list.
+    """
+    parts = in_order(postings.select("term", "doc_id", "tf", "norm"), "term", "doc_id")
+    counts = parts.groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("term")
+    counts = counts.select("term", "part", (F.sum("n").over(own.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("df"))  # a row for each part of a term
+    local = parts.withColumn("r", F.row_number().over(Window.partitionBy("term", "part").orderBy("doc_id")) - 1)
+    ranked = local.join(counts, ["term", "part"]).withColumn("r", F.col("r") + F.col("before"))
+    return _bounds(ranked.withColumn("block", F.floor(F.col("r") / F.when(F.col("df") >= large_from, large).otherwise(size))), "term", "block")
 
 
 def faults(postings: DataFrame) -> DataFrame:
-    """One row that counts postings whose tf isn't their number of positions, and whose positions don't ascend. Both must be 0."""
-    ascending = F.forall(F.zip_with("positions", F.slice("positions", F.lit(2), F.size("positions")), lambda a, b: b.isNull() | (a < b)), lambda x: x)
-    return postings.agg(F.count_if(F.size("positions") != F.col("tf")).alias("bad_tf"), F.count_if(~ascending).alias("bad_order"))
+    """One row that counts postings whose tf isn't their number of positions, those whose positions don't ascend strictly from 0 on, and those beyond the first of a term and document (doc_ids
+    of a term ascend strictly if each is there once). All must be 0."""
+    after = F.zip_with("positions", F.slice("positions", F.lit(2), F.size("positions")), lambda a, b: b.isNull() | (a < b))
+    ascending = F.forall(after, lambda x: x) & (F.coalesce(F.get("positions", F.lit(0)), F.lit(0)) >= 0)
+    each = postings.groupBy("term", "doc_id").agg(F.count_if(F.size("positions") != F.col("tf")).alias("t"), F.count_if(~ascending).alias("o"), (F.count(F.lit(1)) - 1).alias("d"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(total("t").alias("bad_tf"), total("o").alias("bad_order"), total("d").alias("bad_doc"))
 
 
 class Index(PostingsMatch):
-    """One logical index. everything() is all documents, also those without terms."""
+    """One logical index. everything() is all documents, also those without terms. where: postings of the terms that meet a condition, if that is cheaper than a filter."""
 
-    def __init__(self, postings: DataFrame, dictionary: DataFrame, lengths: DataFrame, blocks: DataFrame | None, config: Config, block_docs: int = 4096):
-        super().__init__(postings, config is not Config.DOCS)
+    def __init__(self, postings: DataFrame, dictionary: DataFrame, lengths: DataFrame, blocks: DataFrame | None, config: Config, block_docs: int = 4096, where=None):
+        super().__init__(postings, config is not Config.DOCS, where)
         self.dictionary, self.lengths, self.blocks = dictionary, lengths, blocks
         self.config, self.block_docs = config, block_docs
+        self.doc_stats = statistics.documents(lengths)
         self.stats = statistics.segment(lengths, dictionary)
 
     def everything(self) -> DataFrame:
@@ -101,60 +147,126 @@ class Index(PostingsMatch):
         return rank.top_k_block_max(self, terms, k, params)
 
 
-def build(docs: DataFrame, field: Field | None = None, block_docs: int = 4096) -> Index:
-    """docs (doc_id unique, the field's column); a column that isn't a string is a TypeError."""
-    field = field or Field("text")
+def _check(docs: DataFrame, field: Field) -> None:
     if docs.schema[field.column].dataType.simpleString() != "string":
         raise TypeError(f"{field.column} is no string column")
-    postings = postings_of(tokens(docs, field.column, field.analyzer), field.config is not Config.DOCS)
-    dictionary, lengths = dictionary_of(postings), lengths_of(docs, field.column, field.analyzer)
+
+
+def build(docs: DataFrame, field: Field | None = None, block_docs: int = 4096) -> Index:
+    """docs (doc_id unique, the field's column); a column that isn't a string is a TypeError. Nothing is stored: queries read the texts and keep what they ask for."""
+    field = field or Field("text")
+    _check(docs, field)
+    how = (field.column, field.analyzer)
+    postings, lengths = postings_of(docs, *how), lengths_of(docs, *how)
+    dictionary = dictionary_of(postings if field.config is not Config.DOCS else postings.withColumn("tf", F.lit(0)))
     if field.config is Config.DOCS:
-        postings, dictionary = postings.select("term", "doc_id"), dictionary.select("term", "df", F.lit(0).cast("long").alias("ttf"), F.lit(0).alias("max_tf"))
-    blocks = blocks_of(postings, lengths, block_docs) if field.config is Config.SCORING else None
-    return Index(postings, dictionary, lengths, blocks, field.config, block_docs)
+        postings = postings.select("term", "doc_id")
+    blocks = blocks_of(postings, block_docs) if field.config is Config.SCORING else None
+    return Index(postings, dictionary, lengths, blocks, field.config, block_docs, lambda condition: postings_where(docs, condition, *how))
+
+
+_KEYS = ("shard", "index_id", "suffix")
+_STORED = {
+    "postings": _POSTINGS,
+    "lengths": "doc_id long, len long, norm int",
+    "dictionary": "term string, df long, ttf long, max_tf int",
+    "blocks": "term string, block long, first long, last long, n long, max_tf int, min_norm int",
+}
+#: Terms are distinct for the most part: a dictionary page is of no use, and without one Parquet writes the Bloom filter, which rejects absent terms.
+_OPTIONS = {"compression": "zstd", "parquet.bloom.filter.enabled#term": "true", "parquet.enable.dictionary#term": "false"}
 
 
-def _place(root: str, table: str, index_id: int, suffix: str) -> str:
-    return f"{root.rstrip('/')}/{table}/index_id={index_id}/suffix={suffix or '__none__'}"
+def _suffix(suffix: str) -> str:
+    return suffix or "__none__"
 
 
-def write(docs: DataFrame, root: str, fields: list[Field], shard: str = "0", block_docs: int = 4096) -> None:
-    """Writes the fields' tables under root, a folder for each logical index and shard; writing a shard that exists is an error.
+def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column = "0", block_docs: int = 4096) -> None:
+    """Writes the fields' tables under root as one shard, or as those that a column names; a shard that exists is a ValueError.
 
-    Range and hot-term bounds live in Parquet statistics; a Bloom filter on term rejects absent terms. The dictionary, lengths and blocks are made from the
-    written postings, so texts are analyzed once for postings and once for lengths.
+    All fields and shards go through the same few jobs: postings and lengths from the texts, then dictionary and blocks from the stored postings. What is written becomes
+    visible at once, when the manifest that names it is published; a failed write is never seen.
     """
     spark = docs.sparkSession
     for f in fields:
-        at = lambda table: f"{_place(root, table, f.index_id, f.suffix)}/shard={shard}"  # noqa: B023, E731
-        postings = postings_of(tokens(docs, f.column, f.analyzer), f.config is not Config.DOCS)
-        options = {"compression": "zstd", "parquet.bloom.filter.enabled#term": "true", "parquet.enable.dictionary#term": "false"}
-        (postings if f.config is not Config.DOCS else postings.select("term", "doc_id", "tf")).write.options(**options).parquet(at("postings"))
-        stored = spark.read.parquet(at("postings"))
-        lengths_of(docs, f.column, f.analyzer).write.parquet(at("lengths"))
-        lengths = spark.read.parquet(at("lengths"))
-        dictionary_of(stored).repartitionByRange("term").sortWithinPartitions("term").write.parquet(at("dictionary"))
-        if f.config is Config.SCORING:
-            blocks_of(stored, lengths, block_docs).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(at("blocks"))
-        spark.createDataFrame([(f.config.value, f.analyzer, block_docs)], "config string, analyzer string, block_docs int").coalesce(1).write.parquet(at("config"))
+        _check(docs, f)
+    if len({(f.index_id, f.suffix) for f in fields}) < len(fields):
+        raise ValueError("two fields of one index")
+    docs = docs.withColumn("_shard", F.lit(shard) if isinstance(shard, str) else shard.cast("string"))
+    names = [shard] if isinstance(shard, str) else [r[0] for r in docs.select("_shard").distinct().collect()]
+    manifest = Manifest(spark, root)
+    number, entries = manifest.last()
+    if None in names or (there := {n for e in entries for n in e["shards"]} & set(names)):
+        raise ValueError("a shard without a name" if None in names else f"shards {sorted(there)} exist")
+    folder = f"data/{uuid.uuid4().hex}"
+
+    def each(table) -> DataFrame:
+        return reduce(DataFrame.unionByName, (table(f).withColumns({"index_id": F.lit(f.index_id).cast("long"), "suffix": F.lit(_suffix(f.suffix))}) for f in fields))
+
+    def postings(f: Field) -> DataFrame:
+        rows = docs.select("_shard", F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[f.analyzer](F.col(f.column)).alias("tokens"))
+        out = rows.mapInArrow(_grouped_in_shards, f"shard string, {_POSTINGS}")
+        null = {Config.DOCS: ("tf", "positions", "norm"), Config.POSITIONS: ("norm",), Config.SCORING: ()}[f.config]
+        kinds = {"positions": "array<int>"}
+        return out.select(*[F.lit(None).cast(kinds.get(c, "int")).alias(c) if c in null else c for c in out.columns])
+
+    def lengths(f: Field) -> DataFrame:
+        n = F.size(ANALYZERS[f.analyzer](F.col(f.column))).cast("long")
+        return docs.select(F.col("_shard").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), n.alias("len"), encode_norm(n).alias("norm"))
+
+    def store(rows: DataFrame, table: str, *order: str) -> None:
+        if order:
+            rows = rows.repartitionByRange(*_KEYS, *order).sortWithinPartitions(*_KEYS, *order)
+        rows.write.options(**_OPTIONS).partitionBy(*_KEYS).parquet(f"{root}/{folder}/{table}")
+
+    scored = [f for f in fields if f.config is Config.SCORING]
+    with ThreadPoolExecutor(2) as pool:  # jobs that don't wait for each other share the executors
+        list(pool.map(lambda job: store(*job), ((each(postings), "postings", "term", "doc_id"), (each(lengths), "lengths"))))
+        stored = _stored(spark, [f"{root}/{folder}"], "postings")
+        jobs = [(dictionary_of(stored, *_KEYS), "dictionary", "term")]
+        if scored:
+            of = reduce(lambda a, b: a | b, ((F.col("index_id") == f.index_id) & (F.col("suffix") == _suffix(f.suffix)) for f in scored))
+            jobs.append((blocks_of(stored.where(of), block_docs, *_KEYS), "blocks", "term", "block"))
+        list(pool.map(lambda job: store(*job), jobs))
+    kinds = [[f.index_id, f.suffix, f.config.value, f.analyzer] for f in fields]
+    manifest.publish(number, [*entries, {"shards": names, "folder": folder, "fields": kinds, "block_docs": block_docs}])
+
+
+def _grouped_in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        names = b["_shard"].dictionary_encode()
+        for k, name in enumerate(names.dictionary.to_pylist()):
+            own = b.filter(pa.array(names.indices.to_numpy() == k)).select(["doc_id", "tokens"])
+            for out in _grouped([own]):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), *out.columns], names=["shard", *out.schema.names])
+
+
+def _stored(spark: SparkSession, folders: list[str], table: str) -> DataFrame:
+    schema = f"{_STORED[table]}, shard string, index_id long, suffix string"
+    return reduce(DataFrame.unionByName, (spark.read.schema(schema).parquet(f"{folder}/{table}") for folder in folders))
+
+
+def shards(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published shards."""
+    return [n for e in Manifest(spark, root).last()[1] for n in e["shards"]]
 
 
 def open_index(spark: SparkSession, root: str, index_id: int = 0, suffix: str = "") -> Index:
-    """All shards of a logical index as one, with global statistics; KeyError if there is none."""
-    from pyspark.errors import AnalysisException
+    """All published shards of a logical index as one, with global statistics; KeyError if there is none, ValueError if shards differ in what they store."""
+    _, entries = Manifest(spark, root).last()
+    found = [(e, kind, analyzer) for e in entries for i, s, kind, analyzer in e["fields"] if (i, s) == (index_id, suffix)]
+    if not found:
+        raise KeyError(f"no index ({index_id}, {suffix!r})")
+    if len({(kind, analyzer, e["block_docs"]) for e, kind, analyzer in found}) > 1:
+        raise ValueError("shards of different configurations")
+    config, block_docs = Config(found[0][1]), found[0][0]["block_docs"]
 
     def read(table: str) -> DataFrame:
-        return spark.read.parquet(_place(root, table, index_id, suffix)).drop("shard")
+        rows = _stored(spark, [f"{root}/{e['folder']}" for e, *_ in found], table)
+        return rows.where((F.col("index_id") == index_id) & (F.col("suffix") == _suffix(suffix))).drop(*_KEYS)
 
-    try:
-        rows = read("config").distinct().collect()
-    except AnalysisException as e:
-        raise KeyError(f"no index ({index_id}, {suffix!r})") from e
-    if len({(r["config"], r["block_docs"]) for r in rows}) != 1:
-        raise ValueError("shards of different configurations")
-    config = Config(rows[0]["config"])
     dictionary = read("dictionary").groupBy("term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"), F.max("max_tf").alias("max_tf"))
     blocks = None
     if config is Config.SCORING:
         blocks = read("blocks").groupBy("term", "block").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_norm").alias("min_norm"))
-    return Index(read("postings"), dictionary, read("lengths"), blocks, config, rows[0]["block_docs"])
+    postings = read("postings")
+    return Index(postings if config is not Config.DOCS else postings.select("term", "doc_id"), dictionary, read("lengths"), blocks, config, block_docs)

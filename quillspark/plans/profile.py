@@ -1,4 +1,4 @@
-"""Timing of queries: one, or many at once on a thread pool over one session."""
+"""Timing and I/O of queries: one, or many at once on a thread pool over one session."""
 
 from __future__ import annotations
 
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Profile:
-    """elapsed_ns is 1 at least, and filled also if the query fails; rows is what it returned."""
+    """elapsed_ns is 1 at least; rows is what the query returned, files and read_bytes what its scans read. All are filled also if the query fails, rows then with 0."""
 
     elapsed_ns: int = 0
-    rows: int | None = None
+    rows: int = 0
+    files: int = 0
+    read_bytes: int = 0
     _began: int = field(default=0, repr=False)
 
     def __enter__(self) -> Profile:
@@ -27,11 +29,35 @@ class Profile:
         self.elapsed_ns = max(1, time.perf_counter_ns() - self._began)
 
 
-def run(df: DataFrame, sink: Callable[[DataFrame], object] = DataFrame.collect) -> tuple[object, Profile]:
-    seen = Observation()
-    with Profile() as p:
-        out = sink(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    p.rows = seen.get["rows"]
+def _scanned(plan) -> tuple[int, int]:
+    """(files, bytes) of the file scans in a physical plan, adaptive stages included."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _scanned(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _scanned(plan.plan())
+    metrics, found = plan.metrics(), [0, 0]
+    if kind.startswith("FileSourceScan"):
+        for i, name in enumerate(("numFiles", "filesSize")):
+            found[i] += metrics.apply(name).value() if metrics.contains(name) else 0
+    children = plan.children()
+    for i in range(children.size()):
+        files, size = _scanned(children.apply(i))
+        found[0] += files
+        found[1] += size
+    return found[0], found[1]
+
+
+def run(df: DataFrame, sink: Callable[[DataFrame], object] = DataFrame.collect, profile: Profile | None = None) -> tuple[object, Profile]:
+    """(what the sink returns, profile). An error of the query or the sink is raised, after the profile that was given is filled. Files and bytes are those of what the sink collects itself."""
+    seen, p = Observation(), profile or Profile()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    try:
+        with p:
+            out = sink(observed)
+        p.rows = seen.get["rows"]
+    finally:
+        p.files, p.read_bytes = _scanned(observed._jdf.queryExecution().executedPlan())
     return out, p
 
 

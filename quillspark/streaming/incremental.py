@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.plans.index import Field, write
+from quillspark.plans.index import Field, shards, write
 
 
 def index_stream(docs: DataFrame, root: str, fields: list[Field], checkpoint: str, **trigger) -> StreamingQuery:
-    """docs: a streaming frame (doc_id, columns of fields). A batch that is run again after a failure replaces its own shard's folder name: batch ids name shards."""
+    """docs: a streaming frame (doc_id, columns of fields). Batch ids name shards, so a batch that is run again after it was published is passed over, and one that failed before left nothing."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        if rows.isEmpty():
-            return
-        spark = rows.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*/*/shard=b{batch_id}")) or []:
-            fs.delete(status.getPath(), True)
-        rows.persist()
-        try:
-            write(rows, root, fields, f"b{batch_id}")
-        finally:
-            rows.unpersist()
+        name = f"b{batch_id}"
+        if not rows.isEmpty() and name not in shards(rows.sparkSession, root):
+            write(rows, root, fields, name)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -8,7 +8,7 @@ import pytest
 from quillspark import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["tokenize", "postings", "term", "match_any", "match_all_terms", "prefix_empty", "wildcard", "regexp", "phrase_3", "phrase_repeated", "index_phrase_5", "index_phrase_prefix", "keyword_exact", "segment_stats", "middle_df_term", "cooccurring", "bm25_topk", "bm25_blockmax", "stream_index_bm25"]
+SOME = ["tokenize", "postings", "term", "match_any", "match_all_terms", "prefix_empty", "wildcard", "regexp", "phrase_3", "phrase_repeated", "index_phrase_5", "index_phrase_prefix", "keyword_exact", "segment_stats", "middle_df_term", "cooccurring", "bm25_topk", "bm25_blockmax", "stream_index_bm25", "validate_broken_postings", "source_text_lines", "source_zipf", "stored_both_fields", "query_profile"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

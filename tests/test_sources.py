@@ -18,6 +18,23 @@ def test_text_lines(spark, tmp_path):
     assert [tuple(r) for r in corpora.text_lines(spark, str(tmp_path / "f.txt")).collect()] == [(0, "one"), (1, ""), (2, "three")]
 
 
+def test_text_lines_of_several_files(spark, tmp_path):
+    """Files count by name, whatever their sizes; a long file is read in several splits."""
+    (tmp_path / "a.txt").write_text("a0\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i} {'x' * (i % 40)}\n" for i in range(3000)))
+    (tmp_path / "c.txt").write_text("c0")
+    (tmp_path / "d.txt").write_text("")
+    want = ["a0", "a1", *(f"b{i} {'x' * (i % 40)}" for i in range(3000)), "c0"]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = corpora.text_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 3 and [tuple(r) for r in rows.orderBy("doc_id").collect()] == list(enumerate(want))
+        assert [r["doc_id"] for r in corpora.text_lines(spark, str(tmp_path), 4).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_zipf(spark):
     a = corpora.zipf(spark, 200, 50, partitions=3)
     b = corpora.zipf(spark, 200, 50, partitions=5)

@@ -22,7 +22,7 @@ from quillspark.functions.analyzers import ANALYZERS
 from quillspark.functions.scoring import encode_norm
 from quillspark.operators import rank, statistics
 from quillspark.operators.match import PostingsMatch
-from quillspark.plans.work import Manifest, in_order
+from quillspark.plans.work import Manifest, in_order, written
 
 
 class Config(enum.Enum):
@@ -183,7 +183,7 @@ def _suffix(suffix: str) -> str:
 def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column = "0", block_docs: int = 4096) -> None:
     """Writes the fields' tables under root as one shard, or as those that a column names; a shard that exists is a ValueError.
 
-    All fields and shards go through the same few jobs: postings and lengths from the texts, then dictionary and blocks from the stored postings. What is written becomes
+    All fields and shards go through the same few jobs: texts are analyzed once into a table in the work folder; from it come postings and lengths, and from the stored postings dictionary and blocks. What is written becomes
     visible at once, when the manifest that names it is published; a failed write is never seen.
     """
     spark = docs.sparkSession
@@ -202,16 +202,11 @@ def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column =
     def each(table) -> DataFrame:
         return reduce(DataFrame.unionByName, (table(f).withColumns({"index_id": F.lit(f.index_id).cast("long"), "suffix": F.lit(_suffix(f.suffix))}) for f in fields))
 
-    def postings(f: Field) -> DataFrame:
+    def analyzed(f: Field) -> DataFrame:
         rows = docs.select("_shard", F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[f.analyzer](F.col(f.column)).alias("tokens"))
         out = rows.mapInArrow(_grouped_in_shards, f"shard string, {_POSTINGS}")
         null = {Config.DOCS: ("tf", "positions", "norm"), Config.POSITIONS: ("norm",), Config.SCORING: ()}[f.config]
-        kinds = {"positions": "array<int>"}
-        return out.select(*[F.lit(None).cast(kinds.get(c, "int")).alias(c) if c in null else c for c in out.columns])
-
-    def lengths(f: Field) -> DataFrame:
-        n = F.size(ANALYZERS[f.analyzer](F.col(f.column))).cast("long")
-        return docs.select(F.col("_shard").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), n.alias("len"), encode_norm(n).alias("norm"))
+        return out.select(*[F.when(F.col("term").isNull(), F.col(c)).alias(c) if c in null else c for c in out.columns])
 
     def store(rows: DataFrame, table: str, *order: str) -> None:
         if order:
@@ -220,7 +215,9 @@ def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column =
 
     scored = [f for f in fields if f.config is Config.SCORING]
     with ThreadPoolExecutor(2) as pool:  # jobs that don't wait for each other share the executors
-        list(pool.map(lambda job: store(*job), ((each(postings), "postings", "term", "doc_id"), (each(lengths), "lengths"))))
+        staged = written(each(analyzed), "analyzed")  # texts are analyzed once, though the range sort reads its input twice
+        lengths = staged.where("term is null").select("doc_id", F.col("tf").cast("long").alias("len"), "norm", *_KEYS)
+        list(pool.map(lambda job: store(*job), ((staged.where("term is not null"), "postings", "term", "doc_id"), (lengths, "lengths"))))
         stored = _stored(spark, [f"{root}/{folder}"], "postings")
         jobs = [(dictionary_of(stored, *_KEYS), "dictionary", "term")]
         if scored:
@@ -232,12 +229,15 @@ def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column =
 
 
 def _grouped_in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_grouped() by shard, and a row without a term for each document: its length as tf, and its norm."""
     for b in batches:
         names = b["_shard"].dictionary_encode()
         for k, name in enumerate(names.dictionary.to_pylist()):
             own = b.filter(pa.array(names.indices.to_numpy() == k)).select(["doc_id", "tokens"])
-            for out in _grouped([own]):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), *out.columns], names=["shard", *out.schema.names])
+            n = np.diff(own["tokens"].offsets.to_numpy()).astype(np.int32)
+            every = [pa.nulls(len(own), pa.string()), own["doc_id"], pa.array(n), pa.nulls(len(own), pa.list_(pa.int32())), pa.array(np.clip(n, 1, 255).astype(np.int32))]
+            for columns in (*(out.columns for out in _grouped([own])), every):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(columns[0]), pa.string()), *columns], names=["shard", "term", "doc_id", "tf", "positions", "norm"])
 
 
 def _stored(spark: SparkSession, folders: list[str], table: str) -> DataFrame:

@@ -229,9 +229,9 @@ def links(docs: DataFrame, facts: DataFrame, same: DataFrame, n: int, percent: i
     # a node is a document in a band, so groups of short texts and of long ones don't grow together
     met = met.join(left, "doc_id").join(right, "other").select(F.struct(F.col("u").alias("id"), "band").alias("u"), F.struct(F.col("v").alias("id"), "band").alias("v"))
     groups = written(components(met).select(F.col("node.id").alias("node"), "component"), "groups")
-    weight = groups.join(reps.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
+    weight = written(groups.join(reps.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node"), "weights")
     total = weight.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE)).cast("int").alias("tiles"))
-    dealt = weight.join(total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    dealt = spread_join(weight, total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     pairs = F.when(F.col("tiles") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))"))
     dealt = written(dealt.select("node", "tile", "component", F.explode(pairs).alias("p")).select("node", "tile", "component", "p.a", "p.b"), "dealt")
     wanted = texts_of(docs).join(small_enough(groups.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")

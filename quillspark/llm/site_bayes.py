@@ -30,8 +30,9 @@ STEMS = (4, 5)
 MIN_DOCS, MIN_Z = 8, 5.0
 #: Penalty of a squared weight.
 RIDGE = 0.2
-#: Toxicity from which a document is rejected.
-MAX_TOXICITY = 0.4
+#: Toxicity from which a document is rejected: the one of LIMITS with the least cost by cross-validation in FOLDS among the fitted rows, a toxic document kept costing as
+#: much as MISS_COST others rejected; the greatest of equal ones. DEFAULT_LIMIT without toxic or without other rows.
+LIMITS, DEFAULT_LIMIT, FOLDS, MISS_COST = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5), 0.4, 5, 3
 #: How far a site may move a document's log odds: times the difference of the log odds, and at most.
 SITE_WEIGHT, SITE_MOST = 0.5, 1.0
 TARGETS = ("good", "toxic")
@@ -68,10 +69,11 @@ def features(text: str) -> set[str]:
 
 @dataclass
 class Model:
-    """weights: feature -> log odds, for each target; bias likewise."""
+    """weights: feature -> log odds, for each target; bias likewise. limit: the toxicity from which a document is rejected."""
 
     weights: dict[str, dict[str, float]] = field(default_factory=lambda: {t: {} for t in TARGETS})
     bias: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TARGETS, 0.0))
+    limit: float = DEFAULT_LIMIT
 
     def log_odds(self, found: set[str]) -> list[float]:
         return [self.bias[t] + sum(map(self.weights[t].__getitem__, found & self.weights[t].keys())) for t in TARGETS]
@@ -117,6 +119,21 @@ def _fit_one(rows: list[set[str]], y: np.ndarray) -> tuple[dict[str, float], flo
     return {f: float(v) for f, v in zip(kept, w[:-1], strict=True)}, float(w[-1])
 
 
+def toxic_limit(rows: list[set[str]], y: np.ndarray) -> float:
+    """The limit of least cost, each row being judged by a model that the other folds' rows give. rows are in the order of a hash, so folds are random."""
+    if not 0 < y.sum() < len(y):
+        return DEFAULT_LIMIT
+    odds, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):
+        others = np.flatnonzero(fold != k)
+        weights, bias = _fit_one([rows[i] for i in others], y[others])
+        for i in np.flatnonzero(fold == k):
+            odds[i] = bias + sum(weights[f] for f in rows[i] & weights.keys())
+    chance = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    cost = {limit: MISS_COST * ((chance < limit) & (y > 0)).sum() + ((chance >= limit) & (y == 0)).sum() for limit in LIMITS}
+    return min(LIMITS, key=lambda limit: (cost[limit], -limit))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """labels (doc_id, quality, toxic); unknown doc_ids and null labels are left out, and of several labels or texts of one doc_id the least counts. Without any labelled row all evidence is 0."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
@@ -128,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         found = [features(r["text"]) for r in rows]
         for t, y in (("good", [r["quality"] > 0 for r in rows]), ("toxic", [r["toxic"] > 0 for r in rows])):
             model.weights[t], model.bias[t] = _fit_one(found, np.array(y, np.float64))
+        model.limit = toxic_limit(found, np.array([r["toxic"] > 0 for r in rows], np.float64))
     return model
 
 
@@ -178,17 +196,19 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | str = "source",
     """One row for each row of docs: doc_id, host, path, doc_score, host_rate, path_rate, quality, toxicity, kept.
 
     doc_score is the model's own chance of being good, host_rate and path_rate the posteriors (path_rate without the document itself),
-    quality both combined; kept: quality at least 0.5 and toxicity below MAX_TOXICITY. Empty docs give no rows.
+    quality both combined; kept: quality at least 0.5 and toxicity below the model's limit. Empty docs give no rows; repeated rows
+    are judged alike. Sites' evidence moves quality alone: toxic documents are few in any site, and a document's own words decide.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    scores = written(scored(docs, fit(docs, labels, fit_rows), col(host), col(path)), "scores")
+    model = fit(docs, labels, fit_rows)
+    scores = written(scored(docs, model, col(host), col(path)), "scores")
     joined = scores.join(site_rates(scores), ["host", "path"])
     own = _chance(F.col("good"))
     rate = (F.col("s") - own + F.col("prior_a")) / (F.col("n") - 1 + F.col("prior_a") + F.col("prior_b"))
     rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate))
     moved = F.greatest(F.lit(-SITE_MOST), F.least(F.lit(SITE_MOST), SITE_WEIGHT * (_odds(rate) - _odds(F.col("base")))))
     out = joined.select("doc_id", "host", "path", own.alias("doc_score"), "host_rate", rate.alias("path_rate"), _chance(F.col("good") + moved).alias("quality"), _chance(F.col("toxic")).alias("toxicity"))
-    return out.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxicity") < MAX_TOXICITY))
+    return out.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxicity") < model.limit))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -127,7 +127,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
 
 #: Classes by halves end here; shorter pieces are one class.
-LEAST_CLASS = 32
+LEAST_CLASS = 128
 #: Pieces and gaps in a range, at least.
 RANGE_ROWS = 100_000
 _SWEPT = "kind int, range int, rank long, key long, size int, seq long"

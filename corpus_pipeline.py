@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages: quality rules, quality classifier, n-gram Jaccard join, substring dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents.
+last return the columns of documents, in their order and types, whatever other columns docs has and whatever their names.
+
+Null and empty texts have no words: the quality rules reject them; later stages, given any, keep them as they are. Repeated rows are treated alike: what
+removes a document removes all its rows. Rows with a null doc_id can't be named, so the classifier and the join keep them all. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -48,8 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express the classifier, the chunking or the tokenizer. Tests compare the rows of the join and of the substring dedup with brute force; there is no
-#: brute-force version of run() as a whole.
+#: SQL can't express the classifier, the chunking or the tokenizer: tests compare run() with a brute-force version of all five stages.
 ORACLE_SQL = None
 
 

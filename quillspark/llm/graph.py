@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Rounds
+from quillspark.llm.common import Rounds, hot_limit, spread_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v), u > v. Each round is an aggregate with partial sums and an equi-join, which AQE can split for hubs."""
+def _star(edges: DataFrame, large: bool, hubs: list) -> DataFrame:
+    """edges (u, v), u > v. Each round is an aggregate with partial sums and an equi-join; in the large star the edges of hubs stay where they are, as the hubs' least neighbours are broadcast."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    near = both.join(least, "u")
+    near = spread_join(both, least, "u", hubs)
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -24,15 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) in any order -> (node, component), component being the smallest node reachable. Nodes are of any type that Spark orders and hashes.
 
     Nodes that are on no edge aren't returned; loops, nulls and repeated edges are harmless; no edges give an empty frame.
-    Every round is written in the shared folder, in place of the one before; two numbers a round reach the driver.
+    Every round is written in the shared folder, in place of the one before; two numbers a round reach the driver, and its hubs (at most about HOT_KEYS, as each has more edges than hot_limit()).
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cut = Rounds(edges.sparkSession, "edges")
-    e, before = cut(e), None
+    e, before, n = cut(e), None, None
     while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
+        n = e.count() if n is None else n
+        each = e.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        n, h, hubs = each.agg(F.sum("n"), F.sum("h"), F.collect_list(F.when(F.col("n") > hot_limit(n), F.col("v")))).first()
+        if (n, h) == before or not n:
             break
-        before = now
-        e = cut(_star(_star(e, True), False))
+        before = n, h
+        e = cut(_star(_star(e, True, hubs), False, []))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -295,27 +295,6 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, 200), (200, 150), (7, 7), (5, 3), (5, 3)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(10, 41), 10), 100: 100, 150: 100, 200: 100, 3: 3, 5: 3}
-    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
-
-
-def test_components_with_hubs(spark, monkeypatch):
-    """Stars, chains of stars and nodes that are structs; hubs are joined apart."""
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
-    rng = random.Random(9)
-    edges = [(c, c + k) for c in (0, 1000, 2000) for k in range(1, 60)] + [(1059, 2000)] + [(5000 + rng.randrange(80), 5000 + rng.randrange(80)) for _ in range(60)]
-    up = {x: x for edge in edges for x in edge}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for u, v in edges:
-        a, b = sorted((find(u), find(v)))
-        up[b] = a
-    frame = spark.createDataFrame(edges, "u long, v long").select(F.struct(F.col("u").alias("id"), F.lit(1).alias("b")).alias("u"), F.struct(F.col("v").alias("id"), F.lit(1).alias("b")).alias("v"))
-    got = {r["node"]["id"]: r["component"]["id"] for r in graph.components(frame).collect()}
-    assert got == {x: find(x) for edge in edges if edge[0] != edge[1] for x in edge}
 
 
 # 3

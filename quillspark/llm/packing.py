@@ -30,7 +30,7 @@ from quillspark.llm.common import in_arrow, texts_of, unused_name, worker_cache,
 
 CAPACITY = 2048
 #: Words that a worker remembers at most, and the longest one that it remembers (bytes).
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 48
+CACHE_WORDS, CACHE_BYTES = 200_000, 48
 
 
 #: Marks that the pre-tokenizer splits off a word of letters, as one piece.

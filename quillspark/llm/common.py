@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows in an Arrow batch. Texts may be long, so batches are short.
-BATCH_ROWS = 512
+#: Rows that a function gets at once, and bytes of the Arrow batches that Spark sends. Texts may be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Ids are broadcast only up to this count (8 bytes each, some 50 MB hashed); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: A key is hot if it has more than HOT_ROWS rows and more than one in HOT_KEYS of all, so there are HOT_KEYS hot ones at most.
@@ -62,7 +62,8 @@ class Rounds:
 
 
 def in_arrow(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow in batches of `rows` rows at most, whatever size Spark's own batches have: longer ones reach the function in slices, so no session setting is changed."""
+    """mapInArrow in batches of `rows` rows at most: longer ones reach the function in slices. Spark's own batches are limited to BATCH_BYTES, which is a setting of the session that stays."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return function(b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))

@@ -6,8 +6,12 @@ in a band of sizes and greater than any d there, so m - d parts at least are equ
 then by digest), two such rows share one of their first d + 1 parts; the digests of these are a row's signatures, and parts of few n-grams, which
 chance makes equal, are no signatures. Rows that share no signature can't reach s and never meet. Rows that do, in a band, are linked into
 candidate groups, which are the blocks: in a block pairs with fewer than m - d equal parts are discarded, overlap counts of the others are accumulated row by
-row over the columns, pairs below their size-derived bound are discarded, and a spanning forest of the links is returned, never all pairs. A group
-too large for one task is cut into tiles, and each pair of tiles is a block.
+row over the columns, pairs below their size-derived bound are discarded, and a spanning forest of the links is returned, never all pairs.
+
+A group too large for one task is cut into tiles. Each tile and each pair of it with the group's first tile is a block; the links found so make classes. Rows of
+one class need no more links among themselves, so the group is cut anew: a class larger than a tile has its own tiles, all smaller classes share others, and
+only pairs of tiles of different classes, and those of the smaller ones, are blocks. If nearly all rows of a group are near copies, its sets are thus
+shuffled a few times, not once for each tile.
 
 Sets are compared as 64-bit hashes of the n-grams.
 """
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import hot_limit, in_arrow, small_enough, spread_join, texts_of, without, written
@@ -157,19 +161,19 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return in_arrow(texts_of(docs), run, "doc_id long, n_shingles long, digest binary, signatures array<long>")
 
 
-def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among docs; with tiles, only of those between rows of different tiles.
+def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles: list | None = None, linked: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among docs; with tiles, only of those between rows of different tiles; with classes of rows that are `linked`, only of those between classes.
 
     Rows are taken by size, so each is the smaller one of its pairs with later rows. Its equal parts with them are counted; those with enough, of a
     size that may reach it and not in its own set already are its possible partners, and only for them overlap counts are accumulated.
     """
-    if len(docs) == 2:
+    if len(docs) == 2 and linked is None:
         common = np.intersect1d(grams[0], grams[1], assume_unique=True).size
         return [(docs[0], docs[1])] if bounds.reached(common, len(grams[0]), len(grams[1])) else []
     order = sorted(range(len(docs)), key=lambda i: len(grams[i]))
     docs, grams = [docs[i] for i in order], [grams[i] for i in order]
     n, sizes = len(docs), np.array([len(g) for g in grams])
-    tile = np.array(tiles)[order] if tiles else None
+    tile = np.unique(tiles, return_inverse=True)[1][order] if tiles else None
     own = [bounds.band(int(x)) for x in sizes]
     parts_of = {b: bounds.parts(b) for x in sizes for b in bounds.bands(int(x))}
     every = [{b: part_digests(g, b, parts_of[b])[0] for b in bounds.bands(len(g))} for g in grams]
@@ -181,8 +185,9 @@ def block_links(docs: list[int], grams: list[np.ndarray], bounds: Bounds, tiles:
     _, flat = np.unique(np.concatenate(grams), return_inverse=True)
     places = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.zeros(int(flat.max()) + 1, bool)
-    label, sets, out = np.arange(n), n, []
-    members = [np.array([i]) for i in range(n)]  # of each label; the smaller of two sets is relabelled, so a row is at most log2(n) times
+    label, out = (np.unique(linked, return_inverse=True)[1][order] if linked else np.arange(n)), []
+    sets = int(label.max()) + 1
+    members = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label))[:-1])  # of each label; the smaller of two sets is relabelled, so a row is at most log2(n) times
     for i in range(n - 1):
         if sets == 1:
             break
@@ -231,10 +236,47 @@ def links(docs: DataFrame, facts: DataFrame, same: DataFrame, n: int, percent: i
     groups = written(components(met).select(F.col("node.id").alias("node"), "component"), "groups")
     weight = written(groups.join(reps.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node"), "weights")
     total = weight.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE)).cast("int").alias("tiles"))
-    dealt = spread_join(weight, total, "component").select("node", "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    pairs = F.when(F.col("tiles") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, tile) as a, greatest(t, tile) as b))"))
-    dealt = written(dealt.select("node", "tile", "component", F.explode(pairs).alias("p")).select("node", "tile", "component", "p.a", "p.b"), "dealt")
-    wanted = texts_of(docs).join(small_enough(groups.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    dealt = spread_join(weight, total, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    pairs = F.expr("CASE WHEN tile > 0 THEN array(struct(0 AS a, tile AS b), struct(tile AS a, tile AS b)) ELSE transform(sequence(0, tiles - 1), t -> struct(0 AS a, t AS b)) END")
+    first = multiplied(docs, written(dealt.select("node", "component", "tile", F.explode(pairs).alias("p")).select("node", "component", "tile", F.col("node").alias("linked"), "p.a", "p.b"), "dealt"), n, bounds, False)
+    large = total.where("tiles > 1").select("component")
+    if not large.limit(1).count():
+        return first
+    found = components(first)
+    found = written(found.select(F.col("node").alias("u"), F.col("component").alias("v")), "found")
+    rest = spread_join(weight, large, "component").join(found.select(F.col("u").alias("node"), F.col("v").alias("linked")).distinct(), "node", "left")
+    rest = written(rest.select("node", "component", "n_shingles", F.coalesce("linked", "node").alias("linked")), "rest")
+    return found.unionByName(multiplied(docs, written(between_classes(rest), "dealt"), n, bounds, True))
+
+
+def between_classes(rows: DataFrame) -> DataFrame:
+    """rows (node, component, n_shingles, linked), cheap to read again -> (node, component, tile, linked, a, b): the blocks, pairs of tiles a and b of a component, in which all classes of linked rows meet all others."""
+    sums = rows.groupBy("component", "linked").agg(F.sum("n_shingles").alias("n"))
+    own = F.when(F.col("n") > TILE, F.col("linked"))  # null: a class that shares tiles with others
+    bins = written(sums.groupBy("component", own.alias("own")).agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("tiles")), "bins")
+    # there is one bin at most for each TILE n-grams, and one more for each group
+    own_bins = bins.where("own IS NOT NULL").select("component", F.col("own").alias("linked"), "own")
+    placed = rows.join(small_enough(own_bins), ["component", "linked"], "left")
+    placed = placed.join(small_enough(bins), (placed["component"] == bins["component"]) & placed["own"].eqNullSafe(bins["own"])).select("node", placed["component"], "linked", placed["own"], "tiles")
+    placed = placed.withColumn("tile", F.struct("own", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("k")))
+    # bins meet by component and tiles are told apart only then, so a class of many tiles isn't joined to itself
+    one, two = (bins.select("component", F.col("own").alias(f"own{i}"), F.col("tiles").alias(f"tiles{i}")) for i in (1, 2))
+    met = one.join(two, "component").where("own1 < own2 OR own1 IS NULL")
+    met = met.select("component", "own1", "own2", F.explode(F.expr("sequence(0L, tiles1 - 1L)")).alias("k1"), "tiles2")
+    met = met.select("component", "own1", "own2", "k1", F.explode(F.expr("sequence(0L, tiles2 - 1L)")).alias("k2")).where("own1 IS NOT NULL OR own2 IS NOT NULL OR k1 <= k2")
+    met = written(met.select("component", F.struct(F.col("own1").alias("own"), F.col("k1").alias("k")).alias("a"), F.struct(F.col("own2").alias("own"), F.col("k2").alias("k")).alias("b")), "pairs")
+    ends = met.select("component", F.col("a").alias("tile"), "a", "b").unionByName(met.where("a <> b").select("component", F.col("b").alias("tile"), "a", "b"))
+
+    def name(c: str) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col(f"{c}.own").cast("string"), F.lit("")), F.col(f"{c}.k").cast("string"))
+
+    placed, ends = placed.select("node", "component", "linked", name("tile").alias("tile")), ends.select("component", name("tile").alias("tile"), name("a").alias("a"), name("b").alias("b"))
+    return placed.join(ends, ["component", "tile"]).select("node", "component", "tile", "linked", "a", "b")
+
+
+def multiplied(docs: DataFrame, dealt: DataFrame, n: int, bounds: Bounds, known: bool) -> DataFrame:
+    """(u, v): links found in the blocks (component, a, b). dealt: node, component, tile, linked, a, b, cheap to read again; known: whether rows of one `linked` need no links."""
+    wanted = texts_of(docs).join(small_enough(dealt.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,23 +287,24 @@ def links(docs: DataFrame, facts: DataFrame, same: DataFrame, n: int, percent: i
     blocks = sets.join(small_enough(dealt), "node").repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs_, grams, tiles = None, [], [], []
+        key, docs_, grams, tiles, linked = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
             u, v = [], []
             if len(docs_) > 1:
-                found = block_links(docs_, grams, bounds, tiles if key[1] != key[2] else None)
+                found = block_links(docs_, grams, bounds, tiles if key[1] != key[2] else None, linked if known else None)
                 u, v = [x for x, _ in found], [x for _, x in found]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for b in batches:
-            for node, tile, group, a, c, raw in zip(*(b[k].to_pylist() for k in ("node", "tile", "component", "a", "b")), b["grams"], strict=True):
+            for node, tile, group, a, c, of, raw in zip(*(b[k].to_pylist() for k in ("node", "tile", "component", "a", "b", "linked")), b["grams"], strict=True):
                 if (group, a, c) != key:
                     if docs_:
                         yield done()
-                    key, docs_, grams, tiles = (group, a, c), [], [], []
+                    key, docs_, grams, tiles, linked = (group, a, c), [], [], [], []
                 docs_.append(node)
                 tiles.append(tile)
+                linked.append(of)
                 grams.append(np.frombuffer(raw.as_py(), np.uint64))
         if docs_:
             yield done()

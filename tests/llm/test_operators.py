@@ -264,6 +264,35 @@ def test_ngram_join_tiles_and_empty(spark, monkeypatch):
     assert ngram_join.classes(table(spark, texts).limit(0), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize(("tile", "seed"), [(300, 1), (700, 2), (1500, 3)])
+def test_ngram_join_tiles_and_classes(spark, monkeypatch, tile, seed):
+    """Groups of many tiles: one class of most rows, chains whose ends don't link, rows near a class but not in it."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = random.Random(seed)
+    base = rng.choices(VOCABULARY, k=120)
+    texts = []
+    for i in range(60):
+        texts.append(" ".join([f"x{i}" if j == i + 20 else w for j, w in enumerate(base)]))
+        texts.append(" ".join([f"y{seed}_{j}" if j % 40 < i // 8 else w for j, w in enumerate(base)]))
+    texts += varied(40, rng)
+    got = ngram_join.classes(table(spark, texts), 3, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(texts, 3, 90)
+
+
+def test_classes_of_many_tiles_are_not_paired_with_themselves(spark, monkeypatch):
+    """A group of 200 tiles of which 199 are one class: its rows are dealt once for each of the few tiles of other rows."""
+    monkeypatch.setattr(ngram_join, "TILE", 100)
+    rows = [(i, 7, 20, 1) for i in range(995)] + [(i, 7, 20, i) for i in range(2000, 2005)] + [(i, 8, 20, 9) for i in range(3000, 3400)] + [(5000, 9, 20, 5000), (5001, 9, 20, 5001)]
+    dealt = ngram_join.between_classes(common.written(spark.createDataFrame(rows, "node long, component long, n_shingles long, linked long"), "rest")).collect()
+    blocks = {}
+    for r in dealt:
+        blocks.setdefault((r["component"], r["a"], r["b"]), []).append(r)
+    met = {frozenset((x["node"], y["node"])) for block in blocks.values() for x, y in itertools.combinations(block, 2) if x["tile"] != y["tile"] or x["a"] == x["b"]}
+    want = {frozenset((x[0], y[0])) for x, y in itertools.combinations(rows, 2) if x[1] == y[1] and x[3] != y[3]}
+    assert want <= met and len(met) <= len(want)
+    assert len(dealt) <= 995 + 5 * 200 + 2 and not any(r["component"] == 8 for r in dealt)
+
+
 def test_ngram_join_ids_hot_signatures_and_clashes(spark, monkeypatch):
     """Any 64-bit ids; signatures and sets that most rows share; repeated rows; null ids, which stay; columns of any names."""
     monkeypatch.setattr(common, "HOT_ROWS", 3)

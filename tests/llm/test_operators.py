@@ -266,7 +266,7 @@ def test_ngram_join_tiles_and_empty(spark, monkeypatch):
 
 @pytest.mark.parametrize(("tile", "seed"), [(300, 1), (700, 2), (1500, 3)])
 def test_ngram_join_tiles_and_classes(spark, monkeypatch, tile, seed):
-    """Groups of many tiles: one class of most rows, chains whose ends don't link, rows near a class but not in it."""
+    """Groups of many tiles: one class of most rows, chains whose ends don't link, and pairs near each other that no third row links, so most are found in the second deal only."""
     monkeypatch.setattr(ngram_join, "TILE", tile)
     rng = random.Random(seed)
     base = rng.choices(VOCABULARY, k=120)
@@ -274,9 +274,15 @@ def test_ngram_join_tiles_and_classes(spark, monkeypatch, tile, seed):
     for i in range(60):
         texts.append(" ".join([f"x{i}" if j == i + 20 else w for j, w in enumerate(base)]))
         texts.append(" ".join([f"y{seed}_{j}" if j % 40 < i // 8 else w for j, w in enumerate(base)]))
+    other = rng.choices(VOCABULARY, k=120)
+    for i in range(40):
+        near = {10 + 30 * j + i % 7: f"z{i}_{j}" for j in range(4)}
+        texts += [" ".join(near.get(j, end if j == 119 else w) for j, w in enumerate(other)) for end in ("one", "two")]
     texts += varied(40, rng)
+    want = brute_classes(texts, 3, 90)
+    assert all(want[121 + 2 * i][1] == want[120 + 2 * i][1] == 120 + 2 * i for i in range(40))
     got = ngram_join.classes(table(spark, texts), 3, 90).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_classes(texts, 3, 90)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_classes_of_many_tiles_are_not_paired_with_themselves(spark, monkeypatch):

@@ -23,6 +23,8 @@ from quillspark.llm.html_extract import media_sequence
 
 #: Samples in a row of the stored image; payloads are padded with bytes 0 to a positive multiple of it.
 WIDTH = 64
+#: Pages parsed at once: their items are Python objects until they are returned.
+PAGE_ROWS = 32
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -141,7 +143,7 @@ def sequences(pages: DataFrame) -> DataFrame:
             items = [[dict(zip(("position", "kind", "text", "src", "caption"), (i, *x), strict=True)) for i, x in enumerate(media_sequence(v.as_py() or ""))] for v in b["html"]]
             yield pa.RecordBatch.from_arrays([b["page_id"], pa.array(items, kind)], names=["page_id", "items"])
 
-    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), run, f"page_id long, items array<{_ITEM}>")
+    return in_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), run, f"page_id long, items array<{_ITEM}>", PAGE_ROWS)
 
 
 def interleaved(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:

@@ -2,16 +2,20 @@
 
 import itertools
 import math
+import os
 import re
+import sys
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quillspark.llm import quality_rules, site_bayes
-from quillspark.llm.common import written
+from quillspark.llm.common import in_arrow, worker_cache, written
 
 from tests.llm.test_operators import brute_classes, brute_removed, words
 
@@ -178,3 +182,22 @@ def test_substring_stage_against_brute_force(spark):
     for r, gone in zip(rows, removed, strict=True):
         assert got[r["doc_id"]]["text"].encode().split() == [w for k, w in enumerate(r["text"].encode().split()) if k not in gone]
         assert got[r["doc_id"]]["n_chars"] == len(got[r["doc_id"]]["text"])
+
+
+def own_mb(pid):
+    """MB of a process without mapped files."""
+    return sum(map(int, re.findall(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="malloc_trim is glibc's")
+def test_workers_give_back_what_a_task_freed(spark):
+    def run(batches):
+        for _ in batches:
+            blocks = [bytes([k % 251 + 1]) * 10_000 for k in range(15_000)]  # 150 MB in malloc's heap
+            most = own_mb(os.getpid())
+            worker_cache("a few blocks stay", lambda b=blocks: b[::1000] + b[-1:])  # so the heap can't shrink from its end
+            del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([most], pa.float64())], names=["pid", "most"])
+
+    (row,) = in_arrow(spark.range(0, 1, 1, 1), run, "pid long, most double").collect()
+    assert row["most"] > 150 and own_mb(row["pid"]) < row["most"] - 100

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.arrow import in_arrow
 from quillspark.functions.analyzers import ANALYZERS
 from quillspark.functions.scoring import encode_norm
 from quillspark.operators import rank, statistics
@@ -71,7 +72,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings_of(docs: DataFrame, column: str = "text", analyzer: str = "english") -> DataFrame:
     """(term, doc_id, tf, positions ascending, norm), one row for each term of a document, without a shuffle and in no order."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[analyzer](F.col(column)).alias("tokens")).mapInArrow(_grouped, _POSTINGS)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[analyzer](F.col(column)).alias("tokens")), _grouped, _POSTINGS)
 
 
 def postings_where(docs: DataFrame, condition: Column, column: str = "text", analyzer: str = "english") -> DataFrame:
@@ -204,7 +205,7 @@ def write(docs: DataFrame, root: str, fields: list[Field], shard: str | Column =
 
     def analyzed(f: Field) -> DataFrame:
         rows = docs.select("_shard", F.col("doc_id").cast("long").alias("doc_id"), ANALYZERS[f.analyzer](F.col(f.column)).alias("tokens"))
-        out = rows.mapInArrow(_grouped_in_shards, f"shard string, {_POSTINGS}")
+        out = in_arrow(rows, _grouped_in_shards, f"shard string, {_POSTINGS}")
         null = {Config.DOCS: ("tf", "positions", "norm"), Config.POSITIONS: ("norm",), Config.SCORING: ()}[f.config]
         return out.select(*[F.when(F.col("term").isNull(), F.col(c)).alias(c) if c in null else c for c in out.columns])
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.arrow import BATCH_BYTES, BATCH_ROWS
 from quillspark.functions.analyzers import analyze
 from quillspark.functions.scoring import Bm25
 from quillspark.operators import match, rank, statistics
@@ -143,6 +144,34 @@ def test_windows_across_parts(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def in_short_batches(function):
+    """function, which fails if it gets a batch of more rows or bytes than a worker should hold at once."""
+
+    def run(batches):
+        def short():
+            for b in batches:
+                assert b.num_rows <= BATCH_ROWS and b.nbytes <= 2 * BATCH_BYTES, f"a batch of {b.num_rows} rows, {b.nbytes} bytes"
+                yield b
+
+        return function(short())
+
+    return run
+
+
+def long_texts(spark):
+    """2000 short texts, then 200 of 60,000 bytes, in one partition."""
+    text = F.when(F.col("id") < 2000, F.lit("ora mu ora")).otherwise(F.repeat(F.concat(F.lit("t"), F.col("id") % 7, F.lit(" kelp "), F.col("id"), F.lit(" ")), 5000))
+    return spark.range(0, 2200, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+
+def test_postings_are_made_in_short_batches(spark, monkeypatch):
+    """A worker's memory follows its batches, so those must not grow with the rows of a task or the lengths of texts."""
+    monkeypatch.setattr(ix, "_grouped", in_short_batches(ix._grouped))
+    index = ix.build(long_texts(spark))
+    assert {r["term"]: (r["df"], r["ttf"], r["max_tf"]) for r in index.dictionary.where("term in ('ora', 'mu', 'kelp')").collect()} == {"ora": (2000, 4000, 2), "mu": (2000, 2000, 1), "kelp": (200, 1_000_000, 5000)}
+    assert ix.faults(index.postings).first() == (0, 0, 0) and index.postings.where("term = 'kelp' and norm = 255 and tf = 5000 and positions[1] = 4").count() == 200
+
+
 def brute_bm25(texts, terms, k, p=Bm25()):
     docs = [analyze(t) for t in texts]
     n, avg = len(docs), sum(map(len, docs)) / max(1, len(docs))

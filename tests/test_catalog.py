@@ -24,6 +24,12 @@ def test_query(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, rows))
 
 
+def test_broken_postings_are_made_in_one_pass(spark):
+    """A union with the rows that are there twice would analyze all texts again."""
+    plan = catalog.QUERIES["validate_broken_postings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
 def test_every_query_is_known():
     import __spark_entry__ as e
 

@@ -174,6 +174,11 @@ _index("bm25_blockmax", lambda i: i.top_k_block_max(_RANKED, 50), _bm25_sql(_RAN
 _index("bm25_ties", lambda i: i.top_k(["thanedble"], 200), _bm25_sql(["thanedble"], 200))
 
 
+def _splits(df: DataFrame, least: int) -> int:
+    """How many parts a table is read in, so that dealing it out again makes no task read more as it grows; `least` if they are fewer."""
+    return max(least, df.rdd.getNumPartitions())
+
+
 # shards, persisted and streamed indexes
 def _sharded(spark: SparkSession, sf_dir: str, index_id: int = 0, suffix: str = "") -> ix.Index:
     """Two shards, by halves of the doc_ids, of two fields each, opened as one index."""
@@ -210,10 +215,10 @@ add("stream_index_bm25", _streamed, _bm25_sql(_RANKED, 50))
 
 # sources, profile
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts as lines of four files, in the order of doc_id."""
+    """The texts as lines of files, in the order of doc_id."""
     root = work_root(spark, "lines")
     rows = documents(spark, sf_dir).select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("value"))
-    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(root)
+    rows.repartitionByRange(_splits(rows, 4), "doc_id").sortWithinPartitions("doc_id").select("value").write.text(root)
     return corpora.text_lines(spark, root).select("doc_id", F.md5("text").alias("text_md5"))
 
 

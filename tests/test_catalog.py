@@ -1,5 +1,6 @@
 """Every catalog query that has SQL against DuckDB on the smallest tables, for a spread of the queries."""
 
+import glob
 import os
 
 import duckdb
@@ -24,6 +25,28 @@ def test_query(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, rows))
 
 
+@pytest.fixture
+def in_splits(spark):
+    """Reads the tables in many splits, as a large table is."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    yield catalog.documents(spark, SF).rdd.getNumPartitions()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def dealt(spark, monkeypatch, name):
+    """The files that a query writes, by folder."""
+    roots, make = {}, catalog.work_root
+    monkeypatch.setattr(catalog, "work_root", lambda s, n: roots.setdefault(n, make(s, n)))
+    rows = catalog.QUERIES[name](spark, SF).count()
+    return rows, {n: len(glob.glob(f"{root.removeprefix('file://')}/part-*")) for n, root in roots.items()}
+
+
+def test_lines_are_dealt_to_more_files_as_the_table_grows(spark, monkeypatch, in_splits):
+    rows, files = dealt(spark, monkeypatch, "source_text_lines")
+    assert rows == 200 and in_splits > 12 and files["lines"] > in_splits // 2
+
+
 def test_broken_postings_are_made_in_one_pass(spark):
     """A union with the rows that are there twice would analyze all texts again."""
     plan = catalog.QUERIES["validate_broken_postings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

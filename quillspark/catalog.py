@@ -193,7 +193,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root, found = work_root(spark, "index"), work_root(spark, "arrivals")
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    raw.repartition(3).write.parquet(found)
+    raw.repartition(_splits(raw, 3)).write.parquet(found)
     stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(found)
     index_stream(stream.select("doc_id", "text"), root, [ix.Field("text")], f"{root}-log").awaitTermination()
     return ix.open_index(spark, root).top_k(_RANKED, 50)

@@ -47,6 +47,11 @@ def test_lines_are_dealt_to_more_files_as_the_table_grows(spark, monkeypatch, in
     assert rows == 200 and in_splits > 12 and files["lines"] > in_splits // 2
 
 
+def test_arrivals_are_dealt_to_more_files_as_the_table_grows(spark, monkeypatch, in_splits):
+    rows, files = dealt(spark, monkeypatch, "stream_index_bm25")
+    assert rows == 50 and in_splits > 12 and files["arrivals"] > in_splits // 2
+
+
 def test_broken_postings_are_made_in_one_pass(spark):
     """A union with the rows that are there twice would analyze all texts again."""
     plan = catalog.QUERIES["validate_broken_postings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

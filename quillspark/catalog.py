@@ -137,7 +137,7 @@ _index("prefix_terms", lambda i: statistics.prefix_terms(i.dictionary, "than"),
 _index("lookup", lambda i: statistics.lookup(i.dictionary, "attion"), f"WITH {_D} SELECT * FROM d WHERE term = 'attion'")
 _SEGMENT = f"WITH {_D} SELECT (SELECT count(*) FROM t) AS doc_count, (SELECT count(*) FROM t) AS indexed_doc_count, (SELECT count(*) FROM d) AS term_count, (SELECT CAST(sum(len(tk)) AS BIGINT) FROM t) AS sum_total_term_freq, CAST(0 AS BIGINT) AS null_count, (SELECT sum(len(tk)) / count(*) FROM t) AS avgdl"
 _index("segment_stats", lambda i: i.stats, _SEGMENT)
-_index("avgdl", lambda i: i.stats.select(F.round("avgdl", 9).alias("avgdl")), f"WITH {_T} SELECT round(sum(len(tk)) / greatest(1, count(*)), 9) AS avgdl FROM t")
+_index("avgdl", lambda i: i.doc_stats.select(F.round("avgdl", 9).alias("avgdl")), f"WITH {_T} SELECT round(sum(len(tk)) / greatest(1, count(*)), 9) AS avgdl FROM t")
 _PICK = f"WITH {_D}, k AS (SELECT * FROM d WHERE term <> (SELECT max(term) FROM d))"
 _index("df_bucket", lambda i: statistics.in_df_bucket(i.dictionary, 5, 20), f"{_PICK} SELECT term, df FROM k WHERE df BETWEEN 5 AND 20 ORDER BY term LIMIT 1")
 _index("term_at_df", lambda i: statistics.at_df(i.dictionary, 37), f"{_PICK} SELECT term, df FROM k ORDER BY abs(df - 37), term LIMIT 1")

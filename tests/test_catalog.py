@@ -58,6 +58,14 @@ def test_broken_postings_are_made_in_one_pass(spark):
     assert plan.count("MapInArrow") == 1 and "Union" not in plan
 
 
+def test_avgdl_makes_no_postings(spark):
+    """Lengths are all it needs: a count of terms beside it would make, and group, the postings of all texts."""
+    df = catalog.QUERIES["avgdl"](spark, SF)
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    tokens = catalog.QUERIES["tokenize"](spark, SF).count()
+    assert [tuple(r) for r in df.collect()] == [(round(tokens / 200, 9),)]
+
+
 def test_every_query_is_known():
     import __spark_entry__ as e
 

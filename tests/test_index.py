@@ -172,6 +172,14 @@ def test_postings_are_made_in_short_batches(spark, monkeypatch):
     assert ix.faults(index.postings).first() == (0, 0, 0) and index.postings.where("term = 'kelp' and norm = 255 and tf = 5000 and positions[1] = 4").count() == 200
 
 
+def test_stored_postings_are_made_in_short_batches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ix, "_grouped_in_shards", in_short_batches(ix._grouped_in_shards))
+    docs = long_texts(spark).where("doc_id % 4 = 1")
+    ix.write(docs, f"file://{tmp_path}/i", [ix.Field("text")], F.when(F.col("doc_id") % 8 == 1, "x").otherwise("y"))
+    index = ix.open_index(spark, f"file://{tmp_path}/i")
+    assert {r["term"]: (r["df"], r["ttf"], r["max_tf"]) for r in index.dictionary.where("term in ('ora', 'mu', 'kelp')").collect()} == {"ora": (500, 1000, 2), "mu": (500, 500, 1), "kelp": (50, 250_000, 5000)}
+
+
 def brute_bm25(texts, terms, k, p=Bm25()):
     docs = [analyze(t) for t in texts]
     n, avg = len(docs), sum(map(len, docs)) / max(1, len(docs))
